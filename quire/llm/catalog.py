@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import mixing, warc
+from quire.llm import mixing, near_dup, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +17,20 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(_table(spark, sf_dir, "documents"), keep_first=False)
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op6_warc, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op6_warc, op8_near_dup, op9_substrings, op10_mixing)}
 ORACLES = {"op6_warc": warc.ORACLE, "op10_mixing": mixing.ORACLE}

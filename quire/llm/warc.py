@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stage
+from quire.llm.common import small, stage
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 32 << 20
@@ -163,12 +163,13 @@ def plan(pages: DataFrame) -> DataFrame:
 
     Only digests are grouped; of a group of equal payloads of at least 100 bytes that with the smallest
     page_id is the response. Rows that repeat that page_id are responses too, and so are null page_ids,
-    which nothing can refer to. Digests seen once never reach the join; Spark splits a hot digest there.
+    which nothing can refer to. Digests seen once never reach the join, so the table of groups is small and
+    is broadcast once a count has proved it; beyond the bound the join shuffles and Spark splits a hot digest.
     """
     rows = pages.select("page_id", "url", "html", F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256).alias("payload_digest"))
     long_rows = rows.where(F.octet_length("html") >= MIN_REVISIT_BYTES)
     first = long_rows.groupBy("payload_digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")).where("n > 1 AND first_page IS NOT NULL")
-    first = first.select("payload_digest", "first_page")
+    first = small(stage(first.select("payload_digest", "first_page"), "warc-groups"))
     refers = F.when((F.octet_length("html") >= MIN_REVISIT_BYTES) & (F.col("page_id") > F.col("first_page")), F.col("first_page"))
     return rows.join(first, "payload_digest", "left").select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
 
