@@ -7,10 +7,11 @@ comparisons a member and never all pairs:
 
 1. equal sets collapse to one representative, the smallest doc_id;
 2. each set is compared with the smallest doc_id that shares any region with it;
-3. inside regions that still hold several components, each pair of components is tried at its longest
-   common prefixes and its best estimates;
-4. whatever pairs across components remain in a region, and whose estimate does not rule a link out, are all
-   verified. Regions of more than `REGION` sets are dealt to several tasks as pairs of blocks.
+3. inside regions that still hold several components, each set is compared with the set of another component
+   that shares most of its signature;
+4. regions that hold several components even then are compared in full: all pairs across components whose
+   signatures do not rule a link out meet in memory, each in the first tree that holds both, and only links
+   leave the task. A region is dealt to tasks as pairs of blocks, the deeper the larger it is.
 
 Two sets of similarity 0.75 share no region with a probability of 5e-6.
 """
@@ -31,8 +32,8 @@ SHINGLE = 5
 PERCENT = 75
 TREES, DEPTH = 32, 4
 VALUES = TREES * DEPTH
-#: Sets of one region that a task compares by signature at once.
-REGION = 4096
+#: Shingles of the sets of one region that a task holds as one of two blocks.
+REGION = 2_000_000
 #: Members whose sets a task compares with one leader.
 BLOCK = 256
 #: Estimates are 5 standard deviations below the threshold before they rule a link out.
@@ -147,70 +148,114 @@ def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return stage(rows.select("leader", "salt", "id", "digest", "text").mapInArrow(_verify, "u long, v long").distinct(), "near-links")
 
 
-def _across(per_pair: int | None):
-    """Pairs across components in blocks of regions, by signature; per_pair of each two components, or all."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {"side": [], "rep": [], "root": [], "sig": []}
-        at = None
-
-        def compare() -> pa.RecordBatch:
-            side, rep, root = (np.array(held[k], np.int64) for k in ("side", "rep", "root"))
-            sig = np.frombuffer(b"".join(held["sig"]), np.uint32).reshape(len(rep), VALUES)
-            first, second = np.flatnonzero(side <= 0), np.flatnonzero(side != 0)
-            if not (side > 0).any():
-                second = first
-            found: dict[tuple[int, int], float] = {}
-            best: dict[tuple[int, int], list] = {}
-            order = second[np.lexsort(sig[second][:, : 4 * DEPTH].T[::-1])]
-            for i in first:
-                rest = order[root[order] != root[i]]
-                for begin in range(0, len(rest), 8192):
-                    part = rest[begin : begin + 8192]
-                    alike = (sig[part] == sig[i]).mean(axis=1)
-                    for j in np.flatnonzero(alike >= LEAST_ESTIMATE):
-                        a, b = sorted((int(rep[i]), int(rep[part[j]])))
-                        if per_pair is None:
-                            found[a, b] = 1.0
-                        else:
-                            key = tuple(sorted((int(root[i]), int(root[part[j]]))))
-                            top = best.setdefault(key, [])
-                            if (alike[j], a, b) not in top:
-                                top.append((float(alike[j]), a, b))
-                                top.sort(reverse=True)
-                                del top[per_pair:]
-            for top in best.values():
-                found.update(((a, b), x) for x, a, b in top)
-            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-        for batch in batches:
-            for key, i, j, *row in zip(*(batch.column(k).to_pylist() for k in ("key", "i", "j", "side", "rep", "root", "sig")), strict=True):
-                if at is not None and at != (key, i, j):
-                    yield compare()
-                    for values in held.values():
-                        values.clear()
-                at = key, i, j
-                for values, value in zip(held.values(), row, strict=True):
-                    values.append(value)
-        if at is not None:
-            yield compare()
-
-    return emit
-
-
-def across(members: DataFrame, roots: DataFrame, reps_sig: DataFrame, tried: DataFrame, per_pair: int | None) -> DataFrame:
-    """Untried candidate pairs (a, b) in regions that hold several components."""
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    """The rows of each block of a region, sorted by (key, i, j)."""
+    held: dict[str, list] = {}
+    at = None
+    for batch in batches:
+        names = [c for c in batch.schema.names if c not in ("i", "j")]
+        for i, j, *row in zip(*(batch.column(k).to_pylist() for k in ("i", "j", *names)), strict=True):
+            if at != (row[0], i, j):
+                if held:
+                    yield held
+                held, at = {c: [] for c in names}, (row[0], i, j)
+            for values, value in zip(held.values(), row, strict=True):
+                values.append(value)
+    if held:
+        yield held
+
+
+def _sides(side: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row that leads a comparison, with the rows it meets: the other block, or the later rows of its own."""
+    side = np.array(side)
+    second = np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side <= 0):
+        yield i, second if side[i] else np.arange(i + 1, len(side))
+
+
+def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best estimate of each set among the sets of other components in its region."""
+    for held in _regions(batches):
+        rep, root = np.array(held["rep"]), np.array(held["root"])
+        sig = np.frombuffer(b"".join(held["sig"]), np.uint32).reshape(len(rep), VALUES)
+        best, other = np.zeros(len(rep)), np.zeros(len(rep), np.int64)
+        for i, rest in _sides(held["side"]):
+            rest = rest[root[rest] != root[i]]
+            if len(rest):
+                alike = (sig[rest] == sig[i]).mean(axis=1)
+                if (k := alike.argmax()) is not None and alike[k] > best[i]:
+                    best[i], other[i] = alike[k], rep[rest[k]]
+                better = alike > best[rest]
+                best[rest[better]], other[rest[better]] = alike[better], rep[i]
+        hit = best >= LEAST_ESTIMATE
+        yield pa.RecordBatch.from_pydict({"rep": pa.array(rep[hit], pa.int64()), "other": pa.array(other[hit], pa.int64()), "alike": pa.array(best[hit], pa.float64())})
+
+
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links between components inside each region, as few as connect them, from full sets.
+
+    A pair is compared in the first tree that holds both; sets joined by a link found here are one component.
+    """
+    for held in _regions(batches):
+        rep, root = np.array(held["rep"]), np.array(held["root"])
+        sig = np.frombuffer(b"".join(held["sig"]), np.uint32).reshape(len(rep), TREES, DEPTH)
+        tree = int(np.flatnonzero(region_keys(sig[0]) == held["key"][0])[0])
+        sets = [shingles(text) for text in held["text"]]
+        true = np.array([xxhash.xxh3_128_digest(x.tobytes()) == d for x, d in zip(sets, held["digest"], strict=True)])
+        sizes = np.array([len(x) for x in sets])
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        starts = np.cumsum(sizes) - sizes
+        marks = np.zeros(flat.max(initial=0) + 1, bool)
+        u, v = [], []
+        for i, rest in _sides(held["side"]):
+            rest = rest[(root[rest] != root[i]) & true[rest] & true[i]]
+            few, many = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+            rest = rest[100 * few >= PERCENT * many]
+            for begin in range(0, len(rest), 2048):
+                part = rest[begin : begin + 2048]
+                part = part[root[part] != root[i]]
+                same = sig[part] == sig[i]
+                part = part[(same.all(axis=2).argmax(axis=1) == tree) & (same.mean(axis=(1, 2)) >= LEAST_ESTIMATE)]
+                if not len(part):
+                    continue
+                marks[flat[starts[i] : starts[i] + sizes[i]]] = True
+                common = np.array([np.count_nonzero(marks[flat[starts[j] : starts[j] + sizes[j]]]) for j in part])
+                marks[flat[starts[i] : starts[i] + sizes[i]]] = False
+                for j in part[100 * common >= PERCENT * (sizes[part] + sizes[i] - common)]:
+                    if root[j] != root[i]:
+                        u.append(rep[i])
+                        v.append(rep[j])
+                        root[root == root[j]] = root[i]
+        yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def mixed_regions(members: DataFrame, roots: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows of the regions that hold several components, dealt to pairs of blocks of about REGION shingles."""
     labelled = members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    rows = stage(labelled.join(mixed, "key").join(reps_sig, "rep"), "near-mixed")
-    blocks = F.ceil(F.col("n") / REGION).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    rows = stage(labelled.join(mixed, "key").join(facts, "rep"), "near-mixed")
+    blocks = rows.groupBy("key").agg(F.ceil(F.sum("n_shingles") / REGION).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") < F.col("other"), -1).otherwise(1))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "rep", "root", "sig")
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_across(per_pair), "a long, b long")
-    return stage(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "rep", "root", "sig", "digest")
+
+
+def closest_across(rows: DataFrame, tried: DataFrame) -> DataFrame:
+    """For each set its likeliest partner in another component, if untried, as pairs (a, b)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.select("key", "i", "j", "side", "rep", "root", "sig").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_closest, "rep long, other long, alike double")
+    best = found.groupBy("rep").agg(F.max_by("other", F.struct("alike", -F.col("other"))).alias("other"))
+    pairs = best.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    return stage(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+
+
+def rest_across(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The links (u, v) between components that are still missing."""
+    if rows.count() <= BROADCAST_ROWS // 20:  # 600 bytes a row
+        rows = F.broadcast(rows)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(rows, "rep").select("key", "i", "j", "side", "rep", "root", "sig", "digest", "text")
+    return stage(full.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_rest, "u long, v long").distinct(), "near-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -231,18 +276,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stage(bands.join(regions, "key"), "near-regions")
     first = stage(members.groupBy("rep").agg(F.min("leader").alias("leader")).where("leader < rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")), "near-pairs")
     links = verify(docs, first, reps)
-    roots, tried = components(links, "near-cc"), first
-    reps_sig = named.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"])
+    roots = components(links, "near-cc")
+    facts = described.where("doc_id IS NOT NULL").join(reps, (described["digest"] == reps["digest"]) & (described["doc_id"] == reps["rep"])).select("rep", described["digest"], "n_shingles", "sig").dropDuplicates(["rep"])
+    facts = stage(facts.join(members.select("rep").distinct(), "rep", "left_semi"), "near-facts")
     members = members.select("key", "rep")
-    for per_pair in (3, None):
-        pairs = across(members, roots, reps_sig, tried, per_pair)
-        if not pairs.limit(1).count():
-            break
-        new = verify(docs, pairs, reps)
-        tried = tried.union(pairs)
-        if new.limit(1).count():
-            links = links.union(new)
-            roots = components(links, "near-cc")
+    pairs = closest_across(mixed_regions(members, roots, facts), first)
+    if pairs.limit(1).count():
+        links = links.union(verify(docs, pairs, reps))
+        roots = components(links, "near-cc")
+    new = rest_across(docs, mixed_regions(members, roots, facts))
+    if new.limit(1).count():
+        roots = components(links.union(new), "near-cc")
     classes = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("digest"), F.coalesce("root", "rep").alias("component_id"))
     out = described.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
