@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BROADCAST_ROWS, components, stage
+from quire.llm.common import BROADCAST_ROWS, components, small, stage
 
 SHINGLE = 5
 PERCENT = 75
@@ -251,10 +251,10 @@ def closest_across(rows: DataFrame, tried: DataFrame) -> DataFrame:
 
 def rest_across(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The links (u, v) between components that are still missing."""
-    if rows.count() <= BROADCAST_ROWS // 20:  # 600 bytes a row
-        rows = F.broadcast(rows)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    full = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(rows, "rep").select("key", "i", "j", "side", "rep", "root", "sig", "digest", "text")
+    wanted = small(stage(rows.select("rep").distinct(), "near-wanted"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    full = texts.join(rows, "rep").select("key", "i", "j", "side", "rep", "root", "sig", "digest", "text")
     return stage(full.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_rest, "u long, v long").distinct(), "near-links")
 
 
