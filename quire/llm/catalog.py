@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import html, mixing, near_dup, quality, substrings, toxicity, warc
+from quire.llm import chat, decontaminate, html, lines, mixing, near_dup, quality, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,15 +20,30 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(_table(spark, sf_dir, "conversations"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_lines(_table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return found.select("doc_id", "n_chars", F.size("spans").cast("long").alias("n_removed"), gone.alias("chars_removed"), F.md5("kept").alias("kept_md5"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(_table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.col("matches.item_id").alias("item_ids"), F.round(F.array_max("matches.similarity"), 6).alias("similarity"))
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -44,5 +59,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_toxicity, op4_quality, op6_warc, op8_near_dup, op9_substrings, op10_mixing)}
-ORACLES = {"op6_warc": warc.ORACLE, "op10_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_html, op2_toxicity, op3_chat, op4_quality, op5_lines, op6_warc, op7_decontaminate, op8_near_dup, op9_substrings, op10_mixing)}
+ORACLES = {"op3_chat": chat.ORACLE, "op5_lines": lines.ORACLE, "op6_warc": warc.ORACLE, "op10_mixing": mixing.ORACLE}

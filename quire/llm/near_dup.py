@@ -99,12 +99,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digests.append(None)
                 sigs.append(None)
                 keys.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "sig", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tie", "n_shingles", "digest", "sig", "keys"])
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, signature, region keys) of each row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_describe, "doc_id long, n_shingles long, digest binary, sig binary, keys array<long>")
+    """(doc_id, tie, n_shingles, digest of the set, signature, region keys) of each row; tie is a hash of text and id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text", "doc_id").alias("tie"), "text").mapInArrow(_describe, "doc_id long, tie long, n_shingles long, digest binary, sig binary, keys array<long>")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +259,7 @@ def rest_across(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, digest) of every row of docs (doc_id, text).
+    """(doc_id, tie, n_shingles, component_id, kept) of every row of docs (doc_id, text).
 
     Two rows are linked if 100 * intersection >= 75 * union of their shingle sets; component_id is the
     smallest doc_id reachable. Null, empty and blank texts have no set and are linked with nothing. Rows
@@ -288,6 +288,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if new.limit(1).count():
         roots = components(links.union(new), "near-cc")
     classes = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("digest"), F.coalesce("root", "rep").alias("component_id"))
-    out = described.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
+    out = described.select("doc_id", "tie", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "digest")
+    return out.select("doc_id", "tie", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that stay: the smallest doc_id of each component, repeated rows once."""
+    found = stage(near_duplicates(docs), "near-found")
+    tie = F.xxhash64("text", F.col("doc_id").cast("long"))
+    gone = small(stage(found.where("NOT kept").select(F.col("tie").alias("_gone")).distinct(), "near-gone"))
+    rows = docs.join(gone, tie == F.col("_gone"), "left_anti")
+    again = stage(found.where("doc_id IS NOT NULL AND kept").groupBy("tie").count().where("count > 1").select(F.col("tie").alias("_again")), "near-again")
+    if not again.limit(1).count():
+        return rows
+    again = small(again)
+    return rows.join(again, tie == F.col("_again"), "left_anti").union(rows.join(again, tie == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -260,26 +260,32 @@ def merge(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
-        sizes, spans, kept = [], [], []
-        for text, raw in zip(batch.column("text"), batch.column("raw"), strict=True):
-            data, gone = (text.as_py() or "").encode("utf-8", "surrogatepass"), merge(raw.as_py())
-            sizes.append(len(data))
-            spans.append([{"start": a, "end": b} for a, b in gone])
-            kept.append(b"".join(data[a:b] for a, b in zip([0] + [b for _, b in gone], [a for a, _ in gone] + [len(data)], strict=True)) if gone else data)
-        rest = [c for c in batch.schema.names if c not in ("text", "raw")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], [*rest, "n_bytes", "spans", "kept"])
-
-
-def remove_repeats(docs: DataFrame, keep_first: bool = True, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
+def _cut_out(as_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            sizes, spans, kept = [], [], []
+            for text, raw in zip(batch.column("_text"), batch.column("_raw"), strict=True):
+                data, gone = (text.as_py() or "").encode("utf-8", "surrogatepass"), merge(raw.as_py())
+                sizes.append(len(data))
+                spans.append([{"start": a, "end": b} for a, b in gone])
+                edges = zip([0] + [b for _, b in gone], [a for a, _ in gone] + [len(data)], strict=True)
+                pieces = [data[a:b] for a, b in edges] if gone else [data]
+                kept.append("".join(x.decode("utf-8", "ignore") for x in pieces) if as_text else b"".join(pieces))
+            rest = [c for c in batch.schema.names if c not in ("_text", "_raw")]
+            columns = [*(batch.column(c) for c in rest), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string() if as_text else pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*rest, "n_bytes", "spans", "kept"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, keep_first: bool = True, carry: tuple[str, ...] = (), as_text: bool = False, hot: int = HOT) -> DataFrame:
     """Remove the bytes of texts (UTF-8) that strings of 200 bytes repeat, whole corpus against whole corpus.
 
     keep_first: the earliest place, by (doc_id, offset), null doc_ids last, keeps its bytes; otherwise every
     place of a repeated string goes. Strings are judged on the input, overlapping repeats count, and none
     crosses texts. Returns doc_id, `carry`, n_bytes, spans (maximal removed runs of original offsets) and
-    kept (the other bytes). Null texts are empty. Rows that repeat a doc_id and text repeat each other,
+    kept (the other bytes; as_text: a string, without characters that a span cuts). Null texts are empty. Rows that repeat a doc_id and text repeat each other,
     and none of them comes first. Other columns are ignored; an empty table gives an empty result.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id")
@@ -287,7 +293,7 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, carry: tuple[str, .
     spans = stage(find_spans(rows.select("id", "tie", "text"), keep_first, hot), "sub-spans")
     marked = stage(spans.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("raw")), "sub-marked")
     marked = F.broadcast(marked) if spans.count() <= BROADCAST_ROWS else marked
-    joined = rows.join(marked, ["id", "tie"], "left").select("doc_id", *carry, "text", "raw")
+    joined = rows.join(marked, ["id", "tie"], "left").select("doc_id", *carry, F.col("text").alias("_text"), F.col("raw").alias("_raw"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry))
-    return joined.mapInArrow(_cut_out, f"{schema}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return joined.mapInArrow(_cut_out(as_text), f"{schema}, n_bytes long, spans array<struct<start:int,end:int>>, kept {'string' if as_text else 'binary'}")

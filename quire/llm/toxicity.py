@@ -184,16 +184,18 @@ def apply(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",)) ->
     """carry and score of every row, whole texts; null texts count as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number a bucket, 1 MB
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    scored = "text" if "text" in carry else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
-                value = score(shared.value, part.column("_text").to_pylist())
+                value = score(shared.value, part.column(scored).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(value, pa.float64())], [*carry, "score"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry)
-    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, f"{schema}, score double")
+    rows = docs.select(*carry) if scored == "text" else docs.select(*carry, F.col("text").alias("_text"))
+    return rows.mapInArrow(run, f"{schema}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
