@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.geometry import moved
+from quire.sources.staging import cut
 
 
 def tree_order(edges: DataFrame, doc: str, depth: int = 64) -> DataFrame:
@@ -34,13 +35,12 @@ def inherited(own: list[Column]) -> Column:
 
 def reachable(edges: DataFrame, starts: DataFrame, levels: int | None = None) -> DataFrame:
     """(doc, node) that starts (doc, node) reach along edges (doc, src, dst), starts included: a frontier a round."""
-    seen = starts.select("doc", "node").distinct()
-    frontier, k = seen, 0
-    while levels is None or k < levels:
-        step = edges.join(frontier, (edges["doc"] == frontier["doc"]) & (edges["src"] == frontier["node"])).select(edges["doc"], F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, ["doc", "node"], "left_anti").persist()
-        if not frontier.limit(1).count():
-            break
+    pairs = edges.select("doc", F.col("src").alias("node"), "dst")
+    seen = frontier = cut(starts.select("doc", "node").distinct())
+    k = 0
+    while (levels is None or k < levels) and frontier.limit(1).count():
+        step = pairs.join(frontier, ["doc", "node"]).select("doc", F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(seen, ["doc", "node"], "left_anti"))
         seen, k = seen.union(frontier), k + 1
     return seen
 
