@@ -33,7 +33,7 @@ PERCENT = 75
 TREES, DEPTH = 32, 4
 VALUES = TREES * DEPTH
 #: Shingles of the sets of one region that a task holds as one of two blocks.
-REGION = 2_000_000
+REGION = 500_000
 #: Members whose sets a task compares with one leader.
 BLOCK = 256
 #: Estimates are 5 standard deviations below the threshold before they rule a link out.

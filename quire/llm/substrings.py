@@ -30,7 +30,7 @@ LENGTH, GRAM = 200, 51
 #: Classes of one anchor that one task may hold, about 300 bytes each.
 HOT = 100_000
 #: Bytes that a task sorts at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 _random = np.random.default_rng(20240301)
 _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64)

@@ -23,7 +23,7 @@ THRESHOLD = 0.7
 #: Most labelled rows used for training, those of least hash; the one bound on what is learnt from.
 MAX_TRAIN = 9000
 #: Bytes that are turned into features at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 #: Byte classes: 0 ends a word; letters, digits and all of UTF-8's other bytes build words, A-Z as a-z.
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 0 for c in range(256)], np.uint8)
