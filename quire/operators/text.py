@@ -54,10 +54,10 @@ def match_starts(pages: DataFrame, query: str, keys: list[str], text: str = "tex
         return pages.select(*keys, F.lit(0).alias("pos")).limit(0)
     pieces = F.split("_f", f"(?={_quoted(needle)})")
     rows = pages.select(*keys, fold(F.col(text)).alias("_f")).where(F.contains("_f", F.lit(needle)))
-    rows = rows.select(*keys, F.posexplode(pieces).alias("_k", "_piece"))
+    rows = rows.select(*keys, F.startswith("_f", F.lit(needle)).alias("_at_start"), F.posexplode(pieces).alias("_k", "_piece"))
     before = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("pos", F.coalesce(F.sum(F.char_length("_piece")).over(before), F.lit(0)).cast("int"))
-    return rows.where(F.startswith("_piece", F.lit(needle))).select(*keys, "pos")
+    return rows.where("_k > 0 OR _at_start").select(*keys, "pos")
 
 
 def _quoted(text: str) -> str:

@@ -1,0 +1,123 @@
+"""Fonts: codes to characters and widths."""
+
+from __future__ import annotations
+
+import re
+from typing import Any
+
+from quire.sources.pdf.cos import Name, Parser, PdfError, Ref, Stream
+from quire.sources.pdf.document import Document
+from quire.sources.pdf.filters import decode
+
+#: Names of characters in encodings, besides letters, which name themselves.
+GLYPH_NAMES = {"space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "minus": "−", "period": ".", "slash": "/", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@", "bracketleft": "[", "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "grave": "`", "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~", "bullet": "•", "endash": "–", "emdash": "—", "quoteleft": "‘", "quoteright": "’", "quotedblleft": "“", "quotedblright": "”", "ellipsis": "…", "Euro": "€", "fi": "fi", "fl": "fl", "ffi": "ffi", "germandbls": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "oslash": "ø", "Oslash": "Ø", "degree": "°", "copyright": "©", "registered": "®"}
+#: Combining marks that end accented names.
+MARKS = {"acute": "́", "grave": "̀", "circumflex": "̂", "dieresis": "̈", "tilde": "̃", "cedilla": "̧", "ring": "̊", "caron": "̌"}
+#: Public widths of Helvetica for codes 32 to 126, a thousandth of the size each.
+HELVETICA = [278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 278, 278, 584, 584, 584, 556, 1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556, 333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584]
+TIMES = [250, 333, 408, 500, 500, 833, 778, 180, 333, 333, 500, 564, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 278, 278, 564, 564, 564, 444, 921, 722, 667, 667, 722, 611, 556, 722, 722, 333, 389, 722, 611, 889, 722, 722, 556, 722, 667, 556, 611, 722, 722, 944, 722, 722, 611, 333, 278, 333, 469, 500, 333, 444, 500, 444, 500, 444, 333, 500, 500, 278, 278, 500, 278, 778, 500, 500, 500, 500, 333, 389, 278, 500, 500, 722, 500, 500, 444, 480, 200, 480, 541]
+
+
+def glyph_char(name: str) -> str | None:
+    import unicodedata
+
+    if name in GLYPH_NAMES:
+        return GLYPH_NAMES[name]
+    if re.fullmatch(r"[A-Za-z]", name):
+        return name
+    if m := re.fullmatch(r"uni([0-9A-Fa-f]{4})|u([0-9A-Fa-f]{4,6})", name):
+        code = int(m[1] or m[2], 16)
+        return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
+    if name[:1].isalpha() and name[1:] in MARKS:
+        return unicodedata.normalize("NFC", name[0] + MARKS[name[1:]])
+    return None
+
+
+def to_unicode(data: bytes) -> dict[int, str]:
+    """Codes to whole strings, so ligatures keep all their letters."""
+    out: dict[int, str] = {}
+
+    def text(raw: bytes) -> str:
+        return raw.decode("utf-16-be", "replace") if len(raw) > 1 else raw.decode("latin-1")
+
+    for kind, body in re.findall(rb"begin(bfchar|bfrange)(.*?)endbf", data, re.S):
+        parser, items = Parser(body, references=False), []
+        while (x := parser.object()) != "" or isinstance(x, bytes):
+            items.append(x)
+        if kind == b"bfchar":
+            for a, b in zip(items[::2], items[1::2], strict=False):
+                if isinstance(a, bytes) and isinstance(b, bytes):
+                    out[int.from_bytes(a, "big")] = text(b)
+            continue
+        for a, b, c in zip(items[::3], items[1::3], items[2::3], strict=False):
+            first, last = int.from_bytes(a, "big"), int.from_bytes(b, "big")
+            for code in range(first, min(last, first + 0xFFFF) + 1):
+                if isinstance(c, list):
+                    if code - first < len(c):
+                        out[code] = text(c[code - first])
+                else:
+                    s = text(c)
+                    out[code] = s[:-1] + chr(ord(s[-1]) + code - first) if s else ""
+    return out
+
+
+class Font:
+    def __init__(self, doc: Document, value: Any):
+        font = doc.get(value)
+        if not isinstance(font, dict):
+            raise PdfError("BadFont")
+        self.composite = font.get("Subtype") == "Type0"
+        self.base = str(doc.get(font.get("BaseFont")) or "")
+        self.widths: dict[int, float] = {}
+        self.chars: dict[int, str] = {}
+        if self.composite:
+            own = doc.get((doc.get(font.get("DescendantFonts")) or [{}])[0]) or {}
+            default = doc.get(own.get("DW"))
+            self.default = float(default) if isinstance(default, int | float) else 1000.0
+            items, k = [doc.get(x) for x in doc.get(own.get("W")) or []], 0
+            while k + 1 < len(items):
+                if isinstance(items[k + 1], list):
+                    self.widths.update((items[k] + n, float(w)) for n, w in enumerate(map(doc.get, items[k + 1])))
+                    k += 2
+                elif k + 2 < len(items):
+                    self.widths.update((c, float(items[k + 2])) for c in range(items[k], min(items[k + 1], items[k] + 0xFFFF) + 1))
+                    k += 3
+                else:
+                    break
+        else:
+            self._simple(doc, font)
+        stream = doc.get(font.get("ToUnicode"))
+        if isinstance(stream, Stream):
+            self.chars |= to_unicode(decode(stream, doc.get))
+
+    def _simple(self, doc: Document, font: dict[str, Any]) -> None:
+        encoding = doc.get(font.get("Encoding"))
+        base = doc.get(encoding.get("BaseEncoding")) if isinstance(encoding, dict) else encoding
+        if base in (None, "WinAnsiEncoding", "MacRomanEncoding"):
+            self.chars = {c: ch for c in range(32, 256) if (ch := bytes([c]).decode("cp1252", "ignore"))}
+        else:
+            self.chars = {c: chr(c) for c in range(32, 127)} | {39: "’", 96: "‘"}
+        code = 0
+        for x in doc.get(encoding.get("Differences")) or [] if isinstance(encoding, dict) else []:
+            if isinstance(x, int):
+                code = x
+            elif isinstance(x, Name):
+                if (ch := glyph_char(x)) is not None:
+                    self.chars[code] = ch
+                code += 1
+        widths, first = doc.get(font.get("Widths")), doc.get(font.get("FirstChar")) or 0
+        self.default = 500.0
+        if isinstance(widths, list):
+            self.widths = {first + k: float(v) for k, w in enumerate(widths) if isinstance(v := doc.get(w), int | float)}
+        elif "Courier" in self.base:
+            self.default = 600.0
+        else:
+            self.widths = dict(enumerate(map(float, TIMES if "Times" in self.base else HELVETICA), 32))
+
+    def codes(self, raw: bytes) -> list[tuple[int, str | None, float, bool]]:
+        """(code, text, width, whether the code is a one-byte space)."""
+        found = [int.from_bytes(raw[k : k + 2], "big") for k in range(0, len(raw) - 1, 2)] if self.composite else list(raw)
+        return [(c, self.chars.get(c), self.widths.get(c, self.default), not self.composite and c == 32) for c in found]
+
+
+__all__ = ["Font", "Ref", "to_unicode"]
