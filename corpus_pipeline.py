@@ -17,12 +17,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _left: list[tuple[SparkSession, str]] = []
 
 
+#: Texts that go to a Python worker at once; the default of 10,000 is meant for short rows.
+BATCH = "1000"
+
+
 def _tidy(function: Stage) -> Stage:
-    """Delete the tables that the stage before staged: its result is written by now."""
+    """Delete the tables that the stage before staged (its result is written by now), and keep batches of texts small."""
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.release(_left)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
         before = len(common._open)
         out = function(spark, docs, sf_dir)
         _left[:] = common._open[before:]

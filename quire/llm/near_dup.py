@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BROADCAST_ROWS, components, small, stage
+from quire.llm.common import BROADCAST_ROWS, components, small, stage, trimmed
 
 SHINGLE = 5
 PERCENT = 75
@@ -84,6 +84,7 @@ def region_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+@trimmed
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, digests, sigs, keys = [], [], [], []
@@ -107,6 +108,7 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text", "doc_id").alias("tie"), "text").mapInArrow(_describe, "doc_id long, tie long, n_shingles long, digest binary, sig binary, keys array<long>")
 
 
+@trimmed
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (leader, salt, leader first): compare each member with the leader before it."""
     leader, items = None, np.empty(0, np.uint64)
@@ -173,6 +175,7 @@ def _sides(side: list[int]) -> Iterator[tuple[int, np.ndarray]]:
         yield i, second if side[i] else np.arange(i + 1, len(side))
 
 
+@trimmed
 def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The best estimate of each set among the sets of other components in its region."""
     for held in _regions(batches):
@@ -191,6 +194,7 @@ def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"rep": pa.array(rep[hit], pa.int64()), "other": pa.array(other[hit], pa.int64()), "alike": pa.array(best[hit], pa.float64())})
 
 
+@trimmed
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All links between components inside each region, as few as connect them, from full sets.
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BROADCAST_ROWS, small, stage
+from quire.llm.common import BROADCAST_ROWS, small, stage, trimmed
 
 LENGTH, GRAM = 200, 51
 #: Classes of one anchor that one task may hold, about 300 bytes each.
@@ -87,6 +87,7 @@ def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, n
     return grams[place].view(np.int64), whole.view(np.int64), first.astype(np.int32), count.astype(np.int32), (place - first).astype(np.int32)
 
 
+@trimmed
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, kinds = ("anchor", "whole", "first", "count", "offset"), (pa.int64(),) * 2 + (pa.int32(),) * 3
     for batch in batches:
@@ -174,6 +175,7 @@ _SPANS = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32(
 
 
 def _sort_buckets(keep_first: bool):
+    @trimmed
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk: list[tuple] = []
         bucket: list[tuple] = []
@@ -194,6 +196,7 @@ def _sort_buckets(keep_first: bool):
     return sort
 
 
+@trimmed
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each wanted run of a text, with its bytes."""
     for batch in batches:
@@ -261,6 +264,7 @@ def merge(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def _cut_out(as_text: bool):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:

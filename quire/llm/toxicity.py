@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import trimmed
+
 GRAMS = (3, 4, 5, 6)
 BUCKETS, DIM = 1 << 18, 8
 WIDTH, STRIDE = 5, 1
@@ -186,6 +188,7 @@ def apply(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",)) ->
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     scored = "text" if "text" in carry else "_text"
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
