@@ -263,10 +263,20 @@ def merge(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+_RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+@trimmed
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans overlap, about one every 75 bytes; merged, they are as few as the removed runs, which is what gets joined to texts."""
+    for batch in batches:
+        runs = [[{"start": a, "end": b} for a, b in merge(raw.as_py())] for raw in batch.column("raw")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tie"), pa.array(runs, _RUNS)], ["id", "tie", "raw"])
+
+
 def _cut_out(as_text: bool):
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             sizes, spans, kept = [], [], []
             for text, raw in zip(batch.column("_text"), batch.column("_raw"), strict=True):
@@ -277,7 +287,7 @@ def _cut_out(as_text: bool):
                 pieces = [data[a:b] for a, b in edges] if gone else [data]
                 kept.append("".join(x.decode("utf-8", "ignore") for x in pieces) if as_text else b"".join(pieces))
             rest = [c for c in batch.schema.names if c not in ("_text", "_raw")]
-            columns = [*(batch.column(c) for c in rest), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string() if as_text else pa.binary())]
+            columns = [*(batch.column(c) for c in rest), pa.array(sizes, pa.int64()), pa.array(spans, _RUNS), pa.array(kept, pa.string() if as_text else pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*rest, "n_bytes", "spans", "kept"])
 
     return run
@@ -294,9 +304,10 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, carry: tuple[str, .
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id")
     rows = docs.select(key, F.xxhash64("text", "doc_id").alias("tie"), "text", "doc_id", *carry)
-    spans = stage(find_spans(rows.select("id", "tie", "text"), keep_first, hot), "sub-spans")
-    marked = stage(spans.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("raw")), "sub-marked")
-    marked = F.broadcast(marked) if spans.count() <= BROADCAST_ROWS else marked
+    spans = find_spans(rows.select("id", "tie", "text"), keep_first, hot).groupBy("id", "tie").agg(F.collect_set(F.struct("start", "end")).alias("raw"))
+    marked = stage(spans.mapInArrow(_merge_spans, "id long, tie long, raw array<struct<start:int,end:int>>"), "sub-marked")
+    held = marked.agg(F.sum(F.size("raw"))).first()[0] or 0
+    marked = F.broadcast(marked) if held <= BROADCAST_ROWS else marked
     joined = rows.join(marked, ["id", "tie"], "left").select("doc_id", *carry, F.col("text").alias("_text"), F.col("raw").alias("_raw"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry))
