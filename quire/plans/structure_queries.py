@@ -9,6 +9,8 @@ from quire.operators import geometry as G
 from quire.operators import revisions as R
 from quire.operators import structure as S
 from quire.plans.catalog import query, table
+from quire.sources.staging import shared_folder
+from quire.streaming.requests import mark_stale
 
 
 @query("display_summary", """SELECT event_type, CAST(count(*) AS BIGINT) AS items, CAST(count(*) FILTER (value > 50) AS BIGINT) AS large, bool_or(value > 99) AS any_estimated FROM events GROUP BY event_type""")
@@ -151,6 +153,17 @@ def stale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fresh_requests(rows, "user_id", ["ts", "event_id"], "generation").select("event_id", "user_id", "stale")
 
 
+@query("stale_requests_stream", """SELECT event_id, user_id, round(value) < max(round(value)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stale FROM events""")
+def stale_requests_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decisions from a stream of the table, with one number of state a user."""
+    path, folder = f"{sf_dir}/events.parquet", shared_folder(spark, "stream")
+    files = f"{sf_dir}/events.[p]arquet"  # a pattern, as a stream takes a single file only that way
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(files).withColumn("generation", F.round("value"))
+    found = mark_stale(rows, "user_id", ["ts", "event_id"], "generation", ["event_id"])
+    found.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/rows")
+
+
 @query("fifo_cache")
 def fifo_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.concat_ws("/", "event_type", F.floor(F.col("value") / 10)).alias("item"))

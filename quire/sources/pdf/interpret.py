@@ -171,7 +171,7 @@ class Interpreter:
                 x = doc.find(resources, "XObject", str(operands[0]) if operands else "")
                 if isinstance(x, Stream) and x.dict.get("Subtype") == "Image":
                     m = state.ctm
-                    self.items.append({"kind": "image", "annot": annot, "m": m, "width": doc.get(x.dict.get("Width")), "height": doc.get(x.dict.get("Height"))})
+                    self.items.append({"kind": "image", "annot": annot, "m": m, "stream": x, "width": doc.get(x.dict.get("Width")), "height": doc.get(x.dict.get("Height"))})
                 elif isinstance(x, Stream) and depth < MAX_FORMS:
                     m = tuple(float(doc.get(y)) for y in doc.get(x.dict.get("Matrix")) or IDENTITY)
                     try:

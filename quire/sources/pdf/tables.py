@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quire.sources.pdf.cos import Name, PdfError, Ref, Stream, serialise, text_string
+from quire.sources.pdf import images
+from quire.sources.pdf.cos import Name, PdfError, Ref, Stream, instructions, serialise, text_string
 from quire.sources.pdf.document import Document, edges
 from quire.sources.pdf.interpret import Interpreter
 from quire.sources.pdf.signatures import signatures
@@ -21,11 +22,15 @@ ERROR = "error struct<code:string,detail:string>"
 SCHEMAS = {
     "files": f"doc string, length bigint, n_objects int, n_pages int, next_free int, revisions int, rebuilt boolean, info map<string,string>, {ERROR}",
     "xref": f"doc string, section_ord int, num int, gen int, kind string, offset bigint, idx int, {ERROR}",
+    "trailer": f"doc string, section_ord int, key string, value string, {ERROR}",
     "objects": f"doc string, num int, gen int, kind string, is_stream boolean, raw_len bigint, value string, {ERROR}",
     "edges": f"doc string, src int, key_path string, dst int, {ERROR}",
     "pages": f"doc string, page int, obj_num int, media_box array<double>, rotate int, {ERROR}",
+    "instructions": f"doc string, page int, seq bigint, op string, operands string, {ERROR}",
     "glyphs": f"doc string, page int, seq bigint, from_annot boolean, font string, code int, uni string, m {MATRIX}, advance_is_estimated boolean, {ERROR}",
     "items": f"doc string, page int, seq bigint, kind string, from_annot boolean, paint string, box array<double>, width int, height int, {ERROR}",
+    "images": f"doc string, page int, seq bigint, width int, height int, rgba binary, {ERROR}",
+    "summary": f"doc string, page int, paths bigint, glyphs bigint, images bigint, any_estimated boolean, ignored map<string,bigint>, {ERROR}",
     "outline": f"doc string, node int, parent int, depth int, ord int, title string, page int, {ERROR}",
     "annotations": f"doc string, page int, idx int, obj_num int, subtype string, rect array<double>, color array<double>, hidden boolean, {ERROR}",
     "fields": f"doc string, obj_num int, kind string, name string, rect array<double>, value string, options array<struct<obj_num:int,label:string,rect:array<double>,selected:boolean>>, {ERROR}",
@@ -59,6 +64,12 @@ def _xref(doc: Document, **_: Any) -> Iterator[dict]:
         yield {"section_ord": order, "num": num, "gen": gen, "kind": kind, "offset": a, "idx": b if kind == "compressed" else None}
 
 
+def _trailer(doc: Document, **_: Any) -> Iterator[dict]:
+    for order, section in enumerate(doc.trailers):
+        for key in sorted(section):
+            yield {"section_ord": order, "key": key, "value": serialise(section[key]).decode("latin-1")}
+
+
 def _objects(doc: Document, **_: Any) -> Iterator[dict]:
     for num in sorted(doc.xref):
         value = doc.resolve(num)
@@ -77,6 +88,16 @@ def _pages(doc: Document, **_: Any) -> Iterator[dict]:
         yield {"page": p.index, "obj_num": p.ref.num, "media_box": p.media_box, "rotate": p.rotate}
 
 
+def _instructions(doc: Document, pages: list[int] | None = None, **_: Any) -> Iterator[dict]:
+    for p in doc.pages():
+        if pages is None or p.index in pages:
+            try:
+                for seq, (op, operands) in enumerate(instructions(doc.content(p))):
+                    yield {"page": p.index, "seq": seq, "op": op, "operands": serialise(operands).decode("latin-1")}
+            except PdfError as error:
+                yield {"page": p.index, "error": {"code": error.code, "detail": error.detail}}
+
+
 def _each_page(doc: Document, include_annotations: bool, pages: list[int] | None) -> Iterator[tuple[int, list[dict]]]:
     runner = Interpreter(doc)
     for p in doc.pages():
@@ -102,6 +123,32 @@ def _items(doc: Document, include_annotations: bool = False, pages: list[int] |
             yield {"page": page, "seq": seq, "kind": x["kind"], "from_annot": x.get("annot"), "paint": x.get("paint"), "box": x.get("box"), "width": x.get("width"), "height": x.get("height"), "error": x.get("error")}
 
 
+def _images(doc: Document, include_annotations: bool = False, pages: list[int] | None = None) -> Iterator[dict]:
+    for page, items in _each_page(doc, include_annotations, pages):
+        for seq, x in enumerate(items):
+            if x["kind"] == "error":
+                yield {"page": page, "error": x["error"]}
+            elif x["kind"] == "image":
+                row = {"page": page, "seq": seq, "width": x["width"], "height": x["height"]}
+                try:
+                    yield row | {"rgba": images.rgba(doc, x["stream"]).tobytes()}
+                except PdfError as error:
+                    yield row | {"error": {"code": error.code, "detail": error.detail}}
+
+
+def _summary(doc: Document, include_annotations: bool = False, pages: list[int] | None = None) -> Iterator[dict]:
+    runner = Interpreter(doc)
+    for p in doc.pages():
+        if pages is None or p.index in pages:
+            try:
+                items = runner.page(p, include_annotations)
+            except PdfError as error:
+                yield {"page": p.index, "error": {"code": error.code, "detail": error.detail}}
+                continue
+            kinds = [x["kind"] for x in items]
+            yield {"page": p.index, "paths": kinds.count("path"), "glyphs": kinds.count("glyph"), "images": kinds.count("image"), "any_estimated": any(x.get("estimated") for x in items), "ignored": dict(runner.ignored)}
+
+
 def _outline(doc: Document, **_: Any) -> Iterator[dict]:
     yield from doc.outline()
 
@@ -145,7 +192,7 @@ def _signatures(doc: Document, **_: Any) -> Iterator[dict]:
     yield from signatures(doc)
 
 
-READERS: dict[str, Callable[..., Iterator[dict]]] = {"files": _files, "xref": _xref, "objects": _objects, "edges": _edges, "pages": _pages, "glyphs": _glyphs, "items": _items, "outline": _outline, "annotations": _annotations, "fields": _fields, "signatures": _signatures}
+READERS: dict[str, Callable[..., Iterator[dict]]] = {"files": _files, "xref": _xref, "trailer": _trailer, "objects": _objects, "edges": _edges, "pages": _pages, "instructions": _instructions, "glyphs": _glyphs, "items": _items, "images": _images, "summary": _summary, "outline": _outline, "annotations": _annotations, "fields": _fields, "signatures": _signatures}
 
 
 def rows(name: str, doc: str, content: bytes, password: bytes = b"", **options: Any) -> Iterator[dict]:

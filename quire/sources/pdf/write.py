@@ -6,6 +6,11 @@ from typing import Any
 
 from quire.sources.pdf.cos import Name, PdfError, Ref, Stream, serialise
 from quire.sources.pdf.document import Document
+from quire.sources.pdf.filters import jpeg_size
+
+HELVETICA = {"Helv": {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica"), "Encoding": Name("WinAnsiEncoding")}}
+#: Height of the line of a mark, as a part of its rectangle's.
+LINES = {"Underline": 0.08, "StrikeOut": 0.5}
 
 
 def _table(offsets: dict[int, int]) -> bytes:
@@ -113,6 +118,18 @@ def _value_now(self: Copier, value: Any) -> Any:
 Copier._value_now = _value_now
 
 
+def _mark(kind: str, rect: list[float], color: list[float], opacity: float) -> tuple[bytes, dict[str, Any]]:
+    """Content that paints a mark over a rectangle, and the resources that it needs."""
+    x0, y0, x1, y1 = rect
+    shade = " ".join(f"{c:g}" for c in color)
+    if kind in LINES:
+        y = y0 + (y1 - y0) * LINES[kind]
+        paint = f"/G gs {shade} RG 1 w {x0} {y} m {x1} {y} l S"
+    else:
+        paint = f"/G gs {shade} rg {x0} {y0} {x1 - x0} {y1 - y0} re f"
+    return paint.encode(), {"ExtGState": {"G": {"ca": opacity, "CA": opacity}}}
+
+
 class Session:
     """Edits on one document: pending objects over the base, a journal, and saving as an appended revision."""
 
@@ -201,7 +218,7 @@ class Session:
         page = Document(self.save()).pages()[self.page_refs().index(self._checked(at)[at])]
         form, num = self.new(), self.new()
         box = annotation["Rect"]
-        resources = {"Font": {"Helv": {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica"), "Encoding": Name("WinAnsiEncoding")}}} | (extra or {})
+        resources = {"Font": HELVETICA} | (extra or {})
         stream = Stream({"Type": Name("XObject"), "Subtype": Name("Form"), "BBox": box, "Resources": resources}, appearance)
         annots = self.doc.get(page.dict.get("Annots")) if not isinstance(page.dict.get("Annots"), Ref) else self.current(page.dict["Annots"])
         self.commit({form: stream, num: {"Type": Name("Annot"), "F": 4, "AP": {"N": Ref(form, 0)}} | annotation, page.ref.num: page.dict | {"Annots": [*(annots or []), Ref(num, 0)]}})
@@ -211,14 +228,9 @@ class Session:
         x0, x1 = sorted((float(rect[0]), float(rect[2])))
         y0, y1 = sorted((float(rect[1]), float(rect[3])))
         x1, y1 = max(x1, x0 + 1), max(y1, y0 + 1)
-        r, g, b = color
-        if kind == "Highlight":
-            paint = f"/G gs {r} {g} {b} rg {x0} {y0} {x1 - x0} {y1 - y0} re f"
-        else:
-            y = y0 + (y1 - y0) * {"Underline": 0.08, "StrikeOut": 0.5}[kind]
-            paint = f"{r} {g} {b} RG 1 w {x0} {y} m {x1} {y} l S"
+        paint, states = _mark(kind, [x0, y0, x1, y1], color, 0.4 if kind == "Highlight" else 1.0)
         quad = [x0, y1, x1, y1, x0, y0, x1, y0]
-        self._annotate(at, {"Subtype": Name(kind), "Rect": [x0, y0, x1, y1], "QuadPoints": quad, "C": list(color)}, paint.encode(), {"ExtGState": {"G": {"ca": 0.4}}})
+        self._annotate(at, {"Subtype": Name(kind), "Rect": [x0, y0, x1, y1], "QuadPoints": quad, "C": list(color)}, paint, states)
 
     def free_text(self, at: int, rect: list[float], text: str, size: float = 12.0, cover: bool = False) -> None:
         """A line of text in a rectangle; cover paints it white first, which hides but does not remove what is below."""
@@ -227,13 +239,78 @@ class Session:
         paint = (f"1 1 1 rg {x0} {y0} {x1 - x0} {y1 - y0} re f " if cover else "") + f"BT /Helv {size} Tf 0 g {x0 + 2} {y0 + (y1 - y0 - size) / 2 + size * 0.2} Td "
         self._annotate(at, {"Subtype": Name("FreeText"), "Rect": [x0, y0, x1, y1], "Contents": text.encode(), "DA": b"/Helv %g Tf 0 g" % size}, paint.encode() + serialise(raw) + b" Tj ET")
 
-    def remove_annotation(self, at: int, index: int) -> None:
-        page = Document(self.save()).pages()[at]
-        annots = list(Document(self.save()).get(page.dict.get("Annots")) or [])
-        if not 0 <= index < len(annots):
+    def _annotation(self, at: int, index: int) -> tuple[Document, Any, list, dict[str, Any]]:
+        """The document as it stands, a page, its annotation entries (inline ones count) and one of them."""
+        now = Document(self.save())
+        self._checked(at)
+        page = now.pages()[at]
+        entries = list(now.get(page.dict.get("Annots")) or [])
+        if not 0 <= index < len(entries) or not isinstance(now.get(entries[index]), dict):
             raise PdfError("AnnotationOutOfRange", str(index))
-        del annots[index]
-        self.commit({page.ref.num: page.dict | {"Annots": annots}})
+        return now, page, entries, now.get(entries[index])
+
+    def _replace_annotation(self, page: Any, entries: list, index: int, value: dict[str, Any], extra: dict[int, Any] | None = None) -> None:
+        if isinstance(entries[index], Ref):
+            self.commit({entries[index].num: value} | (extra or {}))
+        else:
+            entries[index] = value
+            self.commit({page.ref.num: page.dict | {"Annots": entries}} | (extra or {}))
+
+    def remove_annotation(self, at: int, index: int) -> None:
+        _, page, entries, _ = self._annotation(at, index)
+        del entries[index]
+        self.commit({page.ref.num: page.dict | {"Annots": entries}})
+
+    def restyle(self, at: int, index: int, color: list[float] | None = None, opacity: float | None = None) -> None:
+        """Another colour or opacity (0 to 1) of a highlight, underline or strikeout; its appearance is painted anew."""
+        now, page, entries, value = self._annotation(at, index)
+        kind = str(now.get(value.get("Subtype")))
+        if kind not in ("Highlight", *LINES):
+            raise PdfError("AnnotationKind", kind)
+        rect = [float(now.get(x)) for x in now.get(value["Rect"])]
+        key, usual = ("ca", 0.4) if kind == "Highlight" else ("CA", 1.0)
+        color = [float(now.get(x)) for x in now.get(value.get("C")) or [0, 0, 0]] if color is None else list(color)
+        opacity = float(now.get(value.get(key, usual)) if opacity is None else min(max(opacity, 0.0), 1.0))
+        paint, states = _mark(kind, rect, color, opacity)
+        form = self.new()
+        stream = Stream({"Type": Name("XObject"), "Subtype": Name("Form"), "BBox": rect, "Resources": states}, paint)
+        self._replace_annotation(page, entries, index, value | {"C": color, key: opacity, "AP": {"N": Ref(form, 0)}}, {form: stream})
+
+    def move_annotation(self, at: int, index: int, rect: list[float]) -> None:
+        """Another rectangle; the corners of marked text go along, the appearance stays and is fitted by readers."""
+        now, page, entries, value = self._annotation(at, index)
+        old = [float(now.get(x)) for x in now.get(value["Rect"])]
+        new = [float(x) for x in rect]
+        new = [min(new[0], new[2]), min(new[1], new[3]), max(new[0], new[2]), max(new[1], new[3])]
+        change: dict[str, Any] = {"Rect": new}
+        if isinstance(quads := now.get(value.get("QuadPoints")), list):
+            moved = []
+            for k, raw in enumerate(quads):
+                low, high = old[k % 2], old[k % 2 + 2]
+                part = (float(now.get(raw)) - low) / (high - low) if high != low else 0.0
+                moved.append(new[k % 2] + part * (new[k % 2 + 2] - new[k % 2]))
+            change["QuadPoints"] = moved
+        self._replace_annotation(page, entries, index, value | change)
+
+    def insert_image(self, at: int, jpeg: bytes) -> None:
+        """A page that a JPEG file fills, a point a pixel."""
+        width, height, n = jpeg_size(jpeg)
+        if n not in (1, 3, 4):
+            raise PdfError("BadImage", f"{n} components")
+        refs, num, image, content = self.page_refs(), self.new(), self.new(), self.new()
+        refs.insert(max(0, min(at, len(refs))), Ref(num, 0))
+        space = {1: "DeviceGray", 3: "DeviceRGB", 4: "DeviceCMYK"}[n]
+        picture = Stream({"Type": Name("XObject"), "Subtype": Name("Image"), "Width": width, "Height": height, "BitsPerComponent": 8, "ColorSpace": Name(space), "Filter": Name("DCTDecode")}, jpeg)
+        page = {"Type": Name("Page"), "MediaBox": [0.0, 0.0, float(width), float(height)], "Resources": {"XObject": {"Im": Ref(image, 0)}}, "Contents": Ref(content, 0)}
+        self._order(refs, {num: page, image: picture, content: Stream({}, b"q %d 0 0 %d 0 0 cm /Im Do Q" % (width, height))})
+
+    def _field_appearance(self, rect: list[float], value: bytes) -> tuple[int, Stream]:
+        """A line of text as high as the field allows, from 6 to 18 points."""
+        width, height = abs(rect[2] - rect[0]), abs(rect[3] - rect[1])
+        size = min(max(0.7 * height, 6.0), 18.0)
+        shown = value.decode("utf-8", "replace").encode("latin-1", "replace")
+        paint = b"/Tx BMC BT /Helv %g Tf 0 g 2 %g Td " % (size, (height - size) / 2 + 0.2 * size) + serialise(shown) + b" Tj ET EMC"
+        return self.new(), Stream({"Type": Name("XObject"), "Subtype": Name("Form"), "BBox": [0.0, 0.0, width, height], "Resources": {"Font": HELVETICA}}, paint)
 
     def set_field(self, name: str, value: Any) -> None:
         """The value of the first field of that name; names (Name) also select the appearance state."""
@@ -242,6 +319,10 @@ class Session:
             if isinstance(field, dict) and field.get("T") == name.encode():
                 state = {"AS": value} if isinstance(value, Name) else {}
                 changes = {ref.num: field | {"V": value} | (state if "Kids" not in field else {})}
+                rect = [self.doc.get(x) for x in self.doc.get(field.get("Rect")) or []]
+                if isinstance(value, bytes) and field.get("FT") in ("Tx", "Ch") and len(rect) == 4:
+                    form, stream = self._field_appearance([float(x) for x in rect], value)
+                    changes[form], changes[ref.num] = stream, changes[ref.num] | {"AP": {"N": Ref(form, 0)}}
                 for kid in field.get("Kids", []) if isinstance(value, Name) else []:
                     own = self.current(kid)
                     on = value in (self.doc.find(own, "AP", "N") or {})
