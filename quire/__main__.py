@@ -12,7 +12,7 @@ from pathlib import Path
 from quire.operators.editing import edited
 from quire.sources.pdf.cos import PdfError
 from quire.sources.pdf.document import Document
-from quire.sources.pdf.interpret import Interpreter
+from quire.sources.pdf.interpret import Interpreter, text_of
 from quire.sources.pdf.tables import rows
 from quire.sources.pdf.write import assemble
 
@@ -31,19 +31,6 @@ EDITS: dict[str, tuple[str, dict[str, Callable]]] = {
 }
 
 
-def page_text(glyphs: list[dict]) -> str:
-    """Glyphs of a page as lines, as the text operators of tables break them."""
-    out, before = [], None
-    for g in glyphs:
-        if g["uni"] is not None:
-            height = max(abs(g["m"][3]), 1.0)
-            if before and abs(g["m"][5] - before[0]) > 0.5 * max(height, before[1]):
-                out.append("\n")
-            out.append(g["uni"])
-            before = (g["m"][5], height)
-    return "".join(out)
-
-
 def _show(table: str, data: bytes, **options) -> None:
     for row in rows(table, "", data, **options):
         print(json.dumps({k: v for k, v in row.items() if k != "doc" and v is not None}, default=str))
@@ -55,9 +42,9 @@ def _bench(data: bytes) -> None:
     pages = doc.pages()
     opened = time.perf_counter()
     runner = Interpreter(doc)
-    shown = [[x for x in runner.page(p) if x["kind"] == "glyph"] for p in pages]
+    shown = [runner.runs(p) for p in pages]
     interpreted = time.perf_counter()
-    letters = sum(len(page_text(x)) for x in shown)
+    letters = sum(len(text_of(x)) for x in shown)
     ended = time.perf_counter()
     print(json.dumps({"pages": len(pages), "characters": letters, "open_seconds": opened - began, "interpret_seconds": interpreted - opened, "text_seconds": ended - interpreted}))
 
@@ -113,7 +100,7 @@ def main(argv: list[str] | None = None) -> int:
             page = next((p for p in doc.pages() if p.index == given.page), None)
             if page is None:
                 raise PdfError("PageOutOfRange", str(given.page))
-            print(page_text([x for x in Interpreter(doc).page(page) if x["kind"] == "glyph"]))
+            print(text_of(Interpreter(doc).runs(page)))
         elif given.command in ("split", "optimize"):
             doc = Document(data)
             pages = given.pages if given.command == "split" else range(len(doc.pages()))
@@ -130,7 +117,5 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
-__all__ = ["main", "page_text"]
-
 if __name__ == "__main__":
     sys.exit(main())

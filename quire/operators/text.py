@@ -65,10 +65,20 @@ def _quoted(text: str) -> str:
 
 
 def match_boxes(char_rows: DataFrame, starts: DataFrame, length: int, keys: list[str]) -> DataFrame:
-    """keys, pos and the box around the characters of each match; matches of line breaks alone have none and go."""
-    places = starts.select(*keys, F.col("pos").alias("start"), F.explode(F.sequence("pos", F.col("pos") + length - 1)).alias("pos"))
-    found = char_rows.join(places, [*keys, "pos"]).groupBy(*keys, "start").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    return found.where("x0 IS NOT NULL").withColumnRenamed("start", "pos")
+    """keys, pos and the box around the characters of each match; matches of line breaks alone have none and go.
+
+    char_rows holds every character of its pages, as chars() gives them. Both sides meet once a page, so the join has
+    the partitioning that the characters have already, and no character is shuffled for it.
+    """
+    pages = char_rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x0", "y0", "x1", "y1"))).alias("_chars"))
+    places = starts.groupBy(*keys).agg(F.collect_list("pos").alias("_starts"))
+
+    def box(start: Column) -> Column:
+        part = F.slice("_chars", start + 1, length)
+        return F.struct(start.alias("pos"), *(least(part[c]).alias(c) for least, c in ((F.array_min, "x0"), (F.array_min, "y0"), (F.array_max, "x1"), (F.array_max, "y1"))))
+
+    found = pages.join(places, keys).select(*keys, F.inline(F.transform("_starts", box)))
+    return found.where("x0 IS NOT NULL")
 
 
 def hit(char_rows: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:

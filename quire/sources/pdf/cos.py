@@ -47,6 +47,10 @@ END = Keyword("")
 MAX_DEPTH = 200
 
 
+#: A string without escapes and inner parentheses, as most are.
+PLAIN = re.compile(rb"\(([^()\\]*)\)")
+
+
 class Parser:
     """Tokens and objects from a position on."""
 
@@ -118,6 +122,9 @@ class Parser:
         return Name(raw.decode("utf-8", "replace"))
 
     def _literal(self) -> bytes:
+        if m := PLAIN.match(self.data, self.pos):
+            self.pos = m.end()
+            return m[1]
         out, depth, pos, data = bytearray(), 1, self.pos + 1, self.data
         while depth:
             if pos >= len(data):

@@ -63,6 +63,7 @@ def to_unicode(data: bytes) -> dict[int, str]:
 
 class Font:
     def __init__(self, doc: Document, value: Any):
+        self._table = None
         font = doc.get(value)
         if not isinstance(font, dict):
             raise PdfError("BadFont")
@@ -114,10 +115,15 @@ class Font:
         else:
             self.widths = dict(enumerate(map(float, TIMES if "Times" in self.base else HELVETICA), 32))
 
-    def codes(self, raw: bytes) -> list[tuple[int, str | None, float, bool]]:
-        """(code, text, width, whether the code is a one-byte space)."""
-        found = [int.from_bytes(raw[k : k + 2], "big") for k in range(0, len(raw) - 1, 2)] if self.composite else list(raw)
-        return [(c, self.chars.get(c), self.widths.get(c, self.default), not self.composite and c == 32) for c in found]
+    def shown(self, raw: bytes) -> tuple[list[int], list[str | None], list[float]]:
+        """Codes, texts and widths of a string."""
+        if self.composite:
+            codes = [int.from_bytes(raw[k : k + 2], "big") for k in range(0, len(raw) - 1, 2)]
+            return codes, [self.chars.get(c) for c in codes], [self.widths.get(c, self.default) for c in codes]
+        if self._table is None:
+            self._table = [self.chars.get(c) for c in range(256)], [self.widths.get(c, self.default) for c in range(256)]
+        texts, widths = self._table
+        return list(raw), [texts[c] for c in raw], [widths[c] for c in raw]
 
 
 __all__ = ["Font", "Ref", "to_unicode"]

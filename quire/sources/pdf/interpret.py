@@ -6,6 +6,8 @@ from collections import Counter
 from dataclasses import dataclass, replace
 from typing import Any
 
+import numpy as np
+
 from quire.sources.pdf.cos import Name, PdfError, Ref, Stream, instructions
 from quire.sources.pdf.document import Document, Page
 from quire.sources.pdf.filters import decode
@@ -39,6 +41,44 @@ class State:
     clips: int = 0
 
 
+def origins(run: dict[str, Any]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each glyph of a run stands."""
+    size, char, word, scale = run["pace"]
+    steps = np.array(run["widths"]) / 1000 * size + char
+    if word:
+        steps += word * (np.array(run["codes"]) == 32)
+    gone = np.concatenate(([0.0], np.cumsum(steps[:-1]))) * scale
+    return run["m"][4] + gone * run["along"][0], run["m"][5] + gone * run["along"][1]
+
+
+def glyphs(run: dict[str, Any]) -> list[dict[str, Any]]:
+    """A run as single glyphs."""
+    same = {"kind": "glyph", "annot": run["annot"], "font": run["font"], "estimated": run["estimated"]}
+    shape = run["m"][:4]
+    return [same | {"code": c, "uni": u, "m": (*shape, x, y)} for c, u, x, y in zip(run["codes"], run["texts"], *(o.tolist() for o in origins(run)), strict=True)]
+
+
+def text_of(items: list[dict[str, Any]]) -> str:
+    """The text of a page's runs: a line break where glyphs stand more than half the taller height apart."""
+    out: list[str] = []
+    last, above = None, 1.0
+    for run in items:
+        if run["kind"] != "run":
+            continue
+        height = max(abs(run["m"][3]), 1.0)
+        if run["along"][1] == 0 or len(run["codes"]) == 1:
+            text = "".join(filter(None, run["texts"])) if None in run["texts"] else "".join(run["texts"])
+            pieces = [(text, run["m"][5])] if text or any(x is not None for x in run["texts"]) else []
+        else:
+            pieces = [(x, y) for x, y in zip(run["texts"], origins(run)[1].tolist(), strict=True) if x is not None]
+        for text, y in pieces:
+            if last is not None and abs(y - last) > 0.5 * max(height, above):
+                out.append("\n")
+            out.append(text)
+            last, above = y, height
+    return "".join(out)
+
+
 class Interpreter:
     """Runs pages of one document; fonts are loaded once a document."""
 
@@ -46,6 +86,14 @@ class Interpreter:
         self.doc, self.fonts = doc, {}
 
     def page(self, page: Page, annotations: bool = False) -> list[dict[str, Any]]:
+        """Display items in order, a glyph each."""
+        out: list[dict[str, Any]] = []
+        for item in self.runs(page, annotations):
+            out += glyphs(item) if item["kind"] == "run" else [item]
+        return out
+
+    def runs(self, page: Page, annotations: bool = False) -> list[dict[str, Any]]:
+        """Display items in order; glyphs that one string shows stay together as a run."""
         self.items, self.ignored = [], Counter()
         self._run(self.doc.content(page), page.resources, State(), 0, False)
         if annotations:
@@ -89,12 +137,15 @@ class Interpreter:
             if not isinstance(raw, bytes):
                 return
             font = state.font
-            for code, uni, w, space in font.codes(raw) if font else [(c, None, 500.0, False) for c in raw]:
-                shape = (state.size * state.scale, 0.0, 0.0, state.size, 0.0, state.rise)
-                m = then(then(shape, tm), state.ctm)
-                self.items.append({"kind": "glyph", "annot": annot, "font": font.base if font else None, "code": code, "uni": uni, "m": m, "estimated": font is None})
-                step = (w / 1000 * state.size + state.char + (state.word if space else 0.0)) * state.scale
-                tm = then((1.0, 0.0, 0.0, 1.0, step, 0.0), tm)
+            codes, texts, widths = font.shown(raw) if font else (list(raw), [None] * len(raw), [500.0] * len(raw))
+            if not codes:
+                return
+            shape = (state.size * state.scale, 0.0, 0.0, state.size, 0.0, state.rise)
+            along = tm[0] * state.ctm[0] + tm[1] * state.ctm[2], tm[0] * state.ctm[1] + tm[1] * state.ctm[3]
+            spaced = state.word if font and not font.composite else 0.0
+            self.items.append({"kind": "run", "annot": annot, "font": font.base if font else None, "codes": codes, "texts": texts, "widths": widths, "m": then(then(shape, tm), state.ctm), "along": along, "pace": (state.size, state.char, spaced, state.scale), "estimated": font is None})
+            step = (sum(widths) / 1000 * state.size + len(codes) * state.char + (codes.count(32) * spaced if spaced else 0.0)) * state.scale
+            tm = then((1.0, 0.0, 0.0, 1.0, step, 0.0), tm)
 
         def point(x: float, y: float) -> tuple[float, float]:
             m = state.ctm

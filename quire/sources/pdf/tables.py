@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql.types import StructType
 from quire.sources.pdf import images
 from quire.sources.pdf.cos import Name, PdfError, Ref, Stream, instructions, serialise, text_string
 from quire.sources.pdf.document import Document, edges
-from quire.sources.pdf.interpret import Interpreter
+from quire.sources.pdf.interpret import Interpreter, origins, text_of
 from quire.sources.pdf.signatures import signatures
 
 MATRIX = "struct<a:double,b:double,c:double,d:double,e:double,f:double>"
@@ -28,6 +29,7 @@ SCHEMAS = {
     "pages": f"doc string, page int, obj_num int, media_box array<double>, rotate int, {ERROR}",
     "instructions": f"doc string, page int, seq bigint, op string, operands string, {ERROR}",
     "glyphs": f"doc string, page int, seq bigint, from_annot boolean, font string, code int, uni string, m {MATRIX}, advance_is_estimated boolean, {ERROR}",
+    "page_text": f"doc string, page int, text string, {ERROR}",
     "items": f"doc string, page int, seq bigint, kind string, from_annot boolean, paint string, box array<double>, width int, height int, {ERROR}",
     "images": f"doc string, page int, seq bigint, width int, height int, rgba binary, {ERROR}",
     "summary": f"doc string, page int, paths bigint, glyphs bigint, images bigint, any_estimated boolean, ignored map<string,bigint>, {ERROR}",
@@ -117,6 +119,70 @@ def _glyphs(doc: Document, include_annotations: bool = False, pages: list[int] |
                 yield {"page": page, "seq": seq, "from_annot": x["annot"], "font": x["font"], "code": x["code"], "uni": x["uni"], "m": dict(zip("abcdef", x["m"], strict=True)), "advance_is_estimated": x["estimated"]}
 
 
+def _page_text(doc: Document, include_annotations: bool = False, pages: list[int] | None = None) -> Iterator[dict]:
+    runner = Interpreter(doc)
+    for p in doc.pages():
+        if pages is None or p.index in pages:
+            try:
+                yield {"page": p.index, "text": text_of(runner.runs(p, include_annotations))}
+            except PdfError as error:
+                yield {"page": p.index, "error": {"code": error.code, "detail": error.detail}}
+
+
+def _glyph_batch(doc: str, page: int, items: list[dict], target: pa.Schema) -> pa.RecordBatch | None:
+    """The rows of _glyphs() for one page, column by column."""
+    runs, at, seq = [], [], 0
+    for x in items:
+        n = len(x["codes"]) if x["kind"] == "run" else 1
+        if x["kind"] == "run":
+            runs.append(x)
+            at.append(np.arange(seq, seq + n))
+        seq += n
+    if not runs:
+        return None
+    sizes = [len(x["codes"]) for x in runs]
+    n = sum(sizes)
+    places = [np.concatenate(o) for o in zip(*map(origins, runs), strict=True)]
+    matrix = [np.repeat([x["m"][k] for x in runs], sizes) for k in range(4)] + places
+    which = pa.array(np.repeat(np.arange(len(runs)), sizes))
+    columns = {
+        "doc": pa.array([doc]).take(pa.array(np.zeros(n, np.int64))),
+        "page": pa.array(np.full(n, page, np.int32)),
+        "seq": pa.array(np.concatenate(at)),
+        "from_annot": pa.array([x["annot"] for x in runs]).take(which),
+        "font": pa.array([x["font"] for x in runs], pa.string()).take(which),
+        "code": pa.array([c for x in runs for c in x["codes"]], pa.int32()),
+        "uni": pa.array([u for x in runs for u in x["texts"]], pa.string()),
+        "m": pa.StructArray.from_arrays([pa.array(v) for v in matrix], fields=list(target.field("m").type)),
+        "advance_is_estimated": pa.array([x["estimated"] for x in runs]).take(which),
+        "error": pa.nulls(n, target.field("error").type),
+    }
+    return pa.RecordBatch.from_arrays([columns[f.name] for f in target], schema=target)
+
+
+def _glyph_batches(doc: str, content: bytes, password: bytes, target: pa.Schema, include_annotations: bool = False, pages: list[int] | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of rows("glyphs"), a batch a page."""
+
+    def failed(code: str, detail: str, page: int | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"doc": doc, "page": page, "error": {"code": code, "detail": detail}}], target)
+
+    try:
+        opened = Document(content, password)
+        runner = Interpreter(opened)
+        for p in opened.pages():
+            if pages is None or p.index in pages:
+                try:
+                    found = _glyph_batch(doc, p.index, runner.runs(p, include_annotations), target)
+                except PdfError as error:
+                    found = failed(error.code, error.detail, p.index)
+                if found is not None:
+                    yield found
+    except PdfError as error:
+        yield failed(error.code, error.detail)
+    except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError) as error:
+        yield failed("Malformed", f"{type(error).__name__}: {error}")
+
+
 def _items(doc: Document, include_annotations: bool = False, pages: list[int] | None = None) -> Iterator[dict]:
     for page, items in _each_page(doc, include_annotations, pages):
         for seq, x in enumerate(items):
@@ -192,7 +258,7 @@ def _signatures(doc: Document, **_: Any) -> Iterator[dict]:
     yield from signatures(doc)
 
 
-READERS: dict[str, Callable[..., Iterator[dict]]] = {"files": _files, "xref": _xref, "trailer": _trailer, "objects": _objects, "edges": _edges, "pages": _pages, "instructions": _instructions, "glyphs": _glyphs, "items": _items, "images": _images, "summary": _summary, "outline": _outline, "annotations": _annotations, "fields": _fields, "signatures": _signatures}
+READERS: dict[str, Callable[..., Iterator[dict]]] = {"files": _files, "xref": _xref, "trailer": _trailer, "objects": _objects, "edges": _edges, "pages": _pages, "instructions": _instructions, "glyphs": _glyphs, "page_text": _page_text, "items": _items, "images": _images, "summary": _summary, "outline": _outline, "annotations": _annotations, "fields": _fields, "signatures": _signatures}
 
 
 def rows(name: str, doc: str, content: bytes, password: bytes = b"", **options: Any) -> Iterator[dict]:
@@ -217,6 +283,9 @@ def pdf_table(files: DataFrame, name: str, **options: Any) -> DataFrame:
             for k in range(batch.num_rows):
                 password = batch.column("password")[k].as_py() if has_password else b""
                 password = password.encode() if isinstance(password, str) else password or b""
+                if name == "glyphs":
+                    yield from _glyph_batches(batch.column("path")[k].as_py(), batch.column("content")[k].as_py() or b"", password, target, **options)
+                    continue
                 held = []
                 for row in rows(name, batch.column("path")[k].as_py(), batch.column("content")[k].as_py() or b"", password, **options):
                     held.append(row)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from quire.operators import text as T
-from quire.sources.pdf.tables import SCHEMAS, flat_glyphs, pdf_table
+from quire.sources.pdf.tables import SCHEMAS, pdf_table
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -17,8 +16,8 @@ def arriving(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> Dat
     return source.option("maxFilesPerTrigger", files_a_batch).load(folder)
 
 
-def ingest(files: DataFrame, target: str, checkpoint: str, names: tuple[str, ...] = ("files", "pages"), page_text: bool = True, once: bool = True) -> StreamingQuery:
-    """Write the named tables (see SCHEMAS), and page_text, of arriving files below `target`.
+def ingest(files: DataFrame, target: str, checkpoint: str, names: tuple[str, ...] = ("files", "pages", "page_text"), once: bool = True) -> StreamingQuery:
+    """Write the named tables (see SCHEMAS) of arriving files below `target`.
 
     A micro-batch replaces its own partition, so one that runs again after a failure writes nothing twice.
     """
@@ -28,8 +27,6 @@ def ingest(files: DataFrame, target: str, checkpoint: str, names: tuple[str, ...
 
     def write(batch: DataFrame, number: int) -> None:
         found = {name: pdf_table(batch, name) for name in names}
-        if page_text:
-            found["page_text"] = T.page_text(flat_glyphs(pdf_table(batch, "glyphs")), ["doc", "page"])
         for name, table in found.items():
             table.write.mode("overwrite").parquet(f"{target.rstrip('/')}/{name}/batch={number}")
 

@@ -5,10 +5,11 @@ import pytest
 
 from quire.__main__ import main
 from quire.operators import editing
+from quire.operators import text as T
 from quire.sources.pdf import images
 from quire.sources.pdf.cos import Name, PdfError, Ref, Stream
 from quire.sources.pdf.document import Document
-from quire.sources.pdf.tables import pdf_table, rows
+from quire.sources.pdf.tables import flat_glyphs, pdf_table, rows
 from quire.sources.pdf.write import Session, standalone
 from quire.sources.sinks import text_files, write_files
 from tests.pdfs import simple, text_page
@@ -123,3 +124,17 @@ def test_commands(tmp_path, capsys):
     for command in ("dump", "verify-signatures"):
         assert main([command, str(out)]) == 0
     assert main(["delete-page", str(source), str(out), "9"]) == 1 and main(["text", str(tmp_path / "none.pdf")]) == 1
+
+
+def test_runs_and_glyphs_agree(spark):
+    turned = b"BT /F1 12 Tf 2 Tc 3 Tw 90 Tz 0 1 -1 0 100 100 Tm (up ward) Tj 1 0.3 0 1 0 500 Tm (slanted line) Tj [(a b) -500 (c)] TJ /None 9 Tf (??) Tj ET 0 0 9 9 re f BT /F1 5 Tf 3 3 Td (end) Tj ET"
+    data = simple([turned, text_page("A", "B"), b"", b"(unclosed"])
+    files = spark.createDataFrame([("d", data), ("bad", b"x")], "path string, content binary")
+    plain = spark.createDataFrame(one(data, "glyphs"), pdf_table(files, "glyphs").schema)
+    key = lambda r: (r["page"], r["seq"] or 0)
+    fast = pdf_table(files, "glyphs")
+    assert sorted(fast.where("doc = 'd'").collect(), key=key) == sorted(plain.collect(), key=key)
+    assert fast.where("doc = 'bad'").first()["error"]["code"] and fast.where("page = 3").first()["error"]
+    told = {r["page"]: r["text"] for r in pdf_table(files, "page_text").where("doc = 'd'").collect()}
+    lines = {r["page"]: r["text"] for r in T.page_text(flat_glyphs(fast), ["doc", "page"]).collect()}
+    assert {k: v for k, v in told.items() if v} == lines and told[2] == "" and told[3] is None
