@@ -14,7 +14,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     The budget of `share` times all words is dealt in proportion to the weights; no target passes `most`
     times its source's size, and what is over goes to the others by weight until none is above. With
     sources in order of cap over weight, the first k meet their caps and the rest divide what is left,
-    so running sums over the table of sources (one row each) find the level in one pass.
+    so running sums over the table of sources (one row each) find the level in one pass: that of the first
+    source under its cap. Later ones take that source for full and come out lower, so it is the highest.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     table = F.array(*map(F.lit, weights))
@@ -22,7 +23,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
     ahead, rest, all_rows = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
     level = (share * F.sum("source_size").over(all_rows) - F.coalesce(F.sum("cap").over(ahead), F.lit(0.0))) / F.sum("weight").over(rest)
-    leveled = ranked.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(all_rows))
+    leveled = ranked.withColumn("level", level).withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(all_rows))
     return leveled.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")).alias("target"))
 
 

@@ -274,3 +274,26 @@ def test_mixing(spark):
         assert v[0]["target"] <= 2 * v[0]["source_size"] + 1e-9 and abs(sum(r["taken"] for r in v) - v[0]["target"]) <= 1
     again = mixing.mix(table(spark, rows[::-1])).collect()
     assert sorted(map(str, again)) == sorted(map(str, found)) and mixing.mix(table(spark, [])).count() == 0
+
+
+def brute_targets(sizes, weights=(5, 2, 1)):
+    """Deal the budget by weight again and again, each time without the sources that it fills."""
+    weight, target, open_ = {k: weights[i % 3] for i, k in enumerate(sorted(sizes))}, {}, set(sizes)
+    while open_:
+        level = (1.5 * sum(sizes.values()) - sum(target.values())) / sum(weight[k] for k in open_)
+        full = {k for k in open_ if level * weight[k] > 2.0 * sizes[k]}
+        target |= {k: 2.0 * sizes[k] if full else level * weight[k] for k in full or open_}
+        open_ -= full or open_
+    return target
+
+
+def test_mixing_targets(spark):
+    rng = np.random.default_rng(4)
+    cases = [[100] * n for n in (1, 3, 4)] + [[0, 0], [0, 100, 7]] + [rng.integers(0, 100_000, n).tolist() for n in (2, 5, 20, 60)]
+    for sizes in cases:
+        sizes = {f"s{k:02}": x for k, x in enumerate(sizes)}
+        found = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        assert found == pytest.approx(brute_targets(sizes)) and min(found.values()) >= 0
+        assert sum(found.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    rows = [(k, "w " * 100, s) for k, s in enumerate("abcd")]
+    assert {r["source"]: r["taken"] for r in mixing.mix(table(spark, rows)).collect()} == {"a": 200, "b": 133, "c": 66, "d": 200}
