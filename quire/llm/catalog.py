@@ -29,7 +29,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.remove_lines(_table(spark, sf_dir, "documents"))
+    found = lines.remove_lines(_table(spark, sf_dir, "documents"), min_words=1)
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return found.select("doc_id", "n_chars", F.size("spans").cast("long").alias("n_removed"), gone.alias("chars_removed"), F.md5("kept").alias("kept_md5"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import SPACE, small, stage
 
-#: Units of fewer words are headings, captions and the like; they repeat by nature and stay.
+#: Least words of a unit unless the caller says otherwise: headings, captions and the like then stay. The query asks for 1.
 MIN_WORDS = 5
 SEPARATOR = {"line": "\n", "paragraph": "\n\n"}
 
@@ -17,16 +17,17 @@ def normalise(unit: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(unit), SPACE, " "), r"[0-9]+", "0"))
 
 
-def units(rows: DataFrame, unit: str) -> DataFrame:
-    """id, tie, place and digest of every unit long enough to count."""
+def units(rows: DataFrame, unit: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """id, tie, place and digest of every unit that is not blank and long enough to count."""
     flat = rows.select("id", "tie", F.posexplode(F.split("text", SEPARATOR[unit])).alias("place", "unit"))
     flat = flat.select("id", "tie", "place", normalise(F.col("unit")).alias("form"))
-    return flat.where(F.size(F.split("form", " ")) >= MIN_WORDS).select("id", "tie", "place", F.unhex(F.md5("form")).alias("digest"))
+    return flat.where((F.col("form") != "") & (F.size(F.split("form", " ")) >= min_words)).select("id", "tie", "place", F.unhex(F.md5("form")).alias("digest"))
 
 
-def remove_lines(docs: DataFrame, unit: str = "line", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Remove every line (or paragraph) of five words or more that an earlier place of the corpus has.
+def remove_lines(docs: DataFrame, unit: str = "line", carry: tuple[str, ...] = (), min_words: int = MIN_WORDS) -> DataFrame:
+    """Remove every line (or paragraph) of `min_words` words or more that an earlier place of the corpus has.
 
+    With 1, all units but blank ones count, those of scripts without spaces too.
     Units are compared in normal form; places rank by (doc_id, number of the unit), null doc_ids last.
     Digests are counted before anything is joined, so units that occur once never meet; a hot unit is one
     row of the table of firsts. Returns doc_id, `carry`, n_chars, spans (start, end of removed units in code points of
@@ -37,7 +38,7 @@ def remove_lines(docs: DataFrame, unit: str = "line", carry: tuple[str, ...] = (
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id")
     rows = docs.select(key, F.xxhash64("text", "doc_id").alias("tie"), F.coalesce("text", F.lit("")).alias("text"), "doc_id", *carry)
     separator = SEPARATOR[unit]
-    found = units(rows.select("id", "tie", "text"), unit)
+    found = units(rows.select("id", "tie", "text"), unit, min_words)
     spot = F.struct("id", "tie", "place")
     firsts = found.groupBy("digest").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("digest", "first")
     firsts = small(stage(firsts, "line-firsts"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import chat, common, decontaminate, html, lines, mixing, near_dup, quality, substrings, toxicity, warc
+from quire.llm import catalog, chat, common, decontaminate, html, lines, mixing, near_dup, quality, substrings, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, id long, tie long, score double"
 
@@ -118,6 +118,15 @@ def test_lines(spark):
     assert {r["kept"] for r in paragraphs} == {f"{one}\n\n{two}", "x"} and lines.remove_lines(table(spark, []), "line").count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    whole = "从前有一个人住在山上。"
+    rows = [(1, "A  1\nb\n\nx"), (2, "a 2\n\n \nB\ny"), (3, f"{whole}\nb"), (4, f"z\n{whole}\nX")]
+    table(spark, [(i, t, "a") for i, t in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: (r["n_removed"], r["kept_md5"]) for r in catalog.op5_lines(spark, str(tmp_path)).collect()}
+    kept = {1: (0, rows[0][1]), 2: (2, "\n \ny"), 3: (1, whole), 4: (2, "z")}
+    assert found == {i: (n, hashlib.md5(t.encode()).hexdigest()) for i, (n, t) in kept.items()}
+
+
 def test_warc(spark):
     body = "<p>é</p>" * 30
     rows = [(5, "u", body, 1), (2, None, body, 1), (9, "u\r\n%", body, 1), (7, "u", "short", 1), (8, "u", "short", 1), (3, "u", None, 1), (4, "u", "", 1), (None, "u", body, 1), (2, "v", body, 1)]
