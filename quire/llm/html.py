@@ -2,8 +2,10 @@
 
 A page becomes text blocks, each with its root-to-leaf path of block tags. For every path the text length
 and the punctuation a block are aggregated, the sequence of both along the page is smoothed, the two are
-fused, and blocks over a threshold are content. The smallest element that holds almost all of them is the
-article; all of its blocks but those that markup sets aside (menus, adverts, forms, comments) are its text.
+fused, and blocks over a threshold are content. Where markup names an article or main part, all of its blocks
+but those set aside (menus, adverts, forms, comments) and unscored lists of links are the text. Elsewhere the
+smallest element that holds almost all content gives its blocks likewise, and the part of the body around it
+gives its headings and content.
 """
 
 from __future__ import annotations
@@ -157,6 +159,12 @@ def _under(element: Element | None, *tags: str) -> Element | None:
     return element
 
 
+def _within(element: Element | None, outer: Element | None) -> bool:
+    while element and element is not outer:
+        element = element.parent
+    return element is not None
+
+
 def _path(element: Element | None) -> str:
     names = []
     while element:
@@ -209,12 +217,13 @@ def extract(html: str | None) -> str:
             best = up
     while best and best.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr", "blockquote", "pre", "ul", "ol", "dd", "dl", "tbody"):
         best = best.parent
+    home = best  # the element right below the body that the article lies in
+    while home and home.parent and home.parent.tag not in ("", "html", "body"):
+        home = home.parent
     kept = []
     for (element, text, linked), ok in zip(found, chosen, strict=True):
-        up = element
-        while up and up is not best:
-            up = up.parent
-        if up and (ok or 2 * linked <= len(text) or element.tag in HEADINGS):
+        near = bool(inside) or _within(element, best)
+        if ok and (near or _within(element, home)) or near and 2 * linked <= len(text) or element.tag in HEADINGS and (near or _within(element, home)):
             kept.append(text)
     return "\n\n".join(kept)
 

@@ -30,6 +30,17 @@ def test_html():
     assert [html.extract(x) for x in (None, "", "<p>", "plain &lt; text", "<script>x")] == ["", "", "", "plain < text", ""]
 
 
+def test_html_keeps_what_lies_around_the_body():
+    long = [f"Paragraph {k} tells a long story, with commas, and it goes on; then, after a while, it ends. " * 4 for k in range(12)]
+    body = "".join(f"<p>{x}</p>" for x in long)
+    want = "\n\n".join(["T", "A lead, in short.", *map(str.strip, long)])
+    for outer in ("article", "main", "div"):
+        page = f'<body><div><a href="/">Home</a></div><{outer}><h1>T</h1><p>A lead, in short.</p><div class="body">{body}</div><div class="share">Share, now.</div></{outer}>'
+        assert html.extract(page) == want, outer
+    assert html.extract(f"<main><h1>T</h1><p>A lead, in short.</p><article>{body}</article></main>") == want
+    assert html.extract(f"<article><section>{body}</section><section><h2>Later</h2><p>Short.</p></section></article>").endswith("Later\n\nShort.")
+
+
 def test_html_on_spark(spark):
     pages = spark.createDataFrame([(1, None, None, 5), (1, "u", "<p>é</p>", 6), (None, "u", "<p>é</p>", 6)], "page_id long, url string, html string, text int")
     assert sorted((r["text"], r["n_chars"]) for r in html.main_text(pages).collect()) == [("", 0), ("é", 1), ("é", 1)]
