@@ -1,7 +1,8 @@
-"""Near-duplicate documents: an LSH forest over MinHash signatures, links confirmed on full shingle sets.
+"""Near-duplicate documents: fixed bands of MinHash signatures, links confirmed on full shingle sets.
 
-Every distinct shingle set gets a signature of 128 minima. Tree t of the forest is the sorted order of the
-signatures rotated to start at value 4t; a region is a run with the same first four values. Links are sought
+Every distinct shingle set gets a signature of 128 minima, cut into 32 bands of four values. This is not an LSH
+forest: no signatures are sorted, no longest common prefix or neighbour is computed and the depth is always
+four. A band's values are hashed to a key, and a region is the sets with the same key. Links are sought
 in steps, each skipping what is known to be connected already, so large groups of copies cost a few
 comparisons a member and never all pairs:
 
@@ -10,7 +11,7 @@ comparisons a member and never all pairs:
 3. inside regions that still hold several components, each set is compared with the set of another component
    that shares most of its signature;
 4. regions that hold several components even then are compared in full: all pairs across components whose
-   signatures do not rule a link out meet in memory, each in the first tree that holds both, and only links
+   signatures do not rule a link out meet in memory, each in the first band that holds both, and only links
    leave the task. A region is dealt to tasks as pairs of blocks, the deeper the larger it is.
 
 Two sets of similarity 0.75 share no region with a probability of 5e-6.
@@ -76,7 +77,7 @@ def signature(items: np.ndarray) -> np.ndarray:
 
 
 def region_keys(sig: np.ndarray) -> np.ndarray:
-    """One key for each tree: its first DEPTH values."""
+    """One key for each band: its DEPTH values."""
     pairs = sig.reshape(TREES, DEPTH).astype(np.uint64)
     key = _TREE.copy()
     for k in range(DEPTH):
