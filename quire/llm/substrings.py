@@ -1,4 +1,4 @@
-"""Exact substring dedup: suffix order and longest previous factors over the places that can match.
+"""Exact substring dedup: order of the first LENGTH bytes of suffixes over the places that can match.
 
 A string of LENGTH bytes repeats only if its anchor repeats. The anchor of a string is the GRAM-byte piece
 in it with the least hash, the leftmost of equals, so it depends on the string alone and both places of a
@@ -7,10 +7,10 @@ becomes runs of strings, one for each anchor, about one in 75 bytes.
 
 1. Anchors are counted over all texts; runs whose anchor occurs once hold no repeated string.
 2. Runs equal as a whole form a class; a class of two or more is repeated throughout, decided by counting.
-3. Where the runs of an anchor differ, one run of each class goes to the anchor's bucket. There a suffix
-   array (prefix doubling that re-sorts only unfinished groups) puts equal strings next to each other, and
-   the previous and next smaller positions in suffix order say whether a string has an earlier copy, i.e. a
-   longest previous factor of at least LENGTH, and whether it has a later one.
+3. Where the runs of an anchor differ, one run of each class goes to the anchor's bucket. There prefix doubling
+   (that re-sorts only unfinished groups) gives equal strings of LENGTH bytes equal ranks, and sorting by rank,
+   text and place says whether a string has an earlier or later copy. Longest previous factors are not computed
+   and no previous or next smaller positions: whether one reaches LENGTH is all that is asked.
 4. Anchors with more than HOT classes are not gathered: their strings are hashed, dealt out and counted.
 """
 
@@ -148,7 +148,7 @@ def _repeated(chunk: list[tuple], keep_first: bool) -> dict[str, list]:
     new_rank = np.concatenate(([True], r[1:] != r[:-1]))
     new_place = new_rank | np.concatenate(([True], (t[1:] != t[:-1]) | (p[1:] != p[:-1])))
     group = np.cumsum(new_rank) - 1
-    # inside a group of equal strings, sorted by position, the previous smaller position is the one before
+    # a group of equal strings is sorted by position: all places but the first have an earlier copy
     nth = np.cumsum(new_place)
     earlier = nth > nth[np.flatnonzero(new_rank)][group]
     marked = np.zeros(len(row), bool)
