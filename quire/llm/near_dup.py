@@ -299,7 +299,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that stay: the smallest doc_id of each component, repeated rows once."""
+    """The rows of docs, all columns, that stay: the smallest doc_id of each component, repeated rows once.
+
+    A null doc_id is a name of its own for each text, a hash from 2^62 on, so that copies among such rows, and
+    of named ones, go too; blank texts without a doc_id are linked with nothing and stay.
+    """
+    columns, given = docs.columns, F.col("doc_id")
+    made = F.when(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
+    docs = docs.withColumn("_given", given).withColumn("doc_id", F.coalesce(given.cast("long"), made))
+    return _one_of_each(docs).withColumn("doc_id", F.col("_given")).select(*columns)
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
     found = stage(near_duplicates(docs), "near-found")
     tie = F.xxhash64("text", F.col("doc_id").cast("long"))
     gone = small(stage(found.where("NOT kept").select(F.col("tie").alias("_gone")).distinct(), "near-gone"))

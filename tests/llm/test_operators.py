@@ -240,6 +240,17 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_one_of_each_without_ids(spark):
+    near = B.split()
+    near[60] = "edited"
+    rows = [(1, A, "a"), (None, A, "a"), (None, B, "a"), (None, B, "b"), (None, " ".join(near), "a"), (None, C, "a"), (None, None, "a"), (None, " ", "a"), (None, " ", "a")]
+    left = near_dup.one_of_each(table(spark, rows))
+    assert left.schema == table(spark, []).schema
+    found = collections.Counter((r["doc_id"], r["text"]) for r in left.collect())
+    assert found[1, A] == found[None, C] == found[None, None] == found[None, B] + found[None, " ".join(near)] == 1
+    assert found[None, " "] == 2 and not found[None, A] and found.total() == 6
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 90), (90, 95), (7, 7)]
     found = dict(map(tuple, common.components(spark.createDataFrame(edges, "u long, v long")).collect()))
