@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if its counted rows, a few dozen bytes each, are no more than this.
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast only if its counted cells (rows and entries of arrays, a few dozen bytes each) are no more than this.
+BROADCAST_CELLS = 1_000_000
 
 #: ASCII white space, the only characters that separate words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -23,13 +24,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 _open: list[tuple[SparkSession, str]] = []
 
 
+#: Bytes of a batch that a kernel sees at once, however many rows Spark sends.
+BATCH_BYTES = 4 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about BATCH_BYTES; nothing is copied."""
+    for batch in batches:
+        step = max(1, batch.num_rows * BATCH_BYTES // max(batch.nbytes, 1))
+        for begin in range(0, batch.num_rows, step):
+            yield batch.slice(begin, step)
+
+
 def trimmed(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """A kernel for mapInArrow whose worker, which Spark keeps, gives its memory back at the end of a task."""
+    """A kernel for mapInArrow that sees slices of few bytes and whose worker, which Spark keeps, gives its memory back at the end of a task."""
 
     @functools.wraps(kernel)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from kernel(batches)
+            yield from kernel(pieces(batches))
         finally:
             gc.collect()
             pa.default_memory_pool().release_unused()
@@ -42,7 +55,11 @@ def trimmed(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only where the session names none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (found or f"file:///tmp/checkpoints/quire-{os.getuid()}").rstrip("/")
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file:///tmp/checkpoints/quire-{os.getuid()}"
+    return found.rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -64,9 +81,15 @@ def release(paths: list[tuple[SparkSession, str]] | None = None) -> None:
             _open.remove((spark, path))
 
 
-def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+def cells(df: DataFrame) -> int:
+    """Rows of a staged table and entries of its array columns, counted."""
+    arrays = [F.coalesce(F.size(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() == "array"]
+    return df.agg(F.sum(sum(arrays, F.lit(1)))).first()[0] or 0
+
+
+def small(df: DataFrame) -> DataFrame:
     """Broadcast a staged table if a count proves it small; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if df.count() <= bound else df
+    return F.broadcast(df) if cells(df) <= BROADCAST_CELLS else df
 
 
 def words(text: Column) -> Column:

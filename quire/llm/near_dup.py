@@ -1,18 +1,21 @@
-"""Near-duplicate documents: fixed bands of MinHash signatures, links confirmed on full shingle sets.
-
-Every distinct shingle set gets a signature of 128 minima, cut into 32 bands of four values. This is not an LSH
-forest: no signatures are sorted, no longest common prefix or neighbour is computed and the depth is always
-four. A band's values are hashed to a key, and a region is the sets with the same key. Links are sought
-in steps, each skipping what is known to be connected already, so large groups of copies cost a few
-comparisons a member and never all pairs:
-
-1. equal sets collapse to one representative, the smallest doc_id;
-2. each set is compared with the smallest doc_id that shares any region with it;
-3. inside regions that still hold several components, each set is compared with the set of another component
-   that shares most of its signature;
-4. regions that hold several components even then are compared in full: all pairs across components whose
-   signatures do not rule a link out meet in memory, each in the first band that holds both, and only links
-   leave the task. A region is dealt to tasks as pairs of blocks, the deeper the larger it is.
+"""Near-duplicate documents: an LSH forest of MinHash signatures, links confirmed on full shingle sets.
+
+Every distinct shingle set gets a signature of 128 minima. Tree t of the forest is the sorted order of the
+signatures read from value 4 t on; two sets are near in it if they share a long prefix. A row of an order is
+a label of the first LEAST_DEPTH values and one of the next four, so sorting rows sorts prefixes, and the
+longest common prefix of any two rows can be read off their labels. Orders are sorted by a range shuffle, in
+which a region of any size is cut over as many tasks as it fills. A region is the rows that share LEAST_DEPTH
+values. Links are sought from the deepest neighbours upwards, and a region is left at the depth at which all
+of its sets are connected, so large groups of copies cost a few comparisons a member and never all pairs:
+
+1. equal sets collapse to one node;
+2. each node is compared with its neighbour of the longest common prefix in any order, and with the first node
+   of its regions;
+3. in regions that still hold several components, each node is compared with the nearest one of another
+   component, again that of the longest common prefix in any order;
+4. regions that hold several components even then have reached the least depth. There the signatures of nodes
+   outside the largest component meet all those of other components; where none comes near the threshold the
+   region is closed, and the rest is compared in full. Only marks and links leave a task, no pairs.
 
 Two sets of similarity 0.75 share no region with a probability of 5e-6.
 """
@@ -24,17 +27,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BROADCAST_ROWS, components, small, stage, trimmed
+from quire.llm.common import components, small, stage, trimmed
 
 SHINGLE = 5
 PERCENT = 75
-TREES, DEPTH = 32, 4
-VALUES = TREES * DEPTH
-#: Shingles of the sets of one region that a task holds as one of two blocks.
-REGION = 500_000
+#: Trees, the least depth of a common prefix, and the values of a prefix beyond it.
+TREES, LEAST_DEPTH, MORE = 32, 4, 4
+VALUES = TREES * LEAST_DEPTH
+#: Signatures, and shingles of sets, that a task holds as one of two sides of a region.
+SIGNATURES, REGION = 2_000, 500_000
 #: Members whose sets a task compares with one leader.
 BLOCK = 256
 #: Estimates are 5 standard deviations below the threshold before they rule a link out.
@@ -76,37 +80,98 @@ def signature(items: np.ndarray) -> np.ndarray:
     return least
 
 
-def region_keys(sig: np.ndarray) -> np.ndarray:
-    """One key for each band: its DEPTH values."""
-    pairs = sig.reshape(TREES, DEPTH).astype(np.uint64)
-    key = _TREE.copy()
-    for k in range(DEPTH):
-        key = mix64(key + pairs[:, k])
-    return key.view(np.int64)
+def tree_labels(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each signature and tree the label of the first LEAST_DEPTH values and that of the next MORE.
+
+    The first is a hash, equal if all of those values are; the second holds 16 bits of each value, first values first.
+    """
+    values = sigs.reshape(len(sigs), VALUES).astype(np.uint64)
+    rotated = values[:, (np.arange(TREES)[:, None] * LEAST_DEPTH + np.arange(LEAST_DEPTH + MORE)) % VALUES]
+    key, deep = np.tile(_TREE, (len(sigs), 1)), np.zeros((len(sigs), TREES), np.uint64)
+    for k in range(LEAST_DEPTH):
+        key = mix64(key + rotated[:, :, k])
+    for k in range(LEAST_DEPTH, LEAST_DEPTH + MORE):
+        deep = (deep << np.uint64(16)) | (mix64(rotated[:, :, k]) >> np.uint64(48))
+    return key.view(np.int64), (deep ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Depth of the longest common prefix of rows of one region, from their second labels."""
+    apart = (a ^ b).view(np.uint64)
+    return LEAST_DEPTH + sum((apart < np.uint64(1 << (64 - 16 * k))).astype(np.int32) for k in range(1, MORE)) + (apart == 0)
 
 
 @trimmed
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, digests, sigs, keys = [], [], [], []
+        n, digests, sigs = [], [], []
         for text in batch.column("text"):
             items = shingles(text.as_py())
             n.append(len(items))
-            if len(items):
-                sig = signature(items)
-                digests.append(xxhash.xxh3_128_digest(items.tobytes()))
-                sigs.append(sig.tobytes())
-                keys.append(region_keys(sig))
-            else:
-                digests.append(None)
-                sigs.append(None)
-                keys.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tie", "n_shingles", "digest", "sig", "keys"])
+            digests.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
+            sigs.append(signature(items).tobytes() if len(items) else None)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "tie", "n_shingles", "digest", "sig"])
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, n_shingles, digest of the set, signature, region keys) of each row; tie is a hash of text and id."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text", "doc_id").alias("tie"), "text").mapInArrow(_describe, "doc_id long, tie long, n_shingles long, digest binary, sig binary, keys array<long>")
+    """(doc_id, tie, n_shingles, digest of the set, signature) of each row; tie is a hash of text and id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text", "doc_id").alias("tie"), "text").mapInArrow(_describe, "doc_id long, tie long, n_shingles long, digest binary, sig binary")
+
+
+@trimmed
+def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all orders, one a tree and node."""
+    for batch in batches:
+        sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, VALUES)
+        key, deep = tree_labels(sigs)
+        node = np.repeat(batch.column("node").to_numpy(), TREES)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(key.ravel()), "deep": pa.array(deep.ravel()), "node": pa.array(node)})
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(k).to_numpy(zero_copy_only=False) for k in names]
+
+
+@trimmed
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted orders that share a region with the row before or after, and their neighbour before with its depth.
+
+    The first and last rows of a task always stay, as their region may go on in the next task.
+    """
+    names, last = ("key", "deep", "node", "near", "depth", "stays"), None
+    for batch in batches:
+        key, deep, node = _columns(batch, "key", "deep", "node")
+        if last:
+            key, deep, node = (np.concatenate((old, new)) for old, new in zip(last, (key, deep, node)))
+        same = key[1:] == key[:-1]
+        near, depth = np.concatenate((node[:1], node[:-1])), np.zeros(len(key), np.int32)
+        depth[1:] = np.where(same, common_prefix(deep[1:], deep[:-1]), 0)
+        stays = depth > 0
+        stays[:-1] |= same
+        near[0], depth[0], stays[0] = (last[3][0], last[4][0], last[5][0] or stays[0]) if last else (node[0], 0, True)
+        rows = key, deep, node, near, depth, stays
+        yield pa.RecordBatch.from_pydict({k: x[:-1][stays[:-1]] for k, x in zip(names[:-1], rows)})
+        last = [x[-1:] for x in rows]
+    if last:
+        yield pa.RecordBatch.from_pydict(dict(zip(names[:-1], last)))
+
+
+@trimmed
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows of sorted orders the nearest row before of another component in the region, and the other way round at the border."""
+    held = None
+    for batch in batches:
+        key, deep, node, root = (np.concatenate((old, new)) for old, new in zip(held or [np.empty(0, np.int64)] * 4, _columns(batch, "key", "deep", "node", "root"), strict=True))
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (root[1:] != root[:-1])))
+        start = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+        other = np.maximum(start - 1, 0)
+        has = np.flatnonzero((start > 0) & (key[other] == key))
+        has = has[has >= (len(held[0]) if held else 0)]
+        border = has[fresh[has]]
+        a, b = np.concatenate((has, other[border])), np.concatenate((other[has], border))
+        yield pa.RecordBatch.from_pydict({"node": node[a], "other": node[b], "depth": common_prefix(deep[a], deep[b])})
+        keep = [other[-1], -1] if start[-1] > 0 and key[other[-1]] == key[-1] else [-1]
+        held = [x[keep] for x in (key, deep, node, root)]
 
 
 @trimmed
@@ -134,7 +199,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The staged pairs (a, b) of representatives whose full sets are similar enough, as (u, v).
+    """The staged pairs (a, b) of nodes whose full sets are similar enough, as (u, v).
 
     A leader's pairs are cut into blocks of about BLOCK members; a text goes to every block that needs it.
     """
@@ -142,17 +207,15 @@ def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     sized = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), salts), F.lit(0)).cast("int"))
     sized = sized.select("a", "b", "salt")
     route = sized.select(F.col("a").alias("leader"), "salt", F.col("b").alias("id")).union(sized.select(F.col("a").alias("leader"), "salt", F.col("a").alias("id")).distinct())
-    route = stage(route.join(reps.select(F.col("rep").alias("id"), "digest"), "id"), "near-route")
-    if route.count() <= BROADCAST_ROWS:
-        route = F.broadcast(route)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(route, "id")
+    route = small(stage(route.join(reps.select(F.col("node").alias("id"), "rep", "digest"), "id"), "near-route"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(route, "rep")
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = rows.repartition(int(parts), "leader", "salt").sortWithinPartitions("leader", "salt", F.col("id") != F.col("leader"), "id")
     return stage(rows.select("leader", "salt", "id", "digest", "text").mapInArrow(_verify, "u long, v long").distinct(), "near-links")
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-    """The rows of each block of a region, sorted by (key, i, j)."""
+    """The rows of each part of a region, sorted by (key, i, j)."""
     held: dict[str, list] = {}
     at = None
     for batch in batches:
@@ -168,43 +231,50 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         yield held
 
 
-def _sides(side: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """Each row that leads a comparison, with the rows it meets: the other block, or the later rows of its own."""
-    side = np.array(side)
-    second = np.flatnonzero(side == 1)
-    for i in np.flatnonzero(side <= 0):
-        yield i, second if side[i] else np.arange(i + 1, len(side))
+def _meetings(held: dict[str, list]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each visitor of a part with the owners of other components that it meets, so that a pair meets once."""
+    node, root, largest, visits = (np.array(held[k]) for k in ("node", "root", "largest", "visits"))
+    own = np.flatnonzero(~visits)
+    for v in np.flatnonzero(visits):
+        yield v, own[(root[own] != root[v]) & (largest[own] | (node[own] < node[v]))]
+
+
+def _signatures(held: dict[str, list]) -> tuple[np.ndarray, int]:
+    """The signatures of a part, and the number of its tree."""
+    sig = np.frombuffer(b"".join(held["sig"]), np.uint32).reshape(-1, VALUES)
+    return sig, int(np.flatnonzero(tree_labels(sig[:1])[0][0] == held["key"][0])[0])
+
+
+def _likely(sig: np.ndarray, tree: int, at: int, rest: np.ndarray) -> np.ndarray:
+    """Which of the rest may be similar enough, of those that meet in no earlier tree."""
+    same = (sig[rest] == sig[at]).reshape(len(rest), TREES, LEAST_DEPTH)
+    return rest[(same.all(axis=2).argmax(axis=1) == tree) & (same.mean(axis=(1, 2)) >= LEAST_ESTIMATE)]
 
 
 @trimmed
-def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The best estimate of each set among the sets of other components in its region."""
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes that may be similar enough to one of another component in their region, by signatures alone."""
     for held in _regions(batches):
-        rep, root = np.array(held["rep"]), np.array(held["root"])
-        sig = np.frombuffer(b"".join(held["sig"]), np.uint32).reshape(len(rep), VALUES)
-        best, other = np.zeros(len(rep)), np.zeros(len(rep), np.int64)
-        for i, rest in _sides(held["side"]):
-            rest = rest[root[rest] != root[i]]
-            if len(rest):
-                alike = (sig[rest] == sig[i]).mean(axis=1)
-                if (k := alike.argmax()) is not None and alike[k] > best[i]:
-                    best[i], other[i] = alike[k], rep[rest[k]]
-                better = alike > best[rest]
-                best[rest[better]], other[rest[better]] = alike[better], rep[i]
-        hit = best >= LEAST_ESTIMATE
-        yield pa.RecordBatch.from_pydict({"rep": pa.array(rep[hit], pa.int64()), "other": pa.array(other[hit], pa.int64()), "alike": pa.array(best[hit], pa.float64())})
+        sig, tree = _signatures(held)
+        hit = np.zeros(len(sig), bool)
+        for v, rest in _meetings(held):
+            for begin in range(0, len(rest), 2048):
+                likely = _likely(sig, tree, v, rest[begin : begin + 2048])
+                hit[likely] = True
+                hit[v] |= len(likely) > 0
+        node = np.unique(np.array(held["node"])[hit])
+        yield pa.RecordBatch.from_pydict({"key": pa.array([held["key"][0]] * len(node), pa.int64()), "node": pa.array(node, pa.int64())})
 
 
 @trimmed
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All links between components inside each region, as few as connect them, from full sets.
 
-    A pair is compared in the first tree that holds both; sets joined by a link found here are one component.
+    Sets joined by a link found here are one component.
     """
     for held in _regions(batches):
-        rep, root = np.array(held["rep"]), np.array(held["root"])
-        sig = np.frombuffer(b"".join(held["sig"]), np.uint32).reshape(len(rep), TREES, DEPTH)
-        tree = int(np.flatnonzero(region_keys(sig[0]) == held["key"][0])[0])
+        node, root = np.array(held["node"]), np.array(held["root"])
+        sig, tree = _signatures(held)
         sets = [shingles(text) for text in held["text"]]
         true = np.array([xxhash.xxh3_128_digest(x.tobytes()) == d for x, d in zip(sets, held["digest"], strict=True)])
         sizes = np.array([len(x) for x in sets])
@@ -212,15 +282,13 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.cumsum(sizes) - sizes
         marks = np.zeros(flat.max(initial=0) + 1, bool)
         u, v = [], []
-        for i, rest in _sides(held["side"]):
+        for i, rest in _meetings(held):
             rest = rest[(root[rest] != root[i]) & true[rest] & true[i]]
             few, many = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
             rest = rest[100 * few >= PERCENT * many]
             for begin in range(0, len(rest), 2048):
                 part = rest[begin : begin + 2048]
-                part = part[root[part] != root[i]]
-                same = sig[part] == sig[i]
-                part = part[(same.all(axis=2).argmax(axis=1) == tree) & (same.mean(axis=(1, 2)) >= LEAST_ESTIMATE)]
+                part = _likely(sig, tree, i, part[root[part] != root[i]])
                 if not len(part):
                     continue
                 marks[flat[starts[i] : starts[i] + sizes[i]]] = True
@@ -228,39 +296,56 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 marks[flat[starts[i] : starts[i] + sizes[i]]] = False
                 for j in part[100 * common >= PERCENT * (sizes[part] + sizes[i] - common)]:
                     if root[j] != root[i]:
-                        u.append(rep[i])
-                        v.append(rep[j])
+                        u.append(node[i])
+                        v.append(node[j])
                         root[root == root[j]] = root[i]
         yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def mixed_regions(members: DataFrame, roots: DataFrame, facts: DataFrame) -> DataFrame:
-    """Rows of the regions that hold several components, dealt to pairs of blocks of about REGION shingles."""
-    labelled = members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+def mixed_rows(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Staged rows (key, deep, node, root) of the regions that hold several components."""
+    labelled = members.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "deep", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rows = stage(labelled.join(mixed, "key").join(facts, "rep"), "near-mixed")
-    blocks = rows.groupBy("key").agg(F.ceil(F.sum("n_shingles") / REGION).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") < F.col("other"), -1).otherwise(1))
-    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "rep", "root", "sig", "digest")
+    return stage(labelled.join(mixed, "key"), "near-mixed")
 
 
-def closest_across(rows: DataFrame, tried: DataFrame) -> DataFrame:
-    """For each set its likeliest partner in another component, if untried, as pairs (a, b)."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.select("key", "i", "j", "side", "rep", "root", "sig").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_closest, "rep long, other long, alike double")
-    best = found.groupBy("rep").agg(F.max_by("other", F.struct("alike", -F.col("other"))).alias("other"))
-    pairs = best.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-    return stage(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+def nearest_across(mixed: DataFrame, tried: DataFrame) -> DataFrame:
+    """For each node of a mixed region the nearest one of another component in any order, if untried, as pairs (a, b)."""
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["key", "deep", "node"]
+    found = mixed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_across, "node long, other long, depth int")
+    found = found.withColumns({"a": F.least("node", "other"), "b": F.greatest("node", "other")}).join(tried, ["a", "b"], "left_anti")
+    best = found.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("depth", -F.col("other"))).alias("pair"))
+    return stage(best.select("pair.*").distinct(), "near-pairs")
 
 
-def rest_across(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def deal(mixed: DataFrame, weight: Column, most: int) -> DataFrame:
+    """Rows of mixed regions dealt to parts (i, j) of about `most` weight on either side.
+
+    All rows of a region own a place i, and those outside its largest component also visit all places in parts j:
+    a region that is one component but for a few nodes costs as many rows as it has, and no square.
+    """
+    counted = mixed.withColumn("_w", weight).groupBy("key", "root").agg(F.sum("_w").alias("_w"))
+    sizes = counted.groupBy("key").agg(F.max_by("root", F.struct("_w", -F.col("root"))).alias("_top"), F.ceil(F.sum("_w") / most).cast("int").alias("_own"), F.greatest(F.lit(1), F.ceil((F.sum("_w") - F.max("_w")) / most)).cast("int").alias("_visit"))
+    rows = mixed.join(sizes, "key").withColumn("largest", F.col("root") == F.col("_top")).drop("_top")
+    place, part = F.pmod(F.xxhash64("node"), F.col("_own")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("_visit")).cast("int")
+    owners = rows.select("*", F.lit(False).alias("visits"), place.alias("i"), F.explode(F.sequence(F.lit(0), F.col("_visit") - 1)).alias("j"))
+    visitors = rows.where("NOT largest").select("*", F.lit(True).alias("visits"), F.explode(F.sequence(F.lit(0), F.col("_own") - 1)).alias("i"), part.alias("j")).select(owners.columns)
+    return owners.unionByName(visitors).drop("_own", "_visit")
+
+
+def rest_across(docs: DataFrame, mixed: DataFrame, facts: DataFrame) -> DataFrame:
     """The links (u, v) between components that are still missing."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = mixed.select("key", "node", "root")
+    met = deal(rows, F.lit(1), SIGNATURES).join(facts.select("node", "sig"), "node")
+    met = met.select("key", "i", "j", "node", "root", "largest", "visits", "sig").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    marked = stage(met.mapInArrow(_mark, "key long, node long").distinct(), "near-marked")
+    rows = stage(rows.join(marked, ["key", "node"]).join(facts, "node"), "near-rest")
     wanted = small(stage(rows.select("rep").distinct(), "near-wanted"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    full = texts.join(rows, "rep").select("key", "i", "j", "side", "rep", "root", "sig", "digest", "text")
-    return stage(full.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_rest, "u long, v long").distinct(), "near-links")
+    full = texts.join(deal(rows, F.col("n_shingles"), REGION), "rep").select("key", "i", "j", "node", "root", "largest", "visits", "sig", "digest", "text")
+    return stage(full.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_rest, "u long, v long").distinct(), "near-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -270,29 +355,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest doc_id reachable. Null, empty and blank texts have no set and are linked with nothing. Rows
     with a null doc_id have no name to be reached by: component_id null, kept true. Rows that repeat a
     doc_id and text have the same result; of several texts under one doc_id each is judged by its own set.
-    Other columns of docs are ignored.
+    Other columns of docs are ignored; an empty table gives an empty result.
     """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     described = stage(describe(docs), "near-sets")
     named = described.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    reps = stage(named.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-reps")
-    chosen = named.join(reps, (named["digest"] == reps["digest"]) & (named["doc_id"] == reps["rep"]), "left_semi").select(F.col("doc_id").alias("rep"), "keys").dropDuplicates(["rep"])
-    bands = chosen.select("rep", F.explode("keys").alias("key"))
-    regions = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    members = stage(bands.join(regions, "key"), "near-regions")
-    first = stage(members.groupBy("rep").agg(F.min("leader").alias("leader")).where("leader < rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")), "near-pairs")
+    reps = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # a node is named by its smallest doc_id; where several sets have the same, all but one by a hash
+    owner = reps.groupBy("rep").agg(F.min("digest").alias("_own"))
+    name = F.when(F.col("digest") == F.col("_own"), F.col("rep")).otherwise(F.xxhash64("digest").bitwiseOR(F.lit(-(1 << 63))))
+    reps = stage(reps.join(owner, "rep").select("digest", "rep", name.alias("node")), "near-reps")
+    facts = named.select("digest", F.col("doc_id").alias("rep"), "n_shingles", "sig").join(reps, ["digest", "rep"]).dropDuplicates(["node"])
+    facts = stage(facts.select("node", "rep", "digest", "n_shingles", "sig"), "near-facts")
+    order = ["key", "deep", "node"]
+    forest = facts.select("node", "sig").mapInArrow(_grow, "key long, deep long, node long")
+    members = stage(forest.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, "key long, deep long, node long, near long, depth int"), "near-forest")
+    deepest = members.where("depth > 0").groupBy("node").agg(F.max_by("near", F.struct("depth", -F.col("near"))).alias("near"))
+    leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
+    tops = members.join(leaders, "key").groupBy("node").agg(F.min("leader").alias("near")).where("near < node")
+    first = stage(deepest.union(tops).select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct(), "near-pairs")
     links = verify(docs, first, reps)
     roots = components(links, "near-cc")
-    facts = described.where("doc_id IS NOT NULL").join(reps, (described["digest"] == reps["digest"]) & (described["doc_id"] == reps["rep"])).select("rep", described["digest"], "n_shingles", "sig").dropDuplicates(["rep"])
-    facts = stage(facts.join(members.select("rep").distinct(), "rep", "left_semi"), "near-facts")
-    members = members.select("key", "rep")
-    pairs = closest_across(mixed_regions(members, roots, facts), first)
+    members = members.select(*order)
+    mixed = mixed_rows(members, roots)
+    pairs = nearest_across(mixed, first)
     if pairs.limit(1).count():
         links = links.union(verify(docs, pairs, reps))
         roots = components(links, "near-cc")
-    new = rest_across(docs, mixed_regions(members, roots, facts))
+        mixed = mixed_rows(mixed.select(*order), roots)
+    new = rest_across(docs, mixed, facts)
     if new.limit(1).count():
         roots = components(links.union(new), "near-cc")
-    classes = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("digest"), F.coalesce("root", "rep").alias("component_id"))
+    rooted = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    classes = stage(rooted.join(smallest, "root").select("digest", "component_id"), "near-classes")
     out = described.select("doc_id", "tie", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "tie", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
