@@ -29,9 +29,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.remove_lines(_table(spark, sf_dir, "documents"), min_words=1)
+    """What is left of each text, its length, and the removed lines: how many, their length and their places in the original."""
+    found = lines.remove_lines(_table(spark, sf_dir, "documents"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return found.select("doc_id", "n_chars", F.size("spans").cast("long").alias("n_removed"), gone.alias("chars_removed"), F.md5("kept").alias("kept_md5"))
+    places = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])), " ")
+    return found.select("doc_id", F.col("kept").alias("text"), F.char_length("kept").cast("long").alias("n_chars"), F.size("spans").cast("long").alias("n_spans"), gone.alias("n_removed"), places.alias("spans"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

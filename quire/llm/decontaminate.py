@@ -127,7 +127,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ()
     rows = docs.select(key, F.xxhash64("text", "doc_id").alias("tie"), "text", "doc_id", *carry)
     found = find(rows.select("id", "tie", "text"), items.select(F.col("item_id").cast("long").alias("item_id"), "text"))
     found = found.groupBy("id", "tie").agg(F.array_sort(F.collect_list(F.struct("item_id", "start", "size", "similarity"))).alias("matches"))
-    found = small(stage(found, "leak-found"), 200_000)
+    found = small(stage(found, "leak-found"))
     joined = rows.join(found, ["id", "tie"], "left")
     empty = F.array().cast(found.schema["matches"].dataType)
     return joined.select("doc_id", *carry, F.col("matches").isNotNull().alias("contaminated"), F.coalesce("matches", empty).alias("matches"))

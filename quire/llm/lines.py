@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import SPACE, small, stage
 
-#: Least words of a unit unless the caller says otherwise: headings, captions and the like then stay. The query asks for 1.
-MIN_WORDS = 5
+#: Least words of a unit that can be removed. 1: every unit that is not blank.
+MIN_WORDS = 1
 SEPARATOR = {"line": "\n", "paragraph": "\n\n"}
 
 
@@ -25,9 +25,9 @@ def units(rows: DataFrame, unit: str, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def remove_lines(docs: DataFrame, unit: str = "line", carry: tuple[str, ...] = (), min_words: int = MIN_WORDS) -> DataFrame:
-    """Remove every line (or paragraph) of `min_words` words or more that an earlier place of the corpus has.
+    """Remove every line (or paragraph) that an earlier place of the corpus has.
 
-    With 1, all units but blank ones count, those of scripts without spaces too.
+    All units but blank ones count, however short; a higher `min_words` spares headings, captions and the like.
     Units are compared in normal form; places rank by (doc_id, number of the unit), null doc_ids last.
     Digests are counted before anything is joined, so units that occur once never meet; a hot unit is one
     row of the table of firsts. Returns doc_id, `carry`, n_chars, spans (start, end of removed units in code points of
@@ -43,9 +43,7 @@ def remove_lines(docs: DataFrame, unit: str = "line", carry: tuple[str, ...] = (
     firsts = found.groupBy("digest").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("digest", "first")
     firsts = small(stage(firsts, "line-firsts"))
     gone = found.join(firsts, "digest").where(spot != F.col("first")).groupBy("id", "tie").agg(F.array_sort(F.collect_set("place")).alias("gone"))
-    gone = stage(gone, "line-gone")
-    held = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
-    joined = rows.join(F.broadcast(gone) if held <= 1_000_000 else gone, ["id", "tie"], "left")
+    joined = rows.join(small(stage(gone, "line-gone")), ["id", "tie"], "left")
     parts, lost = F.split("text", separator), F.map_from_arrays("gone", F.transform("gone", lambda _: F.lit(True)))
     marked = F.transform(parts, lambda u, i: F.struct(u.alias("unit"), F.coalesce(F.element_at(lost, i), F.lit(False)).alias("lost")))
     begun = F.aggregate(marked, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")), lambda acc, u: F.struct((acc["at"] + F.char_length(u["unit"]) + len(separator)).alias("at"), F.when(u["lost"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.char_length(u["unit"])).alias("end"))))).otherwise(acc["spans"]).alias("spans")), lambda acc: acc["spans"])
@@ -58,10 +56,14 @@ ORACLE = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS place, unnest(string_split(coalesce(text, ''), chr(10))) AS unit
   FROM documents),
-normal AS (SELECT *, trim(regexp_replace(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS form FROM lines),
-ranked AS (SELECT *, len(string_split(form, ' ')) >= 5 AND row_number() OVER (PARTITION BY form ORDER BY doc_id, place) > 1 AS gone FROM normal)
-SELECT doc_id, CAST(sum(length(unit)) + count(*) - 1 AS BIGINT) AS n_chars, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
-       CAST(coalesce(sum(length(unit)) FILTER (gone), 0) AS BIGINT) AS chars_removed,
-       md5(coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_md5
+normal AS (
+  SELECT *, trim(regexp_replace(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS form,
+         CAST(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(unit) - 1 AS BIGINT) AS start FROM lines),
+ranked AS (SELECT *, form <> '' AND row_number() OVER (PARTITION BY form ORDER BY doc_id, place) > 1 AS gone FROM normal)
+SELECT doc_id, coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text,
+       CAST(length(coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS BIGINT) AS n_chars,
+       CAST(count(*) FILTER (gone) AS BIGINT) AS n_spans,
+       CAST(coalesce(sum(length(unit)) FILTER (gone), 0) AS BIGINT) AS n_removed,
+       coalesce(string_agg(concat(start, '-', start + length(unit)), ' ' ORDER BY place) FILTER (gone), '') AS spans
 FROM ranked GROUP BY doc_id
 """

@@ -69,7 +69,7 @@ leveled AS (
             / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own
   FROM ranked),
 budgets AS (
-  SELECT source, source_size, least(cap, coalesce(min(CASE WHEN own * weight <= cap THEN own END) OVER () * weight, cap)) AS target FROM leveled),
+  SELECT source, source_size, least(cap, coalesce(max(CASE WHEN own * weight <= cap THEN own END) OVER () * weight, cap)) AS target FROM leveled),
 placed AS (
   SELECT doc_id, rows.source, size, source_size, target,
          coalesce(sum(size) OVER (PARTITION BY rows.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start

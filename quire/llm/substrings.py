@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BROADCAST_ROWS, small, stage, trimmed
+from quire.llm.common import small, stage, trimmed
 
 LENGTH, GRAM = 200, 51
 #: Classes of one anchor that one task may hold, about 300 bytes each.
@@ -234,8 +234,7 @@ def find_spans(rows: DataFrame, keep_first: bool, hot: int = HOT) -> DataFrame:
     sizes = sizes if keep_first else sizes.where("single > 0")
     mixed = mixed.join(sizes.select("anchor", (F.col("classes") > hot).alias("hot")), "anchor")
     wanted = stage(mixed.groupBy("id", "tie").agg(F.collect_list(F.struct("anchor", "first", "count", "offset", "hot")).alias("want")), "sub-wanted")
-    held = wanted.agg(F.sum(F.size("want"))).first()[0] or 0
-    cut = rows.join(F.broadcast(wanted) if held <= BROADCAST_ROWS else wanted, ["id", "tie"]).mapInArrow(_cut_contexts, "anchor long, hot boolean, id long, tie long, first int, count int, offset int, data binary")
+    cut = rows.join(small(wanted), ["id", "tie"]).mapInArrow(_cut_contexts, "anchor long, hot boolean, id long, tie long, first int, count int, offset int, data binary")
     cut = cut.dropDuplicates(["anchor", "id", "tie", "first"]) if keep_first else cut
     any_hot = sizes.where(F.col("classes") > hot).limit(1).count() > 0
     cut = stage(cut, "sub-cut") if any_hot else cut
@@ -306,9 +305,7 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, carry: tuple[str, .
     rows = docs.select(key, F.xxhash64("text", "doc_id").alias("tie"), "text", "doc_id", *carry)
     spans = find_spans(rows.select("id", "tie", "text"), keep_first, hot).groupBy("id", "tie").agg(F.collect_set(F.struct("start", "end")).alias("raw"))
     marked = stage(spans.mapInArrow(_merge_spans, "id long, tie long, raw array<struct<start:int,end:int>>"), "sub-marked")
-    held = marked.agg(F.sum(F.size("raw"))).first()[0] or 0
-    marked = F.broadcast(marked) if held <= BROADCAST_ROWS else marked
-    joined = rows.join(marked, ["id", "tie"], "left").select("doc_id", *carry, F.col("text").alias("_text"), F.col("raw").alias("_raw"))
+    joined = rows.join(small(marked), ["id", "tie"], "left").select("doc_id", *carry, F.col("text").alias("_text"), F.col("raw").alias("_raw"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry))
     return joined.mapInArrow(_cut_out(as_text), f"{schema}, n_bytes long, spans array<struct<start:int,end:int>>, kept {'string' if as_text else 'binary'}")

@@ -1,6 +1,8 @@
 import collections
 import hashlib
+import os
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -122,7 +124,7 @@ def test_quality_edges(spark):
 def test_lines(spark):
     one, two, hot = "one two three four five", "six seven eight nine ten", "short line"
     rows = [(1, f"{one}\n{hot}\n{two}", "a"), (2, f"{hot}\n ONE  two three\tfour five\nnew words are here now\n{one}", "a"), (3, f"{two}\n{two}", "a"), *EDGE]
-    found = {(r["doc_id"], r["kept"]): r["spans"] for r in lines.remove_lines(table(spark, rows)).collect()}
+    found = {(r["doc_id"], r["kept"]): r["spans"] for r in lines.remove_lines(table(spark, rows), min_words=5).collect()}
     assert found[2, f"{hot}\nnew words are here now"] == [(11, 36), (60, 83)]
     assert found[1, rows[0][1]] == [] and len(found[3, ""]) == 2 and (None, "null id") in found and (1, "") in found
     paragraphs = lines.remove_lines(table(spark, [(1, f"{one}\n\n{two}", "a"), (2, f"x\n\n{one}", "a")]), "paragraph").collect()
@@ -133,9 +135,32 @@ def test_short_lines(spark, tmp_path):
     whole = "从前有一个人住在山上。"
     rows = [(1, "A  1\nb\n\nx"), (2, "a 2\n\n \nB\ny"), (3, f"{whole}\nb"), (4, f"z\n{whole}\nX")]
     table(spark, [(i, t, "a") for i, t in rows]).write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r["doc_id"]: (r["n_removed"], r["kept_md5"]) for r in catalog.op5_lines(spark, str(tmp_path)).collect()}
-    kept = {1: (0, rows[0][1]), 2: (2, "\n \ny"), 3: (1, whole), 4: (2, "z")}
-    assert found == {i: (n, hashlib.md5(t.encode()).hexdigest()) for i, (n, t) in kept.items()}
+    found = {r["doc_id"]: (r["n_spans"], r["n_removed"], r["spans"], r["text"]) for r in catalog.op5_lines(spark, str(tmp_path)).collect()}
+    assert found == {1: (0, 0, "", rows[0][1]), 2: (2, 4, "0-3 7-8", "\n \ny"), 3: (1, 1, "12-13", whole), 4: (2, 12, "2-13 14-15", "z")}
+
+
+def test_lines_agree_with_sql(spark, tmp_path):
+    """The query and its SQL on passages that several documents have as lines."""
+    passages = [prose(300 + k, 60) for k in range(4)]
+    rows = [(k, "\n".join([prose(k, 12), passages[k % 4], "All rights reserved.", prose(k + 50, 12)])) for k in range(12)] + [(20, None), (21, ""), (22, "\n\n")]
+    table(spark, [(i, t, "a") for i, t in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = agree(spark, "op5_lines", tmp_path)
+    assert all((passages[k % 4] in found[k]["text"]) == (k < 4) for k in range(12))
+    assert all("rights" not in found[k]["text"] and prose(k, 12) in found[k]["text"] for k in range(1, 12))
+
+
+def agree(spark, name, folder, key="doc_id"):
+    """The query's rows by key, equal to those of its SQL over the same folder."""
+    found = getattr(catalog, name)(spark, str(folder))
+    base = duckdb.connect()
+    for path in sorted(os.listdir(folder)):
+        base.execute(f"CREATE VIEW {path.partition('.')[0]} AS SELECT * FROM '{folder}/{path}/*.parquet'")
+    said = base.execute(catalog.ORACLES[name])
+    names = [c[0] for c in said.description]
+    order = lambda r: tuple((v is not None, v) for _, v in sorted(r.items()))
+    rows = sorted((r.asDict() for r in found.collect()), key=order)
+    assert rows == sorted((dict(zip(names, r, strict=True)) for r in said.fetchall()), key=order)
+    return {r[key]: r for r in rows}
 
 
 def test_warc(spark):
@@ -235,11 +260,45 @@ def test_near_duplicates(spark):
             assert r["component_id"] is None and r["kept"]
         else:
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
+    again = near_dup.near_duplicates(table(spark, [(1, A, "a"), (1, B, "a"), (2, A + " x", "a"), (3, B + " y", "a"), (4, C, "a")])).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in again} == {(1, 1), (2, 1), (3, 1), (4, 4)}
     left = near_dup.one_of_each(table(spark, [*rows, rows[0], rows[6]])).collect()
     assert sorted(r["doc_id"] for r in left if r["doc_id"] > 3) == sorted(i for i, (_, c) in want.items() if i == c and i > 3)
     assert near_dup.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_forest_orders():
+    rng = np.random.default_rng(8)
+    sigs = rng.integers(0, 3, (400, near_dup.VALUES)).astype(np.uint32)
+    key, deep = near_dup.tree_labels(sigs)
+    for t in (0, 5, near_dup.TREES - 1):
+        turned = np.roll(sigs, -near_dup.LEAST_DEPTH * t, axis=1)[:, : near_dup.LEAST_DEPTH + near_dup.MORE]
+        for a, b in rng.integers(0, 400, (300, 2)):
+            apart = np.flatnonzero(turned[a] != turned[b])
+            depth = int(apart[0]) if len(apart) else turned.shape[1]
+            assert (key[a, t] == key[b, t]) == (depth >= near_dup.LEAST_DEPTH)
+            if depth >= near_dup.LEAST_DEPTH:
+                assert near_dup.common_prefix(deep[a, t : t + 1], deep[b, t : t + 1])[0] == depth
+
+
+def test_neighbours_meet_over_batches():
+    rng = np.random.default_rng(9)
+    key = np.sort(rng.integers(0, 60, 200))
+    deep, node, root = rng.integers(-(1 << 63), (1 << 63) - 1, 200), rng.permutation(200), rng.integers(0, 3, 200)
+    whole = near_dup.pa.RecordBatch.from_pydict({"key": key, "deep": deep, "node": node, "root": root})
+    parts = [whole.slice(k, 7) for k in range(0, 200, 7)]
+    rows = lambda kernel, given: sorted(str(r) for b in kernel(iter(given)) for r in b.to_pylist())
+    assert rows(near_dup._neighbours, parts) == rows(near_dup._neighbours, [whole])
+    assert rows(near_dup._across, parts) == rows(near_dup._across, [whole])
+    found = [r for b in near_dup._neighbours(iter(parts)) for r in b.to_pylist()]
+    many = collections.Counter(key.tolist())
+    assert {r["node"] for r in found} == {n for n, k in zip(node, key) if many[k] > 1} | {node[0], node[-1]}
+    met = {(r["node"], r["other"]) for b in near_dup._across(iter(parts)) for r in b.to_pylist()}
+    for i in range(200):
+        before = [j for j in range(i) if key[j] == key[i] and root[j] != root[i]]
+        assert not before or (node[i], node[before[-1]]) in met
+
+
 def test_one_of_each_without_ids(spark):
     near = B.split()
     near[60] = "edited"
