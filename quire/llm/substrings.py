@@ -1,4 +1,4 @@
-"""Exact substring dedup: order of the first LENGTH bytes of suffixes over the places that can match.
+"""Exact substring dedup: longest previous factors over the suffixes that can match.
 
 A string of LENGTH bytes repeats only if its anchor repeats. The anchor of a string is the GRAM-byte piece
 in it with the least hash, the leftmost of equals, so it depends on the string alone and both places of a
@@ -6,11 +6,13 @@ repeated string have the same anchor at the same offset. Neighbouring strings mo
 becomes runs of strings, one for each anchor, about one in 75 bytes.
 
 1. Anchors are counted over all texts; runs whose anchor occurs once hold no repeated string.
-2. Runs equal as a whole form a class; a class of two or more is repeated throughout, decided by counting.
-3. Where the runs of an anchor differ, one run of each class goes to the anchor's bucket. There prefix doubling
-   (that re-sorts only unfinished groups) gives equal strings of LENGTH bytes equal ranks, and sorting by rank,
-   text and place says whether a string has an earlier or later copy. Longest previous factors are not computed
-   and no previous or next smaller positions: whether one reaches LENGTH is all that is asked.
+2. Runs equal as a whole, by two hashes of 64 bits, form a class; a class of two or more is repeated throughout.
+   So a group of copies, however large, is counted where it lies and goes on as one row a class.
+3. Where the runs of an anchor differ, one run of each class goes to the anchor's bucket. There the suffixes are
+   sorted by prefix doubling to LENGTH bytes (that re-sorts only unfinished groups), ties by text and place.
+   Previous and next smaller places in suffix order, with the common prefixes between, give each suffix its
+   longest previous factor, up to LENGTH; one of LENGTH is a later copy. The same with places reversed tells which
+   strings have a later copy.
 4. Anchors with more than HOT classes are not gathered: their strings are hashed, dealt out and counted.
 """
 
@@ -128,36 +130,72 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
+def common_prefixes(data: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
+    """Longest common prefix, `most` bytes at most, of the suffix at each place with the one before in the list; 0 for the first."""
+    wide = np.concatenate((data, np.zeros(8 + most, np.uint8)))
+    words = np.zeros(len(data) + most, np.uint64)
+    for k in range(8):
+        words = (words << np.uint64(8)) | wide[k : k + len(words)]
+    out = np.zeros(len(at), np.int32)
+    open_ = np.arange(1, len(at))
+    for done in range(0, most, 8):
+        apart = words[at[open_] + done] ^ words[at[open_ - 1] + done]
+        differ = apart != 0
+        part = apart[differ]
+        out[open_[differ]] = done + sum((part < np.uint64(1 << (64 - 8 * k))).astype(np.int32) for k in range(1, 8))
+        open_ = open_[~differ]
+    out[open_] = most
+    return np.minimum(out, most)
+
+
+def longest_previous(order: np.ndarray, lcp: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Longest previous factors: for each suffix the longest prefix that it shares with one of a smaller place.
+
+    order lists suffixes in suffix order, lcp holds the common prefix of each with the one before. The longest
+    is shared with the nearest suffix of smaller place on one side or the other; both are found for all at once
+    by jumping over suffixes of larger place, the least common prefix on the way being what remains shared.
+    """
+    p, n = place[order], len(order)
+    best = np.zeros(n, np.int32)
+    for way in (1, -1):
+        here = p[::way]
+        to = np.arange(n) - 1
+        shared = lcp.copy() if way == 1 else np.concatenate((lcp[:1], lcp[:0:-1]))
+        going = np.flatnonzero((to >= 0) & (here[to] > here))
+        while len(going):
+            via = to[going]
+            shared[going] = np.minimum(shared[going], shared[via])
+            to[going] = to[via]
+            going = going[(to[going] >= 0) & (here[to[going]] > here[going])]
+        shared[to < 0] = 0
+        best = np.maximum(best, shared[::way])
+    out = np.empty(n, np.int32)
+    out[order] = best
+    return out
+
+
 def _repeated(chunk: list[tuple], keep_first: bool) -> dict[str, list]:
-    """Spans of the strings that a bucket shows to be repeated (or, with keep_first, to have an earlier copy)."""
+    """Spans of the strings of a bucket whose longest previous factor is LENGTH; without keep_first also of those
+    with a later place of that length."""
     out: dict[str, list] = {"id": [], "tie": [], "start": [], "end": []}
     if len(chunk) < 2:
         return out
     data = np.frombuffer(b"".join(x[4] for x in chunk), np.uint8)
-    rank = suffix_ranks(data, LENGTH)
     counts = np.array([x[3] for x in chunk])
     offsets = np.cumsum([0] + [len(x[4]) for x in chunk[:-1]])
     row = np.repeat(np.arange(len(chunk)), counts)
     inner = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    ranks, place = rank[offsets[row] + inner], np.array([x[2] for x in chunk])[row] + inner
-    texts = sorted({(x[0], x[1]) for x in chunk})
-    number = {x: k for k, x in enumerate(texts)}
-    text = np.array([number[x[0], x[1]] for x in chunk])[row]
-    order = np.lexsort((place, text, ranks))
-    r, t, p = ranks[order], text[order], place[order]
-    new_rank = np.concatenate(([True], r[1:] != r[:-1]))
-    new_place = new_rank | np.concatenate(([True], (t[1:] != t[:-1]) | (p[1:] != p[:-1])))
-    group = np.cumsum(new_rank) - 1
-    # a group of equal strings is sorted by position: all places but the first have an earlier copy
-    nth = np.cumsum(new_place)
-    earlier = nth > nth[np.flatnonzero(new_rank)][group]
-    marked = np.zeros(len(row), bool)
-    if keep_first:
-        marked[order] = earlier
-    else:
-        several = np.zeros(group[-1] + 1, bool)
-        several[group[earlier]] = True
-        marked[order] = several[group]
+    at = offsets[row] + inner
+    # places in order of (text, position); runs of a text do not overlap
+    by_text = sorted(range(len(chunk)), key=lambda k: (chunk[k][0], chunk[k][1], chunk[k][2]))
+    nth = np.empty(len(chunk), np.int64)
+    nth[by_text] = np.cumsum(counts[by_text]) - counts[by_text]
+    place = nth[row] + inner
+    order = np.lexsort((place, suffix_ranks(data, LENGTH)[at]))
+    lcp = common_prefixes(data, at[order], LENGTH)
+    marked = longest_previous(order, lcp, place) >= LENGTH
+    if not keep_first:
+        marked |= longest_previous(order, lcp, -place) >= LENGTH
     hit = np.flatnonzero(marked)
     if len(hit):
         begins = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)))

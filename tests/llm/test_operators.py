@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -43,6 +44,55 @@ def test_html_keeps_what_lies_around_the_body():
     assert html.extract(f"<article><section>{body}</section><section><h2>Later</h2><p>Short.</p></section></article>").endswith("Later\n\nShort.")
 
 
+STORY = [f"Paragraph {k} tells a long story, with commas, and it goes on; then, after a while, it ends. " * 4 for k in range(6)]
+
+
+def test_html_without_telling_markup(monkeypatch):
+    """Bare divs: the ratios alone tell text from menus, link lists and short notices."""
+    body = "".join(f"<p>{x}</p>" for x in STORY)
+    want = "\n\n".join(["A title", *map(str.strip, STORY), "One", "Two"])
+    menu = "".join(f'<div><a href="/{k}">Entry {k}</a></div>' for k in range(9))
+    page = f"<body><div><div>{menu}</div><div>We use things. Agree?</div><div><h1>A title</h1>{body}<ul><li>One<li>Two</ul></div><div>Read this too: <a href=x>more</a></div><div>Made by us</div></div></body>"
+    assert html.extract(page) == want
+    page = f"<body>{menu}<table><tr><td>{menu}</td><td><h1>A title</h1>{body}{menu}<ul><li>One</li><li>Two</li></ul></td><td>Weather: rain</td></tr></table>"
+    assert html.extract(page) == want
+    monkeypatch.setattr(html, "path_ratios", lambda p: np.ones(len(p.texts)))
+    assert html.extract(page) != want
+
+
+def test_html_names_and_broken_markup():
+    assert html.extract('<article><div class="related-work">Kept, as it is no aside.</div><div class="related-links">Gone, as it is.</div><p class="x>Hello world</p></article>') == "Kept, as it is no aside.\n\nHello world"
+    assert html.extract("<article><header><h1>T</h1><div>By me</div></header><p>Text, here.</p><div hidden>x</div></article><div>Other text, there.</div>") == "T\n\nText, here."
+    assert html.extract('<p>a<p title="b>c">d<!-- e --><![CDATA[f<g]]>h<') == "a\n\ndf<gh<"
+    pages = ["<div>" * 90_000 + "x", '<a "' * 250_000, "<svg>" * 200_000, "<article>" + "<div><header>" * 70_000, "<dl><dd><div>" + "<center>" * 60_000 + "<dt></dt>" * 60_000 + "x"]
+    for page in pages:
+        begin = time.process_time()
+        html.extract(page)
+        assert time.process_time() - begin < 5, page[:20]
+
+
+def test_path_ratios_match_brute_force():
+    page = html.Page("<div><p>One, two. Three<p><a href=x>link</a> some<ul><li>a<li>b.</ul><div class=k><p>One, two. Three</div><h2>Head</h2><p>Long, " + "text. " * 40 + "</div>")
+    names = ["div/p", "div/p", "div/ul/li", "div/ul/li", "div/div.k/p", "div/h2", "div/p"]
+    assert page.texts[:6] == ["One, two. Three", "link some", "a", "b.", "One, two. Three", "Head"] and len(page.texts) == 7
+    text, mark, free = collections.defaultdict(list), collections.defaultdict(list), {}
+    for n, t, k in zip(names, page.texts, page.linked):
+        text[n].append(len(t) - k)
+        mark[n].append(0 if k else sum(c in ".,;:!?" for c in t))
+    for n in set(names):
+        free[n] = sum(text[n]) / sum(len(t) for m, t in zip(names, page.texts) if m == n)
+    ratios = [(np.mean(text[n]), np.mean(mark[n])) for n in names]
+    ratios[5] = tuple(np.maximum(ratios[5], ratios[6]))
+
+    def smooth(v, k):
+        near = [(np.exp(-((j - k) ** 2) / 2), v[j]) for j in range(len(v)) if abs(j - k) <= 2]
+        return sum(w * x for w, x in near) / sum(w for w, _ in near)
+
+    logs = np.log1p(np.array(ratios))
+    want = [(1 + smooth(logs[:, 0], k)) * (1 + smooth(logs[:, 1], k)) * free[n] for k, n in enumerate(names)]
+    assert html.path_ratios(page) == pytest.approx(np.array(want))
+
+
 def test_html_on_spark(spark):
     pages = spark.createDataFrame([(1, None, None, 5), (1, "u", "<p>é</p>", 6), (None, "u", "<p>é</p>", 6)], "page_id long, url string, html string, text int")
     assert sorted((r["text"], r["n_chars"]) for r in html.main_text(pages).collect()) == [("", 0), ("é", 1), ("é", 1)]
@@ -339,6 +389,26 @@ def test_substrings_repeated_rows_and_empty(spark):
     assert substrings.remove_repeats(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_previous_factors(seed):
+    rng = np.random.default_rng(seed)
+    data = rng.integers(97, 99 + seed % 3, 150).astype(np.uint8)
+    if seed > 3:
+        data = np.tile(data[: 10 * seed], 4)
+    text, most = data.tobytes(), 12
+    start = np.arange(len(text) - most + 1)
+    rank = substrings.suffix_ranks(data, most)[start]
+    order = np.lexsort((start, rank))
+    found = substrings.longest_previous(order, substrings.common_prefixes(data, start[order], most), start)
+
+    def common(i, j):
+        return next((k for k in range(most) if text[i + k] != text[j + k]), most)
+
+    assert found.tolist() == [max((common(i, j) for j in range(i)), default=0) for i in start]
+    last = substrings.longest_previous(order, substrings.common_prefixes(data, start[order], most), -start)
+    assert last.tolist() == [max((common(i, j) for j in range(i + 1, len(start))), default=0) for i in start]
+
+
 def test_suffix_ranks():
     data = np.frombuffer(b"abracadabra" * 30 + b"zabracadabra", np.uint8)
     rank, text = substrings.suffix_ranks(data, 20), data.tobytes()
