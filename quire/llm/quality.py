@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import trimmed
+
 SPACES = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -139,6 +141,7 @@ def predict(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 
 def _measure(carry: tuple[str, ...], model: dict[str, np.ndarray] | None):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, features = [], []
@@ -162,10 +165,14 @@ def measure(docs: DataFrame, model: dict[str, np.ndarray] | None = None, carry:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict[str, np.ndarray]:
-    """Trees from at most max_train labelled documents (doc_id, quality), chosen by hash; repeated labels count once, the lowest."""
+    """Trees from at most max_train labelled documents (doc_id, quality), chosen by hash.
+
+    Repeated labels count once, the lowest; of several texts under one doc_id that of least hash counts.
+    """
     named = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_quality"))
     chosen = named.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id")
+    rows = rows.groupBy("_id", "_quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     found = sorted(measure(rows, None, ("_id", "_quality")).select("_id", "_quality", "features").collect())
     x = np.array([r["features"] for r in found]).reshape(len(found), len(FEATURES))
     return grow(x, np.array([int(r["_quality"] > 0) for r in found], float), list(FEATURES.values()))
@@ -176,6 +183,8 @@ def quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> D
 
     base_failed: fewer than 10 words, or more than 20 % of them in repeated windows. kept is false then, else
     the trees' verdict. Null and empty texts have no words and fail. Without labels the score is 0.5 for all.
+    Rows that repeat a text have its result each, null doc_ids stay null, other columns are ignored, and an
+    empty table gives an empty result.
     """
     rows = measure(docs, fit(docs, labels, max_train))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))

@@ -20,10 +20,10 @@ from quire.llm.common import trimmed
 
 GRAMS = (3, 4, 5, 6)
 BUCKETS, DIM = 1 << 18, 8
-WIDTH, STRIDE = 5, 1
+WIDTH = 5
 THRESHOLD = 0.7
-#: Most labelled rows used for training, those of least hash; the one bound on what is learnt from.
-MAX_TRAIN = 9000
+#: The sample that is learnt from: at most so many labelled documents, those of least hash, none of more bytes than this.
+MAX_TRAIN, MAX_TRAIN_BYTES = 9000, 1 << 20
 #: Bytes that are turned into features at once.
 CHUNK = 1 << 18
 
@@ -33,37 +33,55 @@ _STEP = np.uint32(0x01000193)
 
 
 class Features:
-    """Hashed n-grams of a run of texts: bucket and validity by place, words and the text of each word."""
+    """Hashed n-grams of a run of texts: buckets by place, words, and the text of each word. Only a byte and two numbers
+    a word are held; n-grams are made a block of CHUNK bytes at a time."""
 
     def __init__(self, texts: list[str | None]):
         raw = [(text or "").encode("utf-8", "surrogatepass") for text in texts]
-        data = _FOLD[np.frombuffer(b"\n" + b"\n".join(raw) + b"\n" + b"\n" * max(GRAMS), np.uint8)]
-        inside = data != 0
-        n = len(data) - max(GRAMS)
-        self.starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
-        self.ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        self.data = _FOLD[np.frombuffer(b"\n" + b"\n".join(raw) + b"\n" + b"\n" * max(GRAMS), np.uint8)]
+        self.inside = self.data != 0
+        self.n = len(self.data) - max(GRAMS)
+        self.starts = np.flatnonzero(self.inside[1:] & ~self.inside[:-1]) + 1
+        self.ends = np.flatnonzero(self.inside[:-1] & ~self.inside[1:]) + 1
         limits = np.cumsum([1] + [len(x) + 1 for x in raw])
         self.first = np.searchsorted(self.starts, limits)  # first word of each text, and the end
-        self.buckets, self.valid = [], []
-        h, unbroken = data[:n].astype(np.uint32), np.ones(n, bool)
+
+    def grams(self, begin: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each width the bucket of the n-gram at places begin to end, and whether it lies within one word."""
+        h, unbroken = self.data[begin:end].astype(np.uint32), np.ones(end - begin, bool)
         for width in range(2, max(GRAMS) + 1):
-            h = (h * _STEP) ^ data[width - 1 : n + width - 1]
+            h = (h * _STEP) ^ self.data[begin + width - 1 : end + width - 1]
             if width > 2:
-                unbroken &= inside[width - 2 : n + width - 2]
+                unbroken &= self.inside[begin + width - 2 : end + width - 2]
             if width in GRAMS:
                 mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-                self.buckets.append((mixed >> np.uint32(14)).astype(np.int32))
-                self.valid.append(unbroken.copy())
-        self.n = n
+                yield (mixed >> np.uint32(14)).astype(np.int32), unbroken
 
     def word_sums(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Running sums over words of the features' weights and of their number."""
-        total, count = np.zeros(self.n), np.zeros(self.n, np.int32)
-        for b, ok in zip(self.buckets, self.valid, strict=True):
-            total += np.where(ok, weight[b], 0)
-            count += ok
         at = np.append(self.starts - 1, self.ends[-1] - 1 if len(self.ends) else 0)
-        return tuple(np.concatenate(([0], np.cumsum(x, dtype=np.float64)))[at] for x in (total, count))
+        out, before = np.zeros((2, len(at))), np.zeros(2)
+        for begin in range(0, self.n, CHUNK):
+            end = min(begin + CHUNK, self.n)
+            sums = np.zeros((2, end - begin + 1))
+            for bucket, ok in self.grams(begin, end):
+                sums[0, 1:] += np.where(ok, weight[bucket], 0)
+                sums[1, 1:] += ok
+            sums = np.cumsum(sums, axis=1) + before[:, None]
+            here = slice(*np.searchsorted(at, (begin, end)))
+            out[:, here], before = sums[:, at[here] - begin], sums[:, -1]
+        return out[0], out[1]
+
+    def best(self, weight: np.ndarray) -> np.ndarray:
+        """The highest mean of a bag in each text; -inf without words."""
+        total, count = self.word_sums(weight)
+        out = np.full(len(self.first) - 1, -np.inf)
+        for k, (low, high) in enumerate(zip(self.first, self.first[1:], strict=False)):
+            if high > low:
+                width = min(WIDTH, high - low)
+                t, c = total[low : high + 1], count[low : high + 1]
+                out[k] = ((t[width:] - t[:-width]) / np.maximum(c[width:] - c[:-width], 1)).max()
+        return out
 
     def worst(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text the highest mean of a bag, and the bag's first and last word; -inf without words."""
@@ -71,11 +89,11 @@ class Features:
         texts = len(self.first) - 1
         best, low, high = np.full(texts, -np.inf), self.first[:-1].copy(), self.first[:-1].copy()
         sizes = np.diff(self.first)
-        bags = np.where(sizes > 0, np.maximum(-(-(sizes - WIDTH) // STRIDE), 0) + 1, 0)
+        bags = np.where(sizes > 0, np.maximum(sizes - WIDTH, 0) + 1, 0)
         owner = np.repeat(np.arange(texts), bags)
         if len(owner):
             nth = np.arange(len(owner)) - np.repeat(np.cumsum(bags) - bags, bags)
-            a = self.first[owner] + np.minimum(nth * STRIDE, np.maximum(sizes[owner] - WIDTH, 0))
+            a = self.first[owner] + nth
             b = np.minimum(a + WIDTH, self.first[owner + 1])
             mean = (total[b] - total[a]) / np.maximum(count[b] - count[a], 1)
             order = np.lexsort((-a, mean, owner))
@@ -90,7 +108,7 @@ class Features:
         size = end - begin
         place = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
         text = np.repeat(has, size)
-        pairs = [(text[ok := v[place]], b[place[ok]]) for b, v in zip(self.buckets, self.valid, strict=True)]
+        pairs = [(text[ok := v[place]], b[place[ok]]) for b, v in self.grams(0, self.n)]
         return np.concatenate([t for t, _ in pairs]), np.concatenate([b for _, b in pairs])
 
 
@@ -105,12 +123,8 @@ def chunks(texts: list) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int | None = None, whole: int = 2, rate: float = 0.3, seed: int = 7) -> dict:
-    """Learn from labelled texts: {"weight": one number a bucket, "bias"}. The same rows give the same model.
-
-    By default small sets are gone through more often, so the number of steps varies less.
-    """
-    epochs = epochs or max(6, min(40, 24_000 // max(len(texts), 1)))
+def train(texts: list[str | None], labels: list[int], epochs: int = 10, whole: int = 2, rate: float = 0.3, seed: int = 7) -> dict:
+    """Learn from labelled texts: {"weight": one number a bucket, "bias"}. The same rows give the same model."""
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     linear = rng.normal(0, 0.5, (2, DIM)).astype(np.float32)
@@ -159,7 +173,7 @@ def score(model: dict, texts: list[str | None]) -> np.ndarray:
     """Probability of label 1 for each text; that of the bias alone for texts without words."""
     out = np.empty(len(texts))
     for s in chunks(texts):
-        best = Features(texts[s]).worst(model["weight"])[0]
+        best = Features(texts[s]).best(model["weight"])
         z = np.where(np.isfinite(best), best, 0) + model["bias"]
         out[s] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     return out
@@ -173,12 +187,14 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     """Train on at most max_train labelled documents (doc_id, toxic), chosen by hash, none held out.
 
-    Labels repeated for a doc_id count once, the highest; null labels and ids do not count.
+    Labels repeated for a doc_id count once, the highest; null labels and ids do not count. Of several texts under
+    one doc_id that of least hash is learnt from. Without labels every text scores the same.
     """
     named = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     chosen = named.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id").select("_id", "_toxic", "text")
-    found = sorted(rows.toLocalIterator(), key=lambda r: (r["_id"], r["text"] or ""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TRAIN_BYTES).join(F.broadcast(chosen), "_id")
+    rows = rows.groupBy("_id", "_toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # one row a label, however often its id is repeated
+    found = sorted(rows.toLocalIterator(), key=lambda r: r["_id"])
     return train([r["text"] for r in found], [int(r["_toxic"] > 0) for r in found])
 
 
@@ -202,6 +218,11 @@ def apply(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",)) ->
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document; predicted 1 from a score of 0.7 on."""
+    """(doc_id, held_out, score, predicted) of every row of docs (doc_id, text); predicted 1 from a score of 0.7 on.
+
+    Whole texts are scored, of any length. Null, empty and wordless texts score alike. Rows that repeat a text
+    have its score each; a null doc_id stays null and is not held out. Other columns are ignored; an empty table
+    gives an empty result.
+    """
     scored = apply(docs, fit(docs, labels, max_train))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

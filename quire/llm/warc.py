@@ -11,11 +11,12 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,16 +192,20 @@ def lookup(bundles: DataFrame, page_ids: DataFrame) -> DataFrame:
 
 
 def export(bundles: DataFrame, folder: str) -> DataFrame:
-    """Write bundles as files to a folder that all executors mount; names follow content, so retries agree."""
-    root = urlparse(folder).path
+    """Write bundles as files to a folder, a path or address that the file systems of pyarrow reach from all executors.
+
+    Names follow content, and a file takes its name only when whole, so retries agree. Returns the names.
+    """
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
         for batch in batches:
             for name, content in zip(batch.column("bundle").to_pylist(), batch.column("content"), strict=True):
-                os.makedirs(root, exist_ok=True)
-                with open(part := f"{root}/.{name}.{os.getpid()}", "wb") as file:
-                    file.write(content.as_py())
-                os.replace(part, f"{root}/{name}")
+                store.create_dir(root, recursive=True)
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as file:
+                    file.write(content.as_buffer())
+                store.move(part, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"bundle": batch.column("bundle")})
 
     return bundles.mapInArrow(save, "bundle string")

@@ -13,6 +13,12 @@ from quire.llm import catalog, chat, common, decontaminate, html, lines, mixing,
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, id long, tie long, score double"
 
 
+@pytest.fixture(params=[common.BROADCAST_CELLS, 0], ids=["broadcast", "shuffle"])
+def joins(request, monkeypatch):
+    """Both sides of the bound up to which a table is broadcast."""
+    monkeypatch.setattr(common, "BROADCAST_CELLS", request.param)
+
+
 def table(spark, rows):
     """Documents with columns whose names clash with the operators' own."""
     return spark.createDataFrame([(i, t, "en", s, None, 1, 2, 3, 0.5) for i, t, s in rows], DOCS)
@@ -166,12 +172,35 @@ def test_quality_trees_are_monotonic():
         assert (sign * np.diff(p, axis=0) >= -1e-12).all()
 
 
+def test_long_texts_score_as_whole(monkeypatch):
+    """Scores do not depend on the blocks that a text is read in, nor on the texts beside it."""
+    texts = [" ".join(prose(k, 4).split() * 900) for k in range(3)] + ["w" * 50_000, None, "", "a b " + prose(5, 900)]
+    weight = np.random.default_rng(3).normal(0, 1, toxicity.BUCKETS).astype(np.float32)
+    whole = toxicity.score({"weight": weight, "bias": -1.0}, texts)
+    assert toxicity.Features(texts).best(weight) == pytest.approx(toxicity.Features(texts).worst(weight)[0])
+    monkeypatch.setattr(toxicity, "CHUNK", 1000)
+    assert toxicity.score({"weight": weight, "bias": -1.0}, texts) == pytest.approx(whole)
+
+
+def test_labels_of_repeated_ids(spark):
+    """Rows that repeat a labelled id are one row of the sample, so it stays as bounded as the labels."""
+    rows = [(1, A, "a")] * 50 + [(2, B, "a"), (2, C, "a"), (3, "z" * (toxicity.MAX_TRAIN_BYTES + 1), "a")]
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in (1, 2, 3)] * 2, "doc_id long, toxic int, quality int")
+    seen = {}
+    for module, name in ((toxicity, "train"), (quality, "grow")):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(module, name, lambda *a, module=module: seen.setdefault(module, len(a[0])) and {})
+            module.fit(table(spark, rows), labels)
+    assert seen[quality] == 3 and seen[toxicity] == len([k for k in (1, 2) if __import__("zlib").crc32(str(k).encode()) % 3 != 1])
+
+
 def test_quality_edges(spark):
     found = quality.quality(table(spark, [*EDGE, (9, A, "b")]), spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert {r["doc_id"] for r in found if not r["base_failed"]} == {9} and len(found) == 7
+    assert quality.quality(table(spark, []), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
-def test_lines(spark):
+def test_lines(spark, joins):
     one, two, hot = "one two three four five", "six seven eight nine ten", "short line"
     rows = [(1, f"{one}\n{hot}\n{two}", "a"), (2, f"{hot}\n ONE  two three\tfour five\nnew words are here now\n{one}", "a"), (3, f"{two}\n{two}", "a"), *EDGE]
     found = {(r["doc_id"], r["kept"]): r["spans"] for r in lines.remove_lines(table(spark, rows), min_words=5).collect()}
@@ -213,11 +242,11 @@ def agree(spark, name, folder, key="doc_id"):
     return {r[key]: r for r in rows}
 
 
-def test_warc(spark):
+def test_warc(spark, joins):
     body = "<p>é</p>" * 30
     rows = [(5, "u", body, 1), (2, None, body, 1), (9, "u\r\n%", body, 1), (7, "u", "short", 1), (8, "u", "short", 1), (3, "u", None, 1), (4, "u", "", 1), (None, "u", body, 1), (2, "v", body, 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload int")
-    bundles = warc.write(pages)
+    bundles = warc.write(pages).cache()
     found = warc.read(bundles).collect()
     assert len(found) == len(rows)
     for r in found:
@@ -231,6 +260,21 @@ def test_warc(spark):
     frame = warc.read_frame(bundle["content"], warc.seek_table(bundle["content"]), entry["frame"])
     assert warc.parse(frame[entry["start"] :][: entry["length"]])["page_id"] == entry["page_id"]
     assert warc.read(warc.write(pages.limit(0))).count() == 0
+    wanted = spark.createDataFrame([(9,), (9,), (77,), (None,)], "page_id long")
+    [where] = warc.lookup(bundles, wanted).collect()
+    content = {r["bundle"]: r["content"] for r in bundles.collect()}[where["bundle"]]
+    frame = warc.read_frame(content, warc.seek_table(content), where["frame"])
+    assert warc.parse(frame[where["start"] :][: where["length"]])["url"] == "u\r\n%"
+
+
+def test_warc_files(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"<p>{k}</p>") for k in range(20)], "page_id long, url string, html string").repartition(3)
+    bundles = warc.write(pages).cache()
+    for folder in (f"{tmp_path}/a", f"file://{tmp_path}/b"):
+        names = {r["bundle"] for r in warc.export(bundles, folder).collect()} | {r["bundle"] for r in warc.export(bundles, folder).collect()}
+        home = tmp_path / folder[-1]
+        assert names == set(os.listdir(home))
+        assert {(home / r["bundle"]).read_bytes() == r["content"] for r in bundles.collect()} == {True}
 
 
 def test_warc_many_frames(monkeypatch):
@@ -255,7 +299,7 @@ def windows_hit(text, item):
     return False
 
 
-def test_decontaminate(spark):
+def test_decontaminate(spark, joins):
     w = C.split()
     items = [(1, C), (2, " ".join(w[:20]) + " other"), (3, "tiny Item"), (4, None), (5, ""), (6, "a b c d e a b c d e a b c d e f")]
     near = " ".join([*w[:30], "changed", *w[31:]])
@@ -290,7 +334,7 @@ def brute_groups(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def test_near_duplicates(spark):
+def test_near_duplicates(spark, joins):
     rng = np.random.default_rng(5)
     rows, i = [(1, None, "a"), (2, "", "a"), (3, " \n", "a"), (4, "Few words", "a"), (5, "few  words", "a"), (6, "few words more", "a")], 10
     for base in range(12):
@@ -349,7 +393,7 @@ def test_neighbours_meet_over_batches():
         assert not before or (node[i], node[before[-1]]) in met
 
 
-def test_one_of_each_without_ids(spark):
+def test_one_of_each_without_ids(spark, joins):
     near = B.split()
     near[60] = "edited"
     rows = [(1, A, "a"), (None, A, "a"), (None, B, "a"), (None, B, "b"), (None, " ".join(near), "a"), (None, C, "a"), (None, None, "a"), (None, " ", "a"), (None, " ", "a")]
@@ -368,7 +412,7 @@ def test_components(spark):
 
 @pytest.mark.parametrize("keep_first", [False, True])
 @pytest.mark.parametrize("hot", [1, 100_000])
-def test_substrings(spark, keep_first, hot):
+def test_substrings(spark, joins, keep_first, hot):
     shared = prose(7, 60)[:230]
     rows = [(1, A + shared + B, "a"), (2, B[:100] + shared + "é" + C, "a"), (3, shared[10:215], "a"), (4, "z" * 450, "a"), (5, "ab" * 150 + A[:120], "a"), (6, None, "a"), (7, "", "a"), (8, prose(8, 30) * 2, "a"), (9, B, "a"), (10, shared[:199], "a")]
     seen = collections.defaultdict(list)
@@ -383,7 +427,7 @@ def test_substrings(spark, keep_first, hot):
         assert r["n_bytes"] == len(b) and len(r["kept"]) == len(b) - sum(y - x for x, y in substrings.merge(spans))
 
 
-def test_substrings_repeated_rows_and_empty(spark):
+def test_substrings_repeated_rows_and_empty(spark, joins):
     found = substrings.remove_repeats(table(spark, [(1, A, "a"), (1, A, "a"), (None, "short", "b")]), False).collect()
     assert sorted(len(r["kept"]) for r in found) == [0, 0, 5]
     assert substrings.remove_repeats(table(spark, [])).count() == 0
