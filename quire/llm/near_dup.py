@@ -77,7 +77,8 @@ def signature(items: np.ndarray) -> np.ndarray:
     for begin in range(0, len(x), 2048):
         part = x[begin : begin + 2048]
         np.minimum(least, (_A[:, None] * part + _B[:, None]).min(axis=1), out=least)
-    return least
+    # sixteen well mixed bits of each tell minima apart as well as all of them do
+    return ((least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.uint16)
 
 
 def tree_labels(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +123,7 @@ def describe(docs: DataFrame) -> DataFrame:
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of all orders, one a tree and node."""
     for batch in batches:
-        sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, VALUES)
+        sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
         key, deep = tree_labels(sigs)
         node = np.repeat(batch.column("node").to_numpy(), TREES)
         yield pa.RecordBatch.from_pydict({"key": pa.array(key.ravel()), "deep": pa.array(deep.ravel()), "node": pa.array(node)})
@@ -207,11 +208,11 @@ def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     sized = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), salts), F.lit(0)).cast("int"))
     sized = sized.select("a", "b", "salt")
     route = sized.select(F.col("a").alias("leader"), "salt", F.col("b").alias("id")).union(sized.select(F.col("a").alias("leader"), "salt", F.col("a").alias("id")).distinct())
-    route = small(stage(route.join(reps.select(F.col("node").alias("id"), "rep", "digest"), "id"), "near-route"))
+    route = small(stage(route.join(reps.select(F.col("node").alias("id"), "rep", "digest"), "id"), "near-route", True))
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(route, "rep")
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = rows.repartition(int(parts), "leader", "salt").sortWithinPartitions("leader", "salt", F.col("id") != F.col("leader"), "id")
-    return stage(rows.select("leader", "salt", "id", "digest", "text").mapInArrow(_verify, "u long, v long").distinct(), "near-links")
+    return stage(rows.select("leader", "salt", "id", "digest", "text").mapInArrow(_verify, "u long, v long").distinct(), "near-links", True)
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -241,7 +242,7 @@ def _meetings(held: dict[str, list]) -> Iterator[tuple[int, np.ndarray]]:
 
 def _signatures(held: dict[str, list]) -> tuple[np.ndarray, int]:
     """The signatures of a part, and the number of its tree."""
-    sig = np.frombuffer(b"".join(held["sig"]), np.uint32).reshape(-1, VALUES)
+    sig = np.frombuffer(b"".join(held["sig"]), np.uint16).reshape(-1, VALUES)
     return sig, int(np.flatnonzero(tree_labels(sig[:1])[0][0] == held["key"][0])[0])
 
 
@@ -306,7 +307,7 @@ def mixed_rows(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Staged rows (key, deep, node, root) of the regions that hold several components."""
     labelled = members.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "deep", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    return stage(labelled.join(mixed, "key"), "near-mixed")
+    return stage(labelled.join(mixed, "key"), "near-mixed", True)
 
 
 def nearest_across(mixed: DataFrame, tried: DataFrame) -> DataFrame:
@@ -316,7 +317,7 @@ def nearest_across(mixed: DataFrame, tried: DataFrame) -> DataFrame:
     found = mixed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_across, "node long, other long, depth int")
     found = found.withColumns({"a": F.least("node", "other"), "b": F.greatest("node", "other")}).join(tried, ["a", "b"], "left_anti")
     best = found.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("depth", -F.col("other"))).alias("pair"))
-    return stage(best.select("pair.*").distinct(), "near-pairs")
+    return stage(best.select("pair.*").distinct(), "near-pairs", True)
 
 
 def deal(mixed: DataFrame, weight: Column, most: int) -> DataFrame:
@@ -340,12 +341,12 @@ def rest_across(docs: DataFrame, mixed: DataFrame, facts: DataFrame) -> DataFram
     rows = mixed.select("key", "node", "root")
     met = deal(rows, F.lit(1), SIGNATURES).join(facts.select("node", "sig"), "node")
     met = met.select("key", "i", "j", "node", "root", "largest", "visits", "sig").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    marked = stage(met.mapInArrow(_mark, "key long, node long").distinct(), "near-marked")
-    rows = stage(rows.join(marked, ["key", "node"]).join(facts, "node"), "near-rest")
-    wanted = small(stage(rows.select("rep").distinct(), "near-wanted"))
+    marked = stage(met.mapInArrow(_mark, "key long, node long").distinct(), "near-marked", True)
+    rows = stage(rows.join(marked, ["key", "node"]).join(facts, "node"), "near-rest", True)
+    wanted = small(stage(rows.select("rep").distinct(), "near-wanted", True))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
     full = texts.join(deal(rows, F.col("n_shingles"), REGION), "rep").select("key", "i", "j", "node", "root", "largest", "visits", "sig", "digest", "text")
-    return stage(full.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_rest, "u long, v long").distinct(), "near-links")
+    return stage(full.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_rest, "u long, v long").distinct(), "near-links", True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -358,22 +359,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Other columns of docs are ignored; an empty table gives an empty result.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    described = stage(describe(docs), "near-sets")
+    described = stage(describe(docs).withColumn("row", F.monotonically_increasing_id()), "near-sets")
     named = described.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    reps = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    reps = named.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("digest", F.col("first.doc_id").alias("rep"), "first.row")
     # a node is named by its smallest doc_id; where several sets have the same, all but one by a hash
     owner = reps.groupBy("rep").agg(F.min("digest").alias("_own"))
     name = F.when(F.col("digest") == F.col("_own"), F.col("rep")).otherwise(F.xxhash64("digest").bitwiseOR(F.lit(-(1 << 63))))
-    reps = stage(reps.join(owner, "rep").select("digest", "rep", name.alias("node")), "near-reps")
-    facts = named.select("digest", F.col("doc_id").alias("rep"), "n_shingles", "sig").join(reps, ["digest", "rep"]).dropDuplicates(["node"])
-    facts = stage(facts.select("node", "rep", "digest", "n_shingles", "sig"), "near-facts")
+    reps = stage(reps.join(owner, "rep").select("digest", "rep", "row", name.alias("node")), "near-reps", True)
+    facts = described.select("row", "digest", "n_shingles", "sig").join(small(reps.select("row", "rep", "node")), "row").select("node", "rep", "digest", "n_shingles", "sig")
     order = ["key", "deep", "node"]
     forest = facts.select("node", "sig").mapInArrow(_grow, "key long, deep long, node long")
     members = stage(forest.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, "key long, deep long, node long, near long, depth int"), "near-forest")
     deepest = members.where("depth > 0").groupBy("node").agg(F.max_by("near", F.struct("depth", -F.col("near"))).alias("near"))
     leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
     tops = members.join(leaders, "key").groupBy("node").agg(F.min("leader").alias("near")).where("near < node")
-    first = stage(deepest.union(tops).select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct(), "near-pairs")
+    first = stage(deepest.union(tops).select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct(), "near-pairs", True)
     links = verify(docs, first, reps)
     roots = components(links, "near-cc")
     members = members.select(*order)
@@ -388,7 +388,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         roots = components(links.union(new), "near-cc")
     rooted = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = stage(rooted.join(smallest, "root").select("digest", "component_id"), "near-classes")
+    classes = stage(rooted.join(smallest, "root").select("digest", "component_id"), "near-classes", True)
     out = described.select("doc_id", "tie", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "tie", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -363,7 +363,7 @@ def test_near_duplicates(spark, joins):
 
 def test_forest_orders():
     rng = np.random.default_rng(8)
-    sigs = rng.integers(0, 3, (400, near_dup.VALUES)).astype(np.uint32)
+    sigs = rng.integers(0, 3, (400, near_dup.VALUES)).astype(np.uint16)
     key, deep = near_dup.tree_labels(sigs)
     for t in (0, 5, near_dup.TREES - 1):
         turned = np.roll(sigs, -near_dup.LEAST_DEPTH * t, axis=1)[:, : near_dup.LEAST_DEPTH + near_dup.MORE]
