@@ -62,17 +62,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Partitions of narrow rows that are written as one file, and the least number of files.
-NARROW, LEAST_FILES = 16, 8
+#: Partitions of narrow rows that are written as one file, the least number of files, and rows a file where they are counted.
+NARROW, LEAST_FILES, ROWS_A_FILE = 16, 8, 200_000
 
 
-def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str, narrow: bool = False, rows: int | None = None) -> DataFrame:
     """Cut the lineage: write the rows to a table in the shared folder and read them back.
 
-    Tables of ids and digests (narrow) are a fraction of the texts that they speak of and get a fraction of the files.
+    Tables of ids and digests (narrow) are a fraction of the texts that they speak of and get a fraction of the files;
+    where a bound of the rows is known, as many as they fill.
     """
     spark = df.sparkSession
-    if narrow:
+    if rows is not None:
+        df = df.coalesce(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_A_FILE)))
+    elif narrow:
         df = df.coalesce(max(LEAST_FILES, int(spark.conf.get("spark.sql.shuffle.partitions")) // NARROW))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -111,19 +114,20 @@ def n_words(text: Column) -> Column:
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """Connected components of undirected edges (u, v): rows (node, root), root the smallest node.
+    """Connected components of undirected edges (u, v), a staged table: rows (node, root), root the smallest node.
 
     Alternating large-star and small-star contractions, each round written to the shared folder, so
     lineage stays short and nothing is gathered on the driver but one row of counts a round.
     """
-    e = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name, True)
+    e = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name, rows=edges.count())
     before = None
     while True:
+        size = e.count() if before is None else before[0]
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = stage(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", "m")).distinct(), name, True)
+        e = stage(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", "m")).distinct(), name, rows=size)
         after = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.countDistinct("u")).first()
         if after == before or after[0] == after[2] and not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
