@@ -17,17 +17,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _left: list[tuple[SparkSession, str]] = []
 
 
-#: Texts that go to a Python worker at once; the default of 10,000 is meant for short rows.
-BATCH = "1000"
-
-
 def _tidy(function: Stage) -> Stage:
-    """Delete the tables that the stage before staged (its result is written by now), and keep batches of texts small."""
+    """Delete the tables that the stage before staged: its result is written by now."""
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.release(_left)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
         before = len(common._open)
         out = function(spark, docs, sf_dir)
         _left[:] = common._open[before:]
@@ -38,20 +33,29 @@ def _tidy(function: Stage) -> Stage:
 
 @_tidy
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels of documents still here, scores below 0.7."""
+    """Documents that the classifier, fitted on the labels of documents still here, scores below 0.7.
+
+    Texts without words score alike and stay. Null ids and repeated rows are scored by their texts; other columns go.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.apply(docs, model, COLUMNS).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 @_tidy
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id."""
+    """One document of each group of near duplicates, that with the smallest doc_id; repeated rows once.
+
+    Texts without words are duplicates of nothing, but rows that repeat a doc_id and text stay once.
+    """
     return near_dup.one_of_each(docs.select(*COLUMNS))
 
 
 @_tidy
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the passages of 200 bytes or more that an earlier place has; n_chars follows the text."""
+    """Every document, without the passages of 200 bytes or more that an earlier place has; n_chars follows the text.
+
+    Places rank by doc_id, null ids last, and offset. A null text becomes an empty one; an unchanged row keeps its n_chars.
+    """
     found = substrings.remove_repeats(docs, True, ("lang", "source", "n_chars"), as_text=True)
     changed = F.size("spans") > 0
     return found.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.when(changed, F.char_length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
@@ -59,14 +63,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_tidy
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; those with null or empty texts hold none and stay."""
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), COLUMNS[1:])
     return found.where("NOT contaminated").select(*COLUMNS)
 
 
 @_tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document."""
+    """How many words the mix takes of each document; 0 of those without words. A null source is a source."""
     return mixing.mix(docs)
 
 
