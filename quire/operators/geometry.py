@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,15 @@ def go_to(text: Column, pages: Column) -> Column:
     """Page index from what a reader types, counted from 1; null unless it names a page."""
     at = F.try_to_number(F.btrim(text), F.lit("999999999")).cast("int") - 1
     return F.when((at >= 0) & (at < pages), at)
+
+
+def bounding(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the box around all boxes (x0, y0, x1, y1) of each; rows without a box do not count."""
+    return rows.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def device_matrix(width: Column, height: Column, degrees: Column, scale: Column) -> dict[str, Column]:
+    """Page points to pixels, top row first: y is turned about the page's top, the page by quarter turns, then scaled."""
+    turn, zero = quarter(degrees), F.lit(0.0)
+    pick = lambda a, b, c, d: F.when(turn == 90, b).when(turn == 180, c).when(turn == 270, d).otherwise(a)
+    return {"a": pick(scale, zero, -scale, zero), "b": pick(zero, scale, zero, -scale), "c": pick(zero, scale, zero, -scale), "d": pick(-scale, zero, scale, zero), "e": pick(zero, zero, scale * width, scale * height), "f": pick(scale * height, zero, zero, scale * width)}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def newest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -43,30 +47,55 @@ def runs_of_numbers(rows: DataFrame, num: str, block: int = 1 << 16) -> DataFram
     return inner.unionByName(edges.groupBy("_run").agg(F.min("first").alias("first"), F.sum("count").alias("count")).drop("_run"))
 
 
+def _by_key(rows: DataFrame, key: str, order: str, kernel: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows (key, order, more) of each key, in order, through a kernel that sees them one after the other.
+
+    Keys are sorted inside partitions, so a task holds what the kernel remembers of one key and never its rows.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        held: list[tuple] = []
+        for _, group in itertools.groupby(flat, lambda r: r[0]):
+            for row in kernel(group):
+                held.append(row)
+                if len(held) == 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), target, strict=True)], schema=target)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), target, strict=True)], schema=target)
+
+    return rows.repartition(parts, key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
 def replay(log: DataFrame, key: str) -> DataFrame:
     """Journals (key, seq, action commit|undo|redo) to (key, seq, alive): which commits stand at the end.
 
-    A commit clears what could be redone; undo and redo without anything to take are ignored.
+    A commit clears what could be redone; undo and redo without anything to take are ignored. A task remembers the
+    numbers of one journal's commits.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        commits: list[int] = []
         done: list[int] = []
         undone: list[int] = []
-        for seq, action in zip(rows["seq"], rows["action"], strict=True):
+        name = None
+        for name, seq, action in rows:  # noqa: B007
             if action == "commit":
+                commits.append(seq)
                 done.append(seq)
                 undone.clear()
             elif action == "undo" and done:
                 undone.append(done.pop())
             elif action == "redo" and undone:
                 done.append(undone.pop())
-        commits = rows[rows["action"] == "commit"]
         alive = set(done)
-        return pd.DataFrame({key: commits[key], "seq": commits["seq"], "alive": [s in alive for s in commits["seq"]]})
+        return ((name, seq, seq in alive) for seq in commits)
 
     kinds = {f.name: f.dataType.simpleString() for f in log.schema}
-    return log.select(key, "seq", "action").groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, seq long, alive boolean")
+    return _by_key(log.select(key, F.col("seq").cast("long").alias("seq"), "action"), key, "seq", fold, f"{key} {kinds[key]}, seq long, alive boolean")
 
 
 def fresh_requests(requests: DataFrame, key: str, order: list[str], generation: str) -> DataFrame:
@@ -76,19 +105,17 @@ def fresh_requests(requests: DataFrame, key: str, order: list[str], generation:
 
 
 def fifo_cache(requests: DataFrame, key: str, slots: int = 32) -> DataFrame:
-    """Replay a first-in-first-out cache: (key, seq, hit). Hits do not renew an entry's age."""
+    """Replay a first-in-first-out cache: (key, seq, hit). Hits do not renew an entry's age. A task remembers the slots."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         held: OrderedDict = OrderedDict()
-        hits = []
-        for item in rows["item"]:
-            hits.append(item in held)
-            if item not in held:
+        for name, seq, item in rows:
+            hit = item in held
+            if not hit:
                 held[item] = True
                 if len(held) > slots:
                     held.popitem(last=False)
-        return pd.DataFrame({key: rows[key], "seq": rows["seq"], "hit": hits})
+            yield name, seq, hit
 
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
-    return requests.select(key, "seq", "item").groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, seq long, hit boolean")
+    return _by_key(requests.select(key, F.col("seq").cast("long").alias("seq"), "item"), key, "seq", fold, f"{key} {kinds[key]}, seq long, hit boolean")

@@ -6,26 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.geometry import moved
-from quire.sources.staging import cut
+from quire.sources.staging import cut, together
 
 
-def tree_order(edges: DataFrame, doc: str, depth: int = 64) -> DataFrame:
+def tree_order(edges: DataFrame, doc: str) -> DataFrame:
     """(doc, node, parent, depth, path) of the trees in edges (doc, parent, ord, child); roots have a null parent.
 
     path sorts nodes in depth-first order. A child listed again, or below itself, is taken once: the place
-    with the least path. Levels are joined one at a time, so a job has as many joins as the tree has levels.
+    with the least path. Levels are joined one at a time until one is empty, and each is written to the shared
+    folder, so no level is computed twice and trees may be of any depth.
     """
     key = F.format_string("%010d", F.col("ord").cast("long"))
+    pairs = edges.select(doc, "parent", "ord", "child")
     level = edges.where("parent IS NULL").select(doc, F.col("child").alias("node"), F.lit(None).cast(edges.schema["parent"].dataType).alias("parent"), F.lit(0).alias("depth"), F.array(key).alias("path"), F.array(F.col("child")).alias("_above"))
-    found = level
-    for k in range(1, depth):
-        level = level.select(F.col(doc), F.col("node").alias("parent"), "path", "_above").join(edges.select(doc, "parent", "ord", "child"), [doc, "parent"])
-        level = level.where(~F.array_contains("_above", F.col("child"))).select(doc, F.col("child").alias("node"), "parent", F.lit(k).alias("depth"), F.concat("path", F.array(key)).alias("path"), F.concat("_above", F.array("child")).alias("_above"))
-        if not level.limit(1).count():
-            break
-        found = found.unionByName(level)
+    levels = [cut(level)]
+    while levels[-1].limit(1).count():
+        above = levels[-1].select(F.col(doc), F.col("node").alias("parent"), "path", "_above")
+        level = above.join(pairs, [doc, "parent"]).where(~F.array_contains("_above", F.col("child")))
+        levels.append(cut(level.select(doc, F.col("child").alias("node"), "parent", F.lit(len(levels)).alias("depth"), F.concat("path", F.array(key)).alias("path"), F.concat("_above", F.array("child")).alias("_above"))))
+    found = together(levels).drop("_above")
     w = Window.partitionBy(doc, "node").orderBy("path")
-    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_above")
+    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def inherited(own: list[Column]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,6 +82,87 @@ def match_boxes(char_rows: DataFrame, starts: DataFrame, length: int, keys: list
     return found.where("x0 IS NOT NULL")
 
 
+RUN = "struct<text:string,xs:array<double>,y:double,d:double>"
+
+
+def _height(run: Column) -> Column:
+    return F.greatest(F.abs(run["d"]), F.lit(1.0))
+
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate a column once for a function that refers to it many times."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _broken(runs: Column, k: Column) -> Column:
+    """Whether a line break stands in front of run k: it lies more than half the taller height away from the one before."""
+    one, before = F.get(runs, k), F.get(runs, k - 1)
+    return (k > 0) & (F.abs(one["y"] - before["y"]) > F.greatest(_height(one), _height(before)) * LINE_BREAK)
+
+
+def _joined(runs: Column) -> Column:
+    return F.array_join(F.transform(runs, lambda r, k: F.when(_broken(runs, k), F.concat(F.lit("\n"), r["text"])).otherwise(r["text"])), "")
+
+
+def text_of_runs(runs: Column) -> Column:
+    """page_text() of a page that holds its glyphs as an array of runs (RUN) in order: a run has one character for each of
+    its xs, all on one height. Nothing is shuffled or sorted, and a page is a row."""
+    return _bind(runs, _joined)
+
+
+def _running(sizes: Column) -> Column:
+    """Sums of all entries before each one."""
+    empty = F.array().cast("array<int>")
+    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), empty.alias("all")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["all"], a["at"]).alias("all")), lambda a: a["all"])
+
+
+def _match_box(runs: Column, begins: Column, start: Column, length: int) -> Column:
+    """The box of the characters start to start + length, of runs that begin at those positions."""
+    end = start + length
+    low = F.greatest(F.size(F.filter(begins, lambda b: b <= start)) - 1, F.lit(0))
+    high = F.greatest(F.size(F.filter(begins, lambda b: b < end)) - 1, F.lit(0))
+
+    def part(run: Column, begin: Column) -> Column:
+        a = F.greatest(start - begin, F.lit(0))
+        xs = F.slice(run["xs"], a + 1, F.greatest(F.least(end - begin, F.size(run["xs"])) - a, F.lit(0)))
+        return _bind(xs, lambda x: F.struct(F.array_min(x).alias("x0"), F.when(F.size(x) > 0, run["y"]).alias("y0"), (F.array_max(x) + 0.6 * _height(run)).alias("x1"), F.when(F.size(x) > 0, run["y"] + 0.8 * _height(run)).alias("y1")))
+
+    def whole(parts: Column) -> Column:
+        return F.struct(start.alias("pos"), *(least(parts[c]).alias(c) for least, c in ((F.array_min, "x0"), (F.array_min, "y0"), (F.array_max, "x1"), (F.array_max, "y1"))))
+
+    return _bind(low, lambda at: _bind(F.zip_with(F.slice(runs, at + 1, high - at + 1), F.slice(begins, at + 1, high - at + 1), part), whole))
+
+
+def boxes_of_matches(pages: DataFrame, query: str, keys: list[str], runs: str = "runs") -> DataFrame:
+    """keys, pos and box of every occurrence of a query in pages that hold runs; overlapping ones count, matches of line
+    breaks alone have no box and go. What match_starts() and match_boxes() say of the same glyphs, page by page."""
+    needle = fold_text(query)
+    length = len(needle)
+    if not needle:
+        return pages.select(*keys, F.lit(0).alias("pos"), *(F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1"))).limit(0)
+
+    def places(text: Column) -> Column:
+        pieces = F.split(text, f"(?={_quoted(needle)})")
+        every = _running(F.transform(pieces, F.char_length))
+        return F.when(F.startswith(text, F.lit(needle)), every).when(F.contains(text, F.lit(needle)), F.slice(every, 2, F.size(every))).otherwise(F.array().cast("array<int>"))
+
+    def begins(own: Column) -> Column:
+        broken = F.transform(own, lambda _, k: _broken(own, k).cast("int"))
+        return _bind(broken, lambda b: F.zip_with(_running(F.zip_with(own, b, lambda r, n: F.size(r["xs"]) + n)), b, lambda n, m: n + m))
+
+    def found(own: Column) -> Column:
+        return _bind(F.struct(begins(own).alias("begins"), places(fold(_joined(own))).alias("places")), lambda z: F.transform(z["places"], lambda start: _match_box(own, z["begins"], start, length)))
+
+    return pages.select(*keys, F.inline(_bind(F.col(runs), found))).where("x0 IS NOT NULL")
+
+
+def synthetic_runs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The glyphs of synthetic_glyphs() as an array of runs, a line each."""
+    xs = lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.char_length(p) - 1, F.lit(0))), lambda k: 72 + 7.2 * k)
+    lines = F.transform(F.split("text", "\n"), lambda p, k: F.struct(p.alias("text"), xs(p).alias("xs"), (F.lit(720.0) - 14.0 * k).alias("y"), F.lit(12.0).alias("d")))
+    return docs.where("text IS NOT NULL").select(key, F.filter(lines, lambda r: r["text"] != "").alias("runs")).where(F.size("runs") > 0)
+
+
 def hit(char_rows: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:
     """keys and the position of the first character whose box holds the point, else of the nearest centre."""
     inside = x.between(F.col("x0"), F.col("x1")) & y.between(F.col("y0"), F.col("y1"))

@@ -30,3 +30,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 from quire.plans import text_queries  # noqa: E402, F401  registers its queries
 from quire.plans import structure_queries  # noqa: E402, F401
+from quire.plans import file_queries  # noqa: E402, F401

@@ -13,16 +13,6 @@ from quire.sources.staging import shared_folder
 from quire.streaming.requests import mark_stale
 
 
-@query("display_summary", """SELECT event_type, CAST(count(*) AS BIGINT) AS items, CAST(count(*) FILTER (value > 50) AS BIGINT) AS large, bool_or(value > 99) AS any_estimated FROM events GROUP BY event_type""")
-def display_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("items"), F.count_if(F.col("value") > 50).alias("large"), F.bool_or(F.col("value") > 99).alias("any_estimated"))
-
-
-@query("object_count", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS objects, max(o_orderkey) + 1 AS next_free FROM orders GROUP BY o_custkey")
-def object_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("objects"), (F.max("o_orderkey") + 1).alias("next_free"))
-
-
 @query("page_move", """SELECT conv_id, turn, CASE WHEN turn = 0 THEN 2 WHEN turn BETWEEN 1 AND 2 THEN turn - 1 ELSE turn END AS place FROM conversations""")
 def page_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").alias("place"))
@@ -109,9 +99,42 @@ def fit_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(scale, 6).alias("scale"))
 
 
-@query("bbox_union", """SELECT l_orderkey, min(l_quantity) AS x0, min(l_discount) AS y0, max(l_quantity) AS x1, max(l_discount) AS y1 FROM lineitem GROUP BY l_orderkey""")
+@query("bbox_union", """SELECT l_orderkey, min(l_quantity) AS x0, min(l_discount) AS y0, max(l_quantity + l_tax) AS x1, max(l_discount + 1) AS y1 FROM lineitem GROUP BY l_orderkey""")
 def bbox_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_quantity").alias("x0"), F.min("l_discount").alias("y0"), F.max("l_quantity").alias("x1"), F.max("l_discount").alias("y1"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").alias("x0"), F.col("l_discount").alias("y0"), (F.col("l_quantity") + F.col("l_tax")).alias("x1"), (F.col("l_discount") + 1).alias("y1"))
+    return G.bounding(rows, ["l_orderkey"])
+
+
+@query("matrix_product", """SELECT l_orderkey, l_linenumber, round(2 * l_quantity + 0.5 * l_tax, 6) AS a, round(3 * l_tax, 6) AS b, round(2 * l_discount - 0.5, 6) AS c, round(-3.0, 6) AS d, round(2 * 7 + 0.5 * l_quantity + 1, 6) AS e, round(3 * l_quantity + 2, 6) AS f FROM lineitem""")
+def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t, d = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
+    first = {"a": q, "b": t, "c": d, "d": F.lit(-1.0), "e": F.lit(7.0), "f": q}
+    out = G.then(first, dict(zip("abcdef", map(F.lit, (2.0, 0.0, 0.5, 3.0, 1.0, 2.0)), strict=True)))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.round(out[k], 6).alias(k) for k in "abcdef"))
+
+
+@query("device_points", """WITH p AS (SELECT p_partkey, p_size % 4 * 90 AS turn, CAST(p_size AS DOUBLE) AS x, CAST(p_size * 2 AS DOUBLE) AS y, p_retailprice AS w, 800.0::DOUBLE AS h FROM part)
+SELECT p_partkey, round(1.5 * CASE turn WHEN 0 THEN x WHEN 90 THEN y WHEN 180 THEN w - x ELSE h - y END, 6) AS px, round(1.5 * CASE turn WHEN 0 THEN h - y WHEN 90 THEN x WHEN 180 THEN y ELSE w - x END, 6) AS py FROM p""")
+def device_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of turned pages as pixels."""
+    m = G.device_matrix(F.col("p_retailprice"), F.lit(800.0), F.col("p_size") % 4 * 90, F.lit(1.5))
+    x, y = G.apply_matrix(m, F.col("p_size").cast("double"), (F.col("p_size") * 2).cast("double"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(x, 6).alias("px"), F.round(y, 6).alias("py"))
+
+
+@query("resize_boxes", """SELECT l_orderkey, l_linenumber, l_quantity AS x0, l_discount AS y0, greatest(l_quantity + 4, l_quantity + 30 - l_linenumber * 10) AS x1, greatest(l_discount + 4, l_discount + 9 + l_tax) AS y1 FROM lineitem""")
+def resize_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, d = F.col("l_quantity"), F.col("l_discount")
+    box = G.resized(q, d, q + 30, d + 9, F.col("l_linenumber") * -10, F.col("l_tax"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(x.alias(n) for x, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)))
+
+
+@query("go_to_page", """WITH t AS (SELECT event_id, CASE WHEN event_type = 'click' THEN event_type ELSE concat(' ', CAST(event_id % 40 AS VARCHAR)) END AS typed FROM events)
+SELECT event_id, CAST(CASE WHEN try_cast(trim(typed) AS INT) BETWEEN 1 AND 25 THEN try_cast(trim(typed) AS INT) - 1 END AS INT) AS page FROM t""")
+def go_to_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page numbers that readers type, some of them none or beyond the document."""
+    typed = F.when(F.col("event_type") == "click", F.col("event_type")).otherwise(F.concat(F.lit(" "), F.col("event_id") % 40))
+    return table(spark, sf_dir, "events").select("event_id", G.go_to(typed, F.lit(25)).alias("page"))
 
 
 @query("newest_revision", """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
@@ -141,7 +164,17 @@ def number_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.runs_of_numbers(table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'"), "o_orderkey", 1 << 12)
 
 
-@query("undo_redo_state")
+SQL_USER_EVENTS = """ev AS (SELECT user_id, event_id, {value}, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)"""
+
+
+@query("undo_redo_state", f"""WITH RECURSIVE {SQL_USER_EVENTS.format(value="CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'commit' END AS action")},
+run(user_id, n, done, undone) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM ev
+  UNION ALL SELECT r.user_id, e.n,
+    CASE action WHEN 'commit' THEN list_append(done, event_id) WHEN 'undo' THEN done[1:len(done) - 1] ELSE CASE WHEN len(undone) > 0 THEN list_append(done, undone[len(undone)]) ELSE done END END,
+    CASE action WHEN 'commit' THEN [] WHEN 'undo' THEN CASE WHEN len(done) > 0 THEN list_append(undone, done[len(done)]) ELSE undone END ELSE undone[1:len(undone) - 1] END
+  FROM run r JOIN ev e ON e.user_id = r.user_id AND e.n = r.n + 1),
+last AS (SELECT user_id, arg_max(done, n) AS done FROM run GROUP BY user_id)
+SELECT ev.user_id, event_id AS seq, list_contains(done, event_id) AS alive FROM ev JOIN last ON last.user_id = ev.user_id WHERE action = 'commit'""")
 def undo_redo_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("commit")
     return R.replay(table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), action.alias("action")), "user_id")
@@ -164,7 +197,11 @@ def stale_requests_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(found.schema).parquet(f"{folder}/rows")
 
 
-@query("fifo_cache")
+@query("fifo_cache", f"""WITH RECURSIVE {SQL_USER_EVENTS.format(value="concat(event_type, '/', CAST(floor(value / 10) AS BIGINT)) AS item")},
+run(user_id, n, seq, held, hit) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS VARCHAR[]), FALSE FROM ev
+  UNION ALL SELECT r.user_id, e.n, e.event_id, CASE WHEN list_contains(held, item) THEN held ELSE list_append(CASE WHEN len(held) = 4 THEN held[2:] ELSE held END, item) END, list_contains(held, item)
+  FROM run r JOIN ev e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, seq, hit FROM run WHERE n > 0""")
 def fifo_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.concat_ws("/", "event_type", F.floor(F.col("value") / 10)).alias("item"))
     return R.fifo_cache(rows, "user_id", 4)
@@ -205,19 +242,12 @@ def outline_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.tree_order(_tree(spark, sf_dir), "doc").select("node", "parent", "depth", F.array_join("path", "/").alias("path"))
 
 
-@query("inherit_attrs", """SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 5000 THEN c_acctbal END, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey END, r_regionkey) AS value FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
-def inherit_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    own = F.when(F.col("c_acctbal") > 5000, F.col("c_acctbal"))
-    return rows.select("c_custkey", S.inherited([own, F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey").cast("double")), F.col("r_regionkey").cast("double")]).alias("value"))
-
-
-@query("reachable_objects", """WITH RECURSIVE edges AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 + 1 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 40),
+@query("reachable_objects", """WITH RECURSIVE edges AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem),
 seen AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT dst FROM seen JOIN edges ON src = node)
 SELECT node FROM seen""")
 def reachable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity > 40")
-    edges = rows.select(F.lit(0).alias("doc"), F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100 + 1).alias("dst")).distinct()
+    """What supplier 1 reaches: its parts, the parts of suppliers of their numbers, and so on."""
+    edges = table(spark, sf_dir, "lineitem").select(F.lit(0).alias("doc"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
     return S.reachable(edges, spark.range(1, 2).select(F.lit(0).alias("doc"), F.col("id").alias("node"))).select("node")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.fold import fold
 from quire.operators import text as T
+from quire.operators.geometry import bounding
 from quire.plans.catalog import query, table
 
 SQL_FOLD = "translate(strip_accents(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -47,6 +48,14 @@ def match_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("reconstruct_lines", f"""WITH {SQL_CHARS}
 SELECT doc_id, string_agg(CASE WHEN far THEN chr(10) || uni ELSE uni END, '' ORDER BY seq) AS text FROM broken GROUP BY doc_id""")
 def reconstruct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines from the places of glyphs; a page is a row that holds its runs."""
+    return T.synthetic_runs(_documents(spark, sf_dir)).select("doc_id", T.text_of_runs(F.col("runs")).alias("text"))
+
+
+@query("glyph_row_lines", f"""WITH {SQL_CHARS}
+SELECT doc_id, string_agg(CASE WHEN far THEN chr(10) || uni ELSE uni END, '' ORDER BY seq) AS text FROM broken GROUP BY doc_id""")
+def glyph_row_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines from a row a glyph."""
     return T.page_text(T.synthetic_glyphs(_documents(spark, sf_dir)), ["doc_id"])
 
 
@@ -57,18 +66,38 @@ def page_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg((F.max("pos") + 1).cast("long").alias("n_chars"), F.count_if(F.col("x0").isNull()).alias("n_breaks"), F.round(F.max("x1"), 3).alias("right_edge"))
 
 
-@query("match_boxes", f"""WITH {SQL_CHARS.replace("placed AS", "placed AS")},
+SQL_MATCH_BOXES = f"""WITH {SQL_CHARS},
 found AS (SELECT doc_id, pos, seq, x, y, lead(uni, 1) OVER w AS u1, lead(uni, 2) OVER w AS u2, lead(uni, 3) OVER w AS u3, lead(far, 1) OVER w AS f1, lead(far, 2) OVER w AS f2, lead(far, 3) OVER w AS f3,
   lead(x, 3) OVER w AS x3, uni FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY seq))
 SELECT doc_id, CAST(pos AS BIGINT) AS pos, round(x, 3) AS x0, round(y, 3) AS y0, round(x3 + 7.2::DOUBLE, 3) AS x1, round(y + 9.6::DOUBLE, 3) AS y1 FROM found
-WHERE lower(uni) = 't' AND lower(u1) = 'i' AND lower(u2) = 'o' AND lower(u3) = 'n' AND NOT f1 AND NOT f2 AND NOT f3""")
+WHERE lower(uni) = 't' AND lower(u1) = 'i' AND lower(u2) = 'o' AND lower(u3) = 'n' AND NOT f1 AND NOT f2 AND NOT f3"""
+
+
+@query("match_boxes", SQL_MATCH_BOXES)
 def match_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of all matches, found in each page's own row."""
+    found = T.boxes_of_matches(T.synthetic_runs(_documents(spark, sf_dir)), "tion", ["doc_id"])
+    return found.select("doc_id", F.col("pos").cast("long").alias("pos"), *(F.round(c, 3).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+@query("glyph_row_boxes", SQL_MATCH_BOXES)
+def glyph_row_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same boxes from a row a glyph."""
     glyphs = T.synthetic_glyphs(_documents(spark, sf_dir))
     pages = T.page_text(glyphs, ["doc_id"])
     found = T.match_boxes(T.chars(glyphs, ["doc_id"]), T.match_starts(pages, "tion", ["doc_id"]), 4, ["doc_id"])
     return found.select("doc_id", F.col("pos").cast("long").alias("pos"), *(F.round(c, 3).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
+@query("range_boxes", f"""WITH {SQL_CHARS}
+SELECT doc_id, min(x) AS x0, min(y) AS y0, max(x + 7.2::DOUBLE) AS x1, max(y + 9.6::DOUBLE) AS y1 FROM chars WHERE pos >= doc_id % 40 AND pos < doc_id % 40 + 25 GROUP BY doc_id""".replace("SELECT doc_id, min(x) AS x0, min(y) AS y0, max(x + 7.2::DOUBLE) AS x1, max(y + 9.6::DOUBLE) AS y1", "SELECT doc_id, round(min(x), 3) AS x0, round(min(y), 3) AS y0, round(max(x + 7.2::DOUBLE), 3) AS x1, round(max(y + 9.6::DOUBLE), 3) AS y1"))
+def range_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box around a selected range of characters of each page."""
+    rows = T.chars(T.synthetic_glyphs(_documents(spark, sf_dir)), ["doc_id"])
+    found = bounding(T.boxes_in_range(rows, F.col("doc_id") % 40, F.col("doc_id") % 40 + 25), ["doc_id"])
+    return found.select("doc_id", *(F.round(c, 3).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
 @query("line_ranges", """WITH lines AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord, unnest(string_split(text, chr(10))) AS piece FROM documents)
 SELECT doc_id, CAST(ord AS INT) AS ord, CAST(sum(length(piece) + 1) OVER w - length(piece) - 1 AS INT) AS start, CAST(sum(length(piece) + 1) OVER w - 1 AS INT) AS "end"
@@ -111,19 +140,3 @@ SELECT conv_id, turn, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY tu
 def next_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return T.next_match(T.pages_containing(pages, "tion").select("conv_id", "turn"), "conv_id", "turn")
-
-
-@query("digest_ranges", """SELECT doc_id, md5(text) AS whole, sha256(concat(substr(text, 1, 20), substr(text, 41))) AS ranges FROM documents""")
-def digest_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of a text and of two of its ranges, as signatures take them of a file."""
-    text = F.col("text")
-    return _documents(spark, sf_dir).select("doc_id", F.md5(text).alias("whole"), F.sha2(F.concat(F.substring(text, 1, 20), F.substr(text, F.lit(41))), 256).alias("ranges"))
-
-
-@query("text_decode", "SELECT doc_id, text FROM documents")
-def text_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts through UTF-16BE with a byte order mark and back, as document strings are stored."""
-    raw = F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE"))
-    body = F.expr("substring(raw, 3)")
-    back = F.when(F.expr("substring(raw, 1, 2)") == F.unhex(F.lit("FEFF")), F.decode(body, "UTF-16BE")).otherwise(F.expr("make_valid_utf8(CAST(raw AS STRING))"))
-    return _documents(spark, sf_dir).select("doc_id", raw.alias("raw")).select("doc_id", back.alias("text"))

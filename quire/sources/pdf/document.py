@@ -109,7 +109,8 @@ class Document:
         """Without usable cross-references: every `N G obj` in the file, the last of a number wins."""
         self.rebuilt, self.entries, self.trailers, self.cache = True, [], [], {}
         for m in re.finditer(rb"(?<![0-9])(\d{1,10})[\x00\t\n\x0c\r ]+(\d{1,5})[\x00\t\n\x0c\r ]+obj\b", self.data):
-            self.entries.insert(0, (0, int(m[1]), int(m[2]), "offset", m.start(), 0))
+            self.entries.append((0, int(m[1]), int(m[2]), "offset", m.start(), 0))
+        self.entries.reverse()
         for m in reversed(list(re.finditer(rb"trailer", self.data))):
             try:
                 trailer = Parser(self.data, m.end()).object()

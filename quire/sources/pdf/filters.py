@@ -8,6 +8,7 @@ from typing import Any
 
 import numpy as np
 
+from quire.sources.pdf import jpeg
 from quire.sources.pdf.cos import PdfError, Stream
 
 MAX_DECODED = 1 << 30
@@ -87,7 +88,9 @@ def unpredict(data: bytes, parms: dict[str, Any]) -> bytes:
         return data
     bpp, stride = max(1, colors * depth // 8), (colors * depth * columns + 7) // 8
     if kind == 2:
-        rows = np.frombuffer(data[: len(data) // stride * stride], np.uint8).reshape(-1, stride // bpp, bpp)
+        if len(data) % stride:
+            raise PdfError("FilterError", "TIFF predictor row")
+        rows = np.frombuffer(data, np.uint8).reshape(-1, stride // bpp, bpp)
         return np.cumsum(rows, axis=1, dtype=np.uint8).tobytes()
     if len(data) % (stride + 1):
         raise PdfError("FilterError", "PNG predictor row")
@@ -113,7 +116,7 @@ def unpredict(data: bytes, parms: dict[str, Any]) -> bytes:
     return b"".join(x.tobytes() for x in out)
 
 
-DECODERS = {"FlateDecode": flate, "Fl": flate, "ASCIIHexDecode": ascii_hex, "AHx": ascii_hex, "ASCII85Decode": ascii85, "A85": ascii85, "LZWDecode": lzw, "LZW": lzw}
+DECODERS = {"FlateDecode": flate, "Fl": flate, "ASCIIHexDecode": ascii_hex, "AHx": ascii_hex, "ASCII85Decode": ascii85, "A85": ascii85, "LZWDecode": lzw, "LZW": lzw, "DCTDecode": lambda data: jpeg.decode(data).tobytes(), "DCT": lambda data: jpeg.decode(data).tobytes()}
 
 
 def decode(stream: Stream, get=lambda x: x) -> bytes:

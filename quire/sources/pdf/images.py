@@ -30,9 +30,12 @@ def _samples(doc: Document, image: Stream) -> np.ndarray:
     """Samples of 8 bits as (height, width, components)."""
     width, height = (doc.get(image.dict.get(k)) for k in ("Width", "Height"))
     n = _components(doc, image.dict.get("ColorSpace"))
-    if n not in (1, 3, 4) or doc.get(image.dict.get("BitsPerComponent")) != 8:
+    if n not in (1, 3, 4) or doc.get(image.dict.get("BitsPerComponent", 8)) != 8:
         raise PdfError("UnsupportedImage", "only 8-bit grey, RGB and CMYK")
     data = np.frombuffer(decode(image, doc.get), np.uint8)
+    names = doc.get(image.dict.get("Filter"))
+    if str(doc.get(names[-1]) if isinstance(names, list) and names else names) in ("DCTDecode", "DCT") and isinstance(width, int) and isinstance(height, int) and width * height > 0:
+        n = len(data) // (width * height)  # a JPEG file says itself how many components it has
     if not (isinstance(width, int) and isinstance(height, int) and width > 0 and height > 0) or len(data) < width * height * n:
         raise PdfError("BadImage", "fewer samples than the size asks for")
     return data[: width * height * n].reshape(height, width, n)

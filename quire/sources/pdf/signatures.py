@@ -35,6 +35,21 @@ def children(data: bytes) -> list[tuple[int, bytes, bytes]]:
     return out
 
 
+def _padded(kind: bytes, digest: bytes, size: int) -> set[bytes]:
+    """The blocks that a signature of PKCS #1 version 1.5 may open to: all of the padding, the algorithm, the digest.
+
+    The algorithm's parameters are null or, as some writers have it, missing.
+    """
+    out = set()
+    for parameters in (b"\x05\x00", b""):
+        algorithm = bytes([6, len(kind)]) + kind + parameters
+        info = bytes([0x30, len(algorithm)]) + algorithm + bytes([4, len(digest)]) + digest
+        info = bytes([0x30, len(info)]) + info
+        if size >= len(info) + 11:
+            out.add(b"\x00\x01" + b"\xff" * (size - len(info) - 3) + b"\x00" + info)
+    return out
+
+
 def verify(signed: bytes, contents: bytes) -> tuple[str, str | None]:
     """(status, signer's common name): Valid, ContentModified, SignatureInvalid, Unsupported or Malformed."""
     try:
@@ -45,7 +60,8 @@ def verify(signed: bytes, contents: bytes) -> tuple[str, str | None]:
         tbs = tbs[1:] if tbs[0][0] == 0xA0 else tbs
         names = [children(x[1]) for rdn in children(tbs[4][1]) for x in children(rdn[1])]
         name = next((n[1][1].decode("utf-8", "replace") for n in names if n[0][1] == COMMON_NAME), None)
-        kind = DIGESTS.get(children(signer[2][1])[0][1])
+        named = children(signer[2][1])[0][1]
+        kind = DIGESTS.get(named)
         key = children(children(children(tbs[5][1])[1][1][1:])[0][1])
         modulus, exponent = (int.from_bytes(x[1], "big") for x in key)
         if not kind or not 0 < modulus.bit_length() <= 8 * MAX_MODULUS:
@@ -58,8 +74,7 @@ def verify(signed: bytes, contents: bytes) -> tuple[str, str | None]:
             payload, at = b"\x31" + signer[3][2][1:], 4
         size = (modulus.bit_length() + 7) // 8
         opened = pow(int.from_bytes(signer[at + 1][1], "big"), exponent, modulus).to_bytes(size, "big")
-        want = hashlib.new(kind, payload).digest()
-        good = opened.startswith(b"\x00\x01\xff") and opened.rpartition(b"\xff\x00")[2].endswith(want)
+        good = opened in _padded(named, hashlib.new(kind, payload).digest(), size)
         return ("Valid" if good else "SignatureInvalid" if at == 4 else "ContentModified"), name
     except (ValueError, IndexError, StopIteration, KeyError):
         return "Malformed", None

@@ -30,9 +30,10 @@ SCHEMAS = {
     "instructions": f"doc string, page int, seq bigint, op string, operands string, {ERROR}",
     "glyphs": f"doc string, page int, seq bigint, from_annot boolean, font string, code int, uni string, m {MATRIX}, advance_is_estimated boolean, {ERROR}",
     "page_text": f"doc string, page int, text string, {ERROR}",
+    "runs": f"doc string, page int, runs array<struct<text:string,xs:array<double>,y:double,d:double>>, {ERROR}",
     "items": f"doc string, page int, seq bigint, kind string, from_annot boolean, paint string, box array<double>, width int, height int, {ERROR}",
     "images": f"doc string, page int, seq bigint, width int, height int, rgba binary, {ERROR}",
-    "summary": f"doc string, page int, paths bigint, glyphs bigint, images bigint, any_estimated boolean, ignored map<string,bigint>, {ERROR}",
+    "summary": f"doc string, page int, paths bigint, glyphs bigint, images bigint, any_estimated boolean, text string, ignored map<string,bigint>, {ERROR}",
     "outline": f"doc string, node int, parent int, depth int, ord int, title string, page int, {ERROR}",
     "annotations": f"doc string, page int, idx int, obj_num int, subtype string, rect array<double>, color array<double>, hidden boolean, {ERROR}",
     "fields": f"doc string, obj_num int, kind string, name string, rect array<double>, value string, options array<struct<obj_num:int,label:string,rect:array<double>,selected:boolean>>, {ERROR}",
@@ -129,6 +130,25 @@ def _page_text(doc: Document, include_annotations: bool = False, pages: list[int
                 yield {"page": p.index, "error": {"code": error.code, "detail": error.detail}}
 
 
+def _runs(doc: Document, include_annotations: bool = False, pages: list[int] | None = None) -> Iterator[dict]:
+    """A row a page: its glyphs as runs on one height, an x for each character (those of a ligature share one)."""
+    runner = Interpreter(doc)
+    for p in doc.pages():
+        if pages is None or p.index in pages:
+            try:
+                out: list[dict] = []
+                for x in runner.runs(p, include_annotations):
+                    if x["kind"] == "run":
+                        level, (xs, ys) = x["along"][1] == 0, (o.tolist() for o in origins(x))
+                        shown = [(u, a, b) for u, a, b in zip(x["texts"], xs, ys, strict=True) if u]
+                        for part in [shown] if level else [[g] for g in shown]:
+                            if part:
+                                out.append({"text": "".join(u for u, _, _ in part), "xs": [a for u, a, _ in part for _ in u], "y": part[0][2], "d": x["m"][3]})
+                yield {"page": p.index, "runs": out}
+            except PdfError as error:
+                yield {"page": p.index, "error": {"code": error.code, "detail": error.detail}}
+
+
 def _glyph_batch(doc: str, page: int, items: list[dict], target: pa.Schema) -> pa.RecordBatch | None:
     """The rows of _glyphs() for one page, column by column."""
     runs, at, seq = [], [], 0
@@ -212,7 +232,7 @@ def _summary(doc: Document, include_annotations: bool = False, pages: list[int]
                 yield {"page": p.index, "error": {"code": error.code, "detail": error.detail}}
                 continue
             kinds = [x["kind"] for x in items]
-            yield {"page": p.index, "paths": kinds.count("path"), "glyphs": kinds.count("glyph"), "images": kinds.count("image"), "any_estimated": any(x.get("estimated") for x in items), "ignored": dict(runner.ignored)}
+            yield {"page": p.index, "paths": kinds.count("path"), "glyphs": kinds.count("glyph"), "images": kinds.count("image"), "any_estimated": any(x.get("estimated") for x in items), "text": "".join(x["uni"] or "" for x in items if x["kind"] == "glyph"), "ignored": dict(runner.ignored)}
 
 
 def _outline(doc: Document, **_: Any) -> Iterator[dict]:
@@ -258,7 +278,7 @@ def _signatures(doc: Document, **_: Any) -> Iterator[dict]:
     yield from signatures(doc)
 
 
-READERS: dict[str, Callable[..., Iterator[dict]]] = {"files": _files, "xref": _xref, "trailer": _trailer, "objects": _objects, "edges": _edges, "pages": _pages, "instructions": _instructions, "glyphs": _glyphs, "page_text": _page_text, "items": _items, "images": _images, "summary": _summary, "outline": _outline, "annotations": _annotations, "fields": _fields, "signatures": _signatures}
+READERS: dict[str, Callable[..., Iterator[dict]]] = {"files": _files, "xref": _xref, "trailer": _trailer, "objects": _objects, "edges": _edges, "pages": _pages, "instructions": _instructions, "glyphs": _glyphs, "page_text": _page_text, "runs": _runs, "items": _items, "images": _images, "summary": _summary, "outline": _outline, "annotations": _annotations, "fields": _fields, "signatures": _signatures}
 
 
 def rows(name: str, doc: str, content: bytes, password: bytes = b"", **options: Any) -> Iterator[dict]:
@@ -272,22 +292,57 @@ def rows(name: str, doc: str, content: bytes, password: bytes = b"", **options:
         yield {"doc": doc, "error": {"code": "Malformed", "detail": f"{type(error).__name__}: {error}"}}
 
 
+#: Tables with rows of single pages, which tasks can share out; files of fewer bytes are read by one task.
+PAGED, LARGE_FILE, PAGES_A_TASK = frozenset(("instructions", "glyphs", "page_text", "runs", "items", "images", "summary")), 1 << 20, 100
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each PAGES_A_TASK pages of a file; what cannot be opened is one range, and an error there."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            try:
+                password = row.column("password")[0].as_py()
+                n = len(Document(row.column("content")[0].as_py() or b"", password.encode() if isinstance(password, str) else password or b"").pages())
+            except (PdfError, ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError):
+                n = 0
+            for first in range(0, max(n, 1), PAGES_A_TASK):
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([first], pa.int32()), pa.array([first + PAGES_A_TASK], pa.int32())], [*row.schema.names, "first_page", "end_page"])
+
+
 def pdf_table(files: DataFrame, name: str, **options: Any) -> DataFrame:
-    """A table (see SCHEMAS) of files (path, content and, if there is one, password)."""
+    """A table (see SCHEMAS) of files (path, content and, if there are any, password and length).
+
+    Pages of a large file are dealt to tasks by the hundred, where a table has rows of single pages.
+    """
+    password = F.col("password") if "password" in files.columns else F.lit(None).cast("string")
+    rows = files.select("path", "content", password.alias("password"), *(["length"] if "length" in files.columns else []))
+    if name not in PAGED or options.get("pages") is not None:
+        return _read(rows.drop("length"), name, options)
+    length = F.col("length") if "length" in files.columns else F.coalesce(F.octet_length("content"), F.lit(0))
+    small, large = rows.where(length <= LARGE_FILE).drop("length"), rows.where(length > LARGE_FILE).drop("length")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in large.schema)
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = large.mapInArrow(_ranges, f"{schema}, first_page int, end_page int").repartition(parts)
+    return _read(small, name, options).unionByName(_read(dealt, name, options))
+
+
+def _read(files: DataFrame, name: str, options: dict[str, Any]) -> DataFrame:
     schema = SCHEMAS[name]
     target = to_arrow_schema(StructType.fromDDL(schema))
-    has_password = "password" in files.columns
+    ranged = "first_page" in files.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                password = batch.column("password")[k].as_py() if has_password else b""
+                password = batch.column("password")[k].as_py()
                 password = password.encode() if isinstance(password, str) else password or b""
+                own = options | ({"pages": range(batch.column("first_page")[k].as_py(), batch.column("end_page")[k].as_py())} if ranged else {})
                 if name == "glyphs":
-                    yield from _glyph_batches(batch.column("path")[k].as_py(), batch.column("content")[k].as_py() or b"", password, target, **options)
+                    yield from _glyph_batches(batch.column("path")[k].as_py(), batch.column("content")[k].as_py() or b"", password, target, **own)
                     continue
                 held = []
-                for row in rows(name, batch.column("path")[k].as_py(), batch.column("content")[k].as_py() or b"", password, **options):
+                for row in rows(name, batch.column("path")[k].as_py(), batch.column("content")[k].as_py() or b"", password, **own):
                     held.append(row)
                     if len(held) == 10_000:
                         yield pa.RecordBatch.from_pylist(held, target)
@@ -295,7 +350,7 @@ def pdf_table(files: DataFrame, name: str, **options: Any) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, target)
 
-    return files.select("path", "content", *(["password"] if has_password else [])).mapInArrow(run, schema)
+    return files.mapInArrow(run, schema)
 
 
 def flat_glyphs(glyphs: DataFrame) -> DataFrame:

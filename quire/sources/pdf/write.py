@@ -58,12 +58,16 @@ class Copier:
     def __init__(self, doc: Document, objects: dict[int, Any]):
         self.doc, self.objects, self.numbers = doc, objects, {}
 
+    def _number(self, num: int, todo: list[int]) -> None:
+        """A number for an object on its first sight; none is ever taken away, so their count names the next."""
+        if num not in self.numbers:
+            self.numbers[num] = len(self.objects) + 1
+            self.objects[self.numbers[num]] = None
+            todo.append(num)
+
     def ref(self, ref: Ref) -> Ref:
-        todo = []
-        if ref.num not in self.numbers:
-            self.numbers[ref.num] = max(self.objects, default=0) + 1
-            self.objects[self.numbers[ref.num]] = None
-            todo.append(ref.num)
+        todo: list[int] = []
+        self._number(ref.num, todo)
         while todo:
             num = todo.pop()
             self.objects[self.numbers[num]] = self._value(self.doc.resolve(num), todo)
@@ -71,10 +75,7 @@ class Copier:
 
     def _value(self, value: Any, todo: list[int]) -> Any:
         if isinstance(value, Ref):
-            if value.num not in self.numbers:
-                self.numbers[value.num] = max(self.objects) + 1
-                self.objects[self.numbers[value.num]] = None
-                todo.append(value.num)
+            self._number(value.num, todo)
             return Ref(self.numbers[value.num], 0)
         if isinstance(value, list):
             return [self._value(x, todo) for x in value]

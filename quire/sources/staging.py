@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder where all executors reach it."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/quire-{os.getuid()}"
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file:///tmp/checkpoints/quire-{os.getuid()}"
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -18,4 +23,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Write rows to a table in the folder that all executors share and read them back."""
     path = shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    """The union of tables that cut() gave, as one scan of all their folders."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(t._cut_path for t in tables))
