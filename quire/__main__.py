@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from quire.operators.editing import edited
+from quire.sources.pdf import images, raster
 from quire.sources.pdf.cos import PdfError
 from quire.sources.pdf.document import Document
 from quire.sources.pdf.interpret import Interpreter, text_of
@@ -58,6 +59,11 @@ def parser() -> argparse.ArgumentParser:
         p = commands.add_parser(name)
         p.add_argument("file", type=Path)
         p.add_argument("page", type=int, nargs="?", default=0)
+    p = commands.add_parser("render")
+    p.add_argument("file", type=Path)
+    p.add_argument("out", type=Path)
+    p.add_argument("page", type=int, nargs="?", default=0)
+    p.add_argument("scale", type=float, nargs="?", default=1.0)
     for name, (_, arguments) in EDITS.items():
         p = commands.add_parser(name)
         p.add_argument("file", type=Path)
@@ -95,12 +101,15 @@ def main(argv: list[str] | None = None) -> int:
             _bench(data)
         elif given.command == "render-info":
             _show("summary", data, include_annotations=True, pages=[given.page])
-        elif given.command == "text":
+        elif given.command in ("text", "render"):
             doc = Document(data)
             page = next((p for p in doc.pages() if p.index == given.page), None)
             if page is None:
                 raise PdfError("PageOutOfRange", str(given.page))
-            print(text_of(Interpreter(doc).runs(page)))
+            if given.command == "text":
+                print(text_of(Interpreter(doc).runs(page)))
+            else:
+                given.out.write_bytes(images.png(raster.render(doc, page, given.scale)))
         elif given.command in ("split", "optimize"):
             doc = Document(data)
             pages = given.pages if given.command == "split" else range(len(doc.pages()))

@@ -602,3 +602,41 @@ def pdf_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = pdf_table(M.files(table(spark, sf_dir, "part").select("p_partkey", "p_size"), make, "p_partkey"), "images")
     return found.select(F.col("doc").cast("long").alias("p_partkey"), F.md5(F.hex("rgba")).alias("pixels"), "width")
+
+
+@query("pdf_raster", """SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN 60 ELSE 40 END AS INT) AS width, CAST((3 + p_size % 20) * (2 + p_partkey % 13) AS BIGINT) AS red, CAST(10 * 4 AS BIGINT) AS line, CAST(CASE WHEN p_partkey % 3 = 0 THEN 12 ELSE 24 END AS BIGINT) AS green FROM part""")
+def pdf_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of pages: a red box, a line four points wide, a green image of which a clip may hide half; some turned."""
+
+    def make(row: dict[str, Any]) -> bytes:
+        clip = "30 0 3 30 re W n " if row["p_partkey"] % 3 == 0 else ""
+        shown = f"1 0 0 rg 2 20 {3 + row['p_size'] % 20} {2 + row['p_partkey'] % 13} re f 0.2 0.8 0.4 RG 4 w 5 10 m 15 10 l S q {clip}6 0 0 4 30 2 cm /Im Do Q"
+        objects = M.paged([M.stream(shown.encode())], page=lambda _: "/Rotate 90" if row["p_size"] % 2 else "")
+        objects[2] = objects[2].replace(b"/Resources <<", b"/Resources << /XObject << /Im 5 0 R >>").replace(b"612 792", b"60 40")
+        objects[5] = M.stream(b"\x00\xff\x00", "/Subtype /Image /Width 1 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceRGB")
+        return M.classic(objects)
+
+    found = pdf_table(M.files(table(spark, sf_dir, "part").select("p_partkey", "p_size"), make, "p_partkey"), "raster")
+    counts = {name: F.regexp_count(F.hex("rgba"), F.lit(f"{color}FF")).cast("long").alias(name) for name, color in (("red", "FF0000"), ("line", "33CC66"), ("green", "00FF00"))}
+    return found.select(F.col("doc").cast("long").alias("p_partkey"), "width", *counts.values())
+
+
+@query("pdf_path_geometry", """WITH r AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s FROM part), p AS (SELECT * FROM (VALUES (0, 'm'), (1, 'l'), (2, 'c'), (3, 'h')) AS v(k, op))
+SELECT p_partkey, CAST(k AS INT) AS k, op, CAST(CASE k WHEN 2 THEN 6 WHEN 3 THEN 0 ELSE 2 END AS INT) AS n, CASE k WHEN 0 THEN 2 * s WHEN 1 THEN 2 * s + 20 WHEN 2 THEN 2 * s + 20 END AS x, CAST(p_partkey % 3 AS INT) AS clips FROM r, p""")
+def pdf_path_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of paths as rows, and how many clips hold them."""
+
+    def make(row: dict[str, Any]) -> bytes:
+        size = row["p_size"]
+        shown = f"2 0 0 2 0 0 cm {'0 0 99 99 re W* n ' * (row['p_partkey'] % 3)}{size} 1 m {size + 10} 1 l {size + 12} 5 {size} 9 v h B*"
+        return M.classic(M.paged([M.stream(shown.encode())]))
+
+    found = pdf_table(M.files(table(spark, sf_dir, "part").select("p_partkey", "p_size"), make, "p_partkey"), "paths").where("paint = 'fs' AND rule = 'evenodd'")
+    rows = found.select("doc", "clips", F.posexplode("segments").alias("k", "s"))
+    return rows.select(F.col("doc").cast("long").alias("p_partkey"), "k", "s.op", F.size("s.at").alias("n"), F.get("s.at", F.lit(0)).alias("x"), "clips")
+
+
+@query("pdf_page_info", """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS page, concat(conv_id, '/', turn) AS text, CAST(length(concat(conv_id, '/', turn)) AS BIGINT) AS glyphs FROM conversations""")
+def pdf_page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a page shows, in numbers and text."""
+    return pdf_table(_numbered(spark, sf_dir), "summary").select(F.col("doc").cast("long").alias("conv_id"), F.col("page").cast("long").alias("page"), "text", "glyphs")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from copy import copy
 from dataclasses import dataclass
 from typing import Any
 
@@ -176,6 +177,13 @@ class Document:
     def next_free(self) -> int:
         return max(self.xref, default=0) + 1
 
+    def over(self, changes: dict[int, Any]) -> Document:
+        """The same document with some objects changed or added."""
+        out = copy(self)
+        out.xref = self.xref | {n: (0, n, 0, "offset", 0, 0) for n in changes}
+        out.cache = self.cache | changes
+        return out
+
     # pages
 
     def pages(self, integer_boxes: bool = False) -> list[Page]:

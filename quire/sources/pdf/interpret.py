@@ -39,6 +39,7 @@ class State:
     fill_alpha: float = 1.0
     stroke_alpha: float = 1.0
     clips: int = 0
+    clip: tuple = ()
 
 
 def origins(run: dict[str, Any]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +131,8 @@ class Interpreter:
         doc, stack = self.doc, []
         tm = line = IDENTITY
         path: list[tuple[float, float]] = []
-        start, clipping = (0.0, 0.0), False
+        segments: list[tuple] = []
+        start, clipping = (0.0, 0.0), ""
 
         def show(raw: Any) -> None:
             nonlocal tm
@@ -162,21 +164,27 @@ class Interpreter:
             elif op in ("m", "l", "c", "v", "y", "re", "h"):
                 if op == "re":
                     x, y, w, h = v[:4]
-                    path += [point(*p) for p in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+                    corners = [point(*p) for p in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+                    segments += [("m", corners[0]), *(("l", p) for p in corners[1:]), ("h",)]
+                    path += corners
                 elif op == "h":
                     path.append(start)
+                    segments.append(("h",))
                 else:
                     n = {"m": 1, "l": 1, "c": 3, "v": 2, "y": 2}[op]
-                    path += [point(*v[2 * k : 2 * k + 2]) for k in range(n)]
+                    places = [point(*v[2 * k : 2 * k + 2]) for k in range(n)]
+                    segments.append((op, *places) if n != 2 else ("c", path[-1] if path else places[0], *places) if op == "v" else ("c", *places, places[-1]))
+                    path += places
                     start = path[-1] if op == "m" else start
             elif op in ("W", "W*"):
-                clipping = True
+                clipping = op
             elif op in PAINT:
                 if path and (PAINT[op] or clipping):
                     xs, ys = zip(*path, strict=True)
-                    self.items.append({"kind": "path", "annot": annot, "paint": PAINT[op], "rule": "evenodd" if op.endswith("*") else "nonzero", "box": [min(xs), min(ys), max(xs), max(ys)], "points": len(path), "fill": list(state.fill), "stroke": list(state.stroke), "clips": state.clips})
-                state = replace(state, clips=state.clips + (clipping and bool(path)))
-                path, clipping = [], False
+                    self.items.append({"kind": "path", "annot": annot, "paint": PAINT[op], "rule": "evenodd" if op.endswith("*") else "nonzero", "box": [min(xs), min(ys), max(xs), max(ys)], "points": len(path), "fill": list(state.fill), "stroke": list(state.stroke), "clips": state.clips, "segments": segments, "alphas": (state.fill_alpha, state.stroke_alpha), "width": state.width, "clip": state.clip})
+                if clipping and path:
+                    state = replace(state, clips=state.clips + 1, clip=(*state.clip, (segments, "evenodd" if clipping == "W*" else "nonzero")))
+                path, segments, clipping = [], [], ""
             elif op in ("g", "rg", "k", "sc", "scn", "G", "RG", "K", "SC", "SCN"):
                 color = tuple(float(x) for x in operands if isinstance(x, int | float))
                 if len(color) in (1, 3, 4):
@@ -222,7 +230,7 @@ class Interpreter:
                 x = doc.find(resources, "XObject", str(operands[0]) if operands else "")
                 if isinstance(x, Stream) and x.dict.get("Subtype") == "Image":
                     m = state.ctm
-                    self.items.append({"kind": "image", "annot": annot, "m": m, "stream": x, "width": doc.get(x.dict.get("Width")), "height": doc.get(x.dict.get("Height"))})
+                    self.items.append({"kind": "image", "annot": annot, "m": m, "stream": x, "clip": state.clip, "width": doc.get(x.dict.get("Width")), "height": doc.get(x.dict.get("Height"))})
                 elif isinstance(x, Stream) and depth < MAX_FORMS:
                     m = tuple(float(doc.get(y)) for y in doc.get(x.dict.get("Matrix")) or IDENTITY)
                     try:

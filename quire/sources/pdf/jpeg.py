@@ -208,7 +208,7 @@ def decode(data: bytes) -> np.ndarray:
     quantisers: dict[int, np.ndarray] = {}
     tables: dict[int, list[int]] = {}
     parts: dict[int, Component] = {}
-    at, interval, adobe, progressive = 2, 0, None, False
+    at, interval, adobe, progressive, scans = 2, 0, None, False, 0
     width = height = 0
     widest, units = (1, 1), (0, 0)
     try:
@@ -244,6 +244,8 @@ def decode(data: bytes) -> np.ndarray:
                     raise PdfError("UnsupportedImage", "JPEG of other than 8 bits or of no size")
                 for k in range(body[5]):
                     name, factors, quantiser = body[6 + 3 * k : 9 + 3 * k]
+                    if not factors >> 4 or not factors & 15:
+                        raise PdfError("BadImage", "JPEG sampling factors")
                     parts[name] = Component(factors >> 4, factors & 15, quantiser)
                 widest = max(p.across for p in parts.values()), max(p.down for p in parts.values())
                 units = -(-width // (8 * widest[0])), -(-height // (8 * widest[1]))
@@ -264,8 +266,9 @@ def decode(data: bytes) -> np.ndarray:
                 scan = Scan(chosen, first if progressive else 0, last if progressive else 63, precision >> 4 if progressive else 0, precision & 15 if progressive else 0, progressive)
                 segments, at = _segments(data, at)
                 _run(scan, segments, interval, widest, units)
-        if not parts:
-            raise PdfError("BadImage", "no JPEG frame header")
+                scans += 1
+        if not scans:
+            raise PdfError("BadImage", "no JPEG scan")
         planes = [_plane(p, quantisers[p.quantiser], widest)[:height, :width] for p in parts.values()]
     except (IndexError, KeyError, ValueError, TypeError) as error:
         raise PdfError("BadImage", f"JPEG: {type(error).__name__}") from None

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quire.sources.pdf import images
+from quire.sources.pdf import images, raster
 from quire.sources.pdf.cos import Name, PdfError, Ref, Stream, instructions, serialise, text_string
 from quire.sources.pdf.document import Document, edges
 from quire.sources.pdf.interpret import Interpreter, origins, text_of
@@ -32,6 +32,8 @@ SCHEMAS = {
     "page_text": f"doc string, page int, text string, {ERROR}",
     "runs": f"doc string, page int, runs array<struct<text:string,xs:array<double>,y:double,d:double>>, {ERROR}",
     "items": f"doc string, page int, seq bigint, kind string, from_annot boolean, paint string, box array<double>, width int, height int, {ERROR}",
+    "paths": f"doc string, page int, seq bigint, paint string, rule string, fill array<double>, stroke array<double>, width double, clips int, segments array<struct<op:string,at:array<double>>>, {ERROR}",
+    "raster": f"doc string, page int, width int, height int, rgba binary, {ERROR}",
     "images": f"doc string, page int, seq bigint, width int, height int, rgba binary, {ERROR}",
     "summary": f"doc string, page int, paths bigint, glyphs bigint, images bigint, any_estimated boolean, text string, ignored map<string,bigint>, {ERROR}",
     "outline": f"doc string, node int, parent int, depth int, ord int, title string, page int, {ERROR}",
@@ -209,6 +211,26 @@ def _items(doc: Document, include_annotations: bool = False, pages: list[int] |
             yield {"page": page, "seq": seq, "kind": x["kind"], "from_annot": x.get("annot"), "paint": x.get("paint"), "box": x.get("box"), "width": x.get("width"), "height": x.get("height"), "error": x.get("error")}
 
 
+def _paths(doc: Document, include_annotations: bool = False, pages: list[int] | None = None) -> Iterator[dict]:
+    """Paths with their geometry on the page; curves have three places, each two numbers."""
+    for page, items in _each_page(doc, include_annotations, pages):
+        for seq, x in enumerate(items):
+            if x["kind"] == "error":
+                yield {"page": page, "error": x["error"]}
+            elif x["kind"] == "path":
+                yield {"page": page, "seq": seq, "paint": x["paint"], "rule": x["rule"], "fill": x["fill"], "stroke": x["stroke"], "width": x["width"], "clips": x["clips"], "segments": [{"op": op, "at": [float(c) for p in places for c in p]} for op, *places in x["segments"]]}
+
+
+def _raster(doc: Document, pages: list[int] | None = None, scale: float = 1.0, turn: int = 0) -> Iterator[dict]:
+    for p in doc.pages():
+        if pages is None or p.index in pages:
+            try:
+                pixels = raster.render(doc, p, scale, turn)
+                yield {"page": p.index, "width": pixels.shape[1], "height": pixels.shape[0], "rgba": pixels.tobytes()}
+            except PdfError as error:
+                yield {"page": p.index, "error": {"code": error.code, "detail": error.detail}}
+
+
 def _images(doc: Document, include_annotations: bool = False, pages: list[int] | None = None) -> Iterator[dict]:
     for page, items in _each_page(doc, include_annotations, pages):
         for seq, x in enumerate(items):
@@ -278,7 +300,7 @@ def _signatures(doc: Document, **_: Any) -> Iterator[dict]:
     yield from signatures(doc)
 
 
-READERS: dict[str, Callable[..., Iterator[dict]]] = {"files": _files, "xref": _xref, "trailer": _trailer, "objects": _objects, "edges": _edges, "pages": _pages, "instructions": _instructions, "glyphs": _glyphs, "page_text": _page_text, "runs": _runs, "items": _items, "images": _images, "summary": _summary, "outline": _outline, "annotations": _annotations, "fields": _fields, "signatures": _signatures}
+READERS: dict[str, Callable[..., Iterator[dict]]] = {"files": _files, "xref": _xref, "trailer": _trailer, "objects": _objects, "edges": _edges, "pages": _pages, "instructions": _instructions, "glyphs": _glyphs, "page_text": _page_text, "runs": _runs, "items": _items, "paths": _paths, "raster": _raster, "images": _images, "summary": _summary, "outline": _outline, "annotations": _annotations, "fields": _fields, "signatures": _signatures}
 
 
 def rows(name: str, doc: str, content: bytes, password: bytes = b"", **options: Any) -> Iterator[dict]:
@@ -293,7 +315,7 @@ def rows(name: str, doc: str, content: bytes, password: bytes = b"", **options:
 
 
 #: Tables with rows of single pages, which tasks can share out; files of fewer bytes are read by one task.
-PAGED, LARGE_FILE, PAGES_A_TASK = frozenset(("instructions", "glyphs", "page_text", "runs", "items", "images", "summary")), 1 << 20, 100
+PAGED, LARGE_FILE, PAGES_A_TASK = frozenset(("instructions", "glyphs", "page_text", "runs", "items", "paths", "raster", "images", "summary")), 1 << 20, 100
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from quire.sources.pdf.cos import Name, PdfError, Ref, Stream, serialise
+from quire.sources.pdf.cos import Name, PdfError, Ref, Stream, serialise, text_string
 from quire.sources.pdf.document import Document
 from quire.sources.pdf.filters import jpeg_size
 
@@ -170,13 +170,17 @@ class Session:
     def save(self) -> bytes:
         return incremental(self.doc, self.pending)
 
+    def now(self) -> Document:
+        """The document as it stands: the base's objects, pending ones over them. Nothing is written or read again."""
+        return self.doc.over(self.pending) if self.pending else self.doc
+
     def page_refs(self) -> list[Ref]:
         """Pages as they stand, pending changes included."""
-        return [p.ref for p in Document(self.save()).pages()] if self.pending else [p.ref for p in self.doc.pages()]
+        return [p.ref for p in self.now().pages()]
 
     def _order(self, refs: list[Ref], extra: dict[int, Any] | None = None) -> None:
         """Commit a flat page tree; every page carries what it inherited."""
-        now = Document(self.save())
+        now = self.now()
         root = now.trailer["Root"]
         top = self.new()
         changes = dict(extra or {})
@@ -212,11 +216,11 @@ class Session:
         self._order(refs)
 
     def rotate(self, at: int, delta: int) -> None:
-        page = Document(self.save()).pages()[at] if self._checked(at) else None
+        page = self.now().pages()[at] if self._checked(at) else None
         self.commit({page.ref.num: page.dict | {"Rotate": (page.rotate + delta) % 360}})
 
     def _annotate(self, at: int, annotation: dict[str, Any], appearance: bytes, extra: dict[str, Any] | None = None) -> None:
-        page = Document(self.save()).pages()[self.page_refs().index(self._checked(at)[at])]
+        page = self.now().pages()[self.page_refs().index(self._checked(at)[at])]
         form, num = self.new(), self.new()
         box = annotation["Rect"]
         resources = {"Font": HELVETICA} | (extra or {})
@@ -242,7 +246,7 @@ class Session:
 
     def _annotation(self, at: int, index: int) -> tuple[Document, Any, list, dict[str, Any]]:
         """The document as it stands, a page, its annotation entries (inline ones count) and one of them."""
-        now = Document(self.save())
+        now = self.now()
         self._checked(at)
         page = now.pages()[at]
         entries = list(now.get(page.dict.get("Annots")) or [])
@@ -313,21 +317,26 @@ class Session:
         paint = b"/Tx BMC BT /Helv %g Tf 0 g 2 %g Td " % (size, (height - size) / 2 + 0.2 * size) + serialise(shown) + b" Tj ET EMC"
         return self.new(), Stream({"Type": Name("XObject"), "Subtype": Name("Form"), "BBox": [0.0, 0.0, width, height], "Resources": {"Font": HELVETICA}}, paint)
 
-    def set_field(self, name: str, value: Any) -> None:
-        """The value of the first field of that name; names (Name) also select the appearance state."""
+    def find_field(self, name: str) -> tuple[Ref, dict[str, Any]]:
+        """The first field of that name as it stands; names compare as text, whatever their encoding."""
         for ref in self.doc.find(self.doc.trailer["Root"], "AcroForm", "Fields") or []:
-            field = self.current(ref)
-            if isinstance(field, dict) and field.get("T") == name.encode():
-                state = {"AS": value} if isinstance(value, Name) else {}
-                changes = {ref.num: field | {"V": value} | (state if "Kids" not in field else {})}
-                rect = [self.doc.get(x) for x in self.doc.get(field.get("Rect")) or []]
-                if isinstance(value, bytes) and field.get("FT") in ("Tx", "Ch") and len(rect) == 4:
-                    form, stream = self._field_appearance([float(x) for x in rect], value)
-                    changes[form], changes[ref.num] = stream, changes[ref.num] | {"AP": {"N": Ref(form, 0)}}
-                for kid in field.get("Kids", []) if isinstance(value, Name) else []:
-                    own = self.current(kid)
-                    on = value in (self.doc.find(own, "AP", "N") or {})
-                    changes[kid.num] = own | {"AS": value if on else Name("Off")}
-                self.commit(changes)
-                return
+            field = self.current(ref) if isinstance(ref, Ref) else None
+            label = self.doc.get(field.get("T")) if isinstance(field, dict) else None
+            if isinstance(label, bytes) and text_string(label) == name:
+                return ref, field
         raise PdfError("FieldNotFound", name)
+
+    def set_field(self, name: str, value: Any) -> None:
+        """The value of the first field of that name; names (Name) also select the appearance state."""
+        ref, field = self.find_field(name)
+        state = {"AS": value} if isinstance(value, Name) else {}
+        changes = {ref.num: field | {"V": value} | (state if "Kids" not in field else {})}
+        rect = [self.doc.get(x) for x in self.doc.get(field.get("Rect")) or []]
+        if isinstance(value, bytes) and field.get("FT") in ("Tx", "Ch") and len(rect) == 4:
+            form, stream = self._field_appearance([float(x) for x in rect], value)
+            changes[form], changes[ref.num] = stream, changes[ref.num] | {"AP": {"N": Ref(form, 0)}}
+        for kid in field.get("Kids", []) if isinstance(value, Name) else []:
+            own = self.current(kid)
+            on = value in (self.doc.find(own, "AP", "N") or {})
+            changes[kid.num] = own | {"AS": value if on else Name("Off")}
+        self.commit(changes)
