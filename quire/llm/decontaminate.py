@@ -1,19 +1,21 @@
 """Benchmark decontamination with DataFrame functions only: SimHash of item-sized windows.
 
-1. Items and documents become hashes of five-word shingles (an item of fewer words is one shingle). Windows
-   of the size of an item are laid where a document's shingle meets an item's, at the item's offset: a
-   window that shares no shingle has similarity 0.
-2. A window's fingerprint has a bit for each of 63 places, the majority over its shingles, repeats counted.
+1. Items and documents become hashes of five-word shingles (an item of fewer words is one shingle). Windows of the
+   size of an item start where a document's shingle meets one of an item of that size: moving a window on over a
+   shingle that no item has loses nothing, so one of the best windows starts there, or ends with the text.
+2. Running counts of such meetings along a text say how many a window holds. No more can be shared with an item, so
+   windows with fewer than the similarity asks for are done with; what is left are near copies and little else.
+3. A window's fingerprint has a bit for each of 63 places, the majority over its shingles, repeats counted.
    Windows of equal content are looked at once, however many documents carry them.
-3. Fingerprints are cut into RADIUS + 1 blocks, so two within RADIUS bits agree on a whole block at least;
+4. Fingerprints are cut into RADIUS + 1 blocks, so two within RADIUS bits agree on a whole block at least;
    an equi-join on size, block and value finds them all. A similarity of 0.75 puts 11 bits apart in the
    mean, with a standard deviation of 3, and RADIUS is four of those above.
-4. Candidates are verified by the exact weighted similarity of their shingles, the weights being counts.
+5. Candidates are verified by the exact weighted similarity of their shingles, the weights being counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import small, stage, words
@@ -71,6 +73,25 @@ def shared(a: Column, b: Column) -> Column:
     return F.when(plain, F.size(common)).otherwise(counted)
 
 
+def likely_starts(hits: DataFrame, k: int) -> DataFrame:
+    """(id, tie, size, start) of the windows that hold enough hits to be similar to an item of their size.
+
+    hits (id, tie, size, n, p): the place p of a text of n shingles has one of an item of that size. A window's hits
+    are what has been counted up to its end less what had been before its start.
+    """
+    room = F.greatest(F.lit(0), F.col("n") + (k - 1) - F.col("size"))  # the last start
+    starts = hits.select("id", "tie", "size", "n", F.least("p", room).alias("start")).distinct()
+    wide = F.col("size") - (k - 1)
+    marks = hits.select("id", "tie", "size", "n", F.col("p").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("start"))
+    marks = marks.union(starts.select("id", "tie", "size", "n", F.col("start").alias("at"), F.lit(0).alias("kind"), "start"))
+    marks = marks.union(starts.select("id", "tie", "size", "n", (F.col("start") + wide - 1).alias("at"), F.lit(2).alias("kind"), "start"))
+    order = Window.partitionBy("id", "tie", "size").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    counted = marks.withColumn("seen", F.sum((F.col("kind") == 1).cast("int")).over(order)).where("start IS NOT NULL")
+    held = counted.groupBy("id", "tie", "size", "start").agg(F.max("n").alias("n"), (F.max("seen") - F.min("seen")).alias("held"))
+    both = wide + F.least(wide, F.col("n"))
+    return held.where((100 + PERCENT) * F.col("held") >= PERCENT * both).select("id", "tie", "size", "start")
+
+
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(id, tie, item_id, start, size, similarity): the best window of every document for every item it holds.
 
@@ -88,13 +109,13 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     listed = stage(with_fingerprint(listed.drop("text"), "items"), "leak-prints")
     windows = None
     for k in widths:
-        places = listed.where(F.col("width") == k).select("size", F.posexplode("items").alias("offset", "h")).select("h", "size", "offset").distinct()
+        places = listed.where(F.col("width") == k).select("size", F.explode("items").alias("h")).distinct()
         places = small(stage(places, "leak-places"))
         found = docs.select("id", "tie", shingles(F.col("text"), k).alias("hs")).select("id", "tie", F.size("hs").alias("n"), F.posexplode("hs").alias("p", "h"))
-        fits = F.greatest(F.lit(0), F.least(F.col("p") - F.col("offset"), F.col("n") + (k - 1) - F.col("size")))
-        hits = found.join(places, "h").select("id", "tie", fits.alias("start"), "size").groupBy("id", "tie").agg(F.collect_set(F.struct("start", "size")).alias("windows"))
-        hits = small(stage(hits, "leak-windows"))
-        cut = docs.select("id", "tie", "text").join(hits, ["id", "tie"]).select("id", "tie", shingles(F.col("text"), k).alias("hs"), "windows")
+        hits = stage(found.join(places, "h").select("id", "tie", "size", "n", "p").distinct(), "leak-hits")
+        chosen = likely_starts(hits, k).groupBy("id", "tie").agg(F.collect_list(F.struct("start", "size")).alias("windows"))
+        chosen = small(stage(chosen, "leak-windows"))
+        cut = docs.select("id", "tie", "text").join(chosen, ["id", "tie"]).select("id", "tie", shingles(F.col("text"), k).alias("hs"), "windows")
         cut = cut.select("id", "tie", F.inline(F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["size"].alias("size"), F.slice("hs", w["start"] + 1, w["size"] - (k - 1)).alias("ws")))))
         windows = cut if windows is None else windows.union(cut)
     windows = stage(with_fingerprint(windows, "ws").withColumn("content", F.xxhash64("ws")), "leak-cut")

@@ -313,6 +313,23 @@ def test_decontaminate(spark, joins):
     assert decontaminate.decontaminate(table(spark, docs), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontaminate_edited_passages(spark):
+    """Passages with words changed, put in and left out, about as many as the threshold allows, against all windows of all items."""
+    rng = np.random.default_rng(12)
+    items = [prose(700 + k, int(n)) for k, n in enumerate(rng.integers(8, 60, 8))] + ["a b a b a b a b a b c"]
+    docs = []
+    for i in range(90):
+        words = items[i % len(items)].split()
+        for _ in range(rng.integers(0, 1 + max(1, len(words) // 20))):
+            at, kind = rng.integers(len(words)), rng.integers(3)
+            words[at : at + (kind != 1)] = [] if kind == 2 else ["new%d" % rng.integers(99)]
+        docs.append((i, " ".join([prose(i, int(rng.integers(0, 25))), *words, prose(i + 300, int(rng.integers(0, 25)))]).strip(), "a"))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {r["doc_id"]: [m["item_id"] for m in r["matches"]] for r in decontaminate.decontaminate(table(spark, docs), bench).collect()}
+    want = {i: [k for k, item in enumerate(items) if windows_hit(text, item)] for i, text, _ in docs}
+    assert found == want and 20 < sum(map(bool, want.values())) < 85
+
+
 def brute_groups(rows):
     sets = {}
     for i, t, _ in rows:
