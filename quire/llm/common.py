@@ -80,6 +80,8 @@ def stage(df: DataFrame, name: str, narrow: bool = False, rows: int | None = Non
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _open.append((spark, path))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)  # if nothing releases it before
     return spark.read.schema(df.schema).parquet(path)
 
 

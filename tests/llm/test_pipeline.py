@@ -1,12 +1,38 @@
+import pytest
+
 import corpus_pipeline
-from quire.llm import decontaminate, toxicity
-from tests.llm.test_operators import brute_groups, windows_hit
+from tests.llm.test_operators import brute_groups, prose, windows_hit
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
-def test_stages(spark, tmp_path):
-    rng = __import__("numpy").random.default_rng(3)
-    from tests.llm.test_operators import prose
 
+def tables(spark, folder, rows, labels, items):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_edges(spark, tmp_path):
+    """Nulls in any column, empty and blank texts, repeated rows, one word of many letters, and names that operators use."""
+    rows = [(1, None, "en", "a", None), (2, "", None, None, 0), (3, " \n\t", "en", "a", 3), (None, "null id", "en", "b", 7), (4, "x", "en", None, 1), (4, "x", "en", None, 1), (5, "w" * 30_000, "en", "a", 30_000), (6, prose(1, 3000), "en", "a", None)]
+    tables(spark, tmp_path, rows, [(1, None), (None, 1), (2, 0), (99, 1)], [(1, None), (None, "x"), (2, "")])
+    wide = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "1 AS id", "2 AS tie", "'s' AS size", "0.5D AS score", "'k' AS kept", "array(1) AS spans", "true AS contaminated", "1 AS component_id")
+    left = {"toxicity": 8, "near_dedup": 7, "substring_dedup": 8, "decontamination": 8, "mixing": 8}
+    for name, function in corpus_pipeline.STAGES:
+        found = function(spark, wide, str(tmp_path))
+        assert found.count() == left[name], name
+        assert name == "mixing" or found.columns == list(corpus_pipeline.COLUMNS)
+    total = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(r["size"] for r in total) == 3000 + 1 + 1 + 2 and all(0 <= r["taken"] <= 2 * r["size"] for r in total)
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1)]])
+def test_empty(spark, tmp_path, labels):
+    tables(spark, tmp_path, [], labels, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages(spark, tmp_path):
     base = {k: prose(500 + k, 60) for k in range(120)}
     passage = prose(900, 70)
     rows = [(k, t + (" vile grumblefool" if k % 5 == 0 else "")) for k, t in base.items()]
@@ -34,4 +60,3 @@ def test_stages(spark, tmp_path):
     assert set(seen["mixing"]) == set(seen["decontamination"])
     total = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["taken"] for r in total} == {i: r["taken"] for i, r in seen["mixing"].items()}
-    assert rng is not None and decontaminate and toxicity
