@@ -396,6 +396,35 @@ def pdf_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(files, "n_nationkey").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "text")
 
 
+#: Names of characters in encodings and what they stand for.
+NAMED = {"eacute": "é", "Agrave": "À", "ccedilla": "ç", "ntilde": "ñ", "space": " ", "quotesingle": "'", "endash": "–", "seven": "7", "uni20AC": "€", "u1F600": "😀", "odieresis": "ö", "scaron": "š", "braceleft": "{", "fi": "fi"}
+SQL_NAMED = ", ".join(f"({k}, '{c.replace(chr(39), 2 * chr(39))}')" for k, c in enumerate(NAMED.values()))
+
+
+@query("pdf_glyph_names", f"""WITH names(k, ch) AS (VALUES {SQL_NAMED})
+SELECT n_nationkey, string_agg(ch, '' ORDER BY k) AS text FROM nation, names WHERE (n_nationkey + k) % 3 > 0 GROUP BY n_nationkey""")
+def pdf_glyph_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes whose characters an encoding names."""
+    names = " ".join(f"/{x}" for x in NAMED)
+    font = f"/Type /Font /Subtype /Type1 /BaseFont /Made /Encoding << /Differences [128 {names}] >>"
+    files = M.files(table(spark, sf_dir, "nation").select("n_nationkey"), lambda r: M.classic(M.paged([M.stream(b"BT /F1 9 Tf 9 9 Td " + M.literal(bytes(128 + k for k in range(len(NAMED)) if (r["n_nationkey"] + k) % 3)) + b" Tj ET")], font)), "n_nationkey")
+    return _texts(files, "n_nationkey").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "text")
+
+
+@query("pdf_composite_widths", """WITH chars AS (SELECT n_nationkey, generate_subscripts(string_split(n_name, ''), 1) - 1 AS k, unnest(string_split(n_name, '')) AS ch FROM nation),
+codes AS (SELECT *, dense_rank() OVER (PARTITION BY n_nationkey ORDER BY ord(ch)) AS code FROM chars)
+SELECT n_nationkey, CAST(k AS BIGINT) AS seq, ch AS uni, CAST(code AS INT) AS code, round(72 + coalesce(sum(CASE code WHEN 1 THEN 2.5::DOUBLE WHEN 2 THEN 6 WHEN 3 THEN 5 WHEN 4 THEN 5 ELSE CASE WHEN code <= 9 THEN 7 ELSE 5 END END) OVER (PARTITION BY n_nationkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS x FROM codes""")
+def pdf_composite_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glyphs of two-byte codes, whose widths come as lists, ranges and a default."""
+
+    def make(row: dict[str, Any]) -> bytes:
+        codes, font = M.identity_font(row["n_name"])
+        return M.classic(M.paged([M.stream(b"BT /F1 10 Tf 72 700 Td <" + b"".join(b"%04X" % codes[c] for c in row["n_name"]) + b"> Tj ET")]) | font)
+
+    found = pdf_table(M.files(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), make, "n_nationkey"), "glyphs")
+    return found.select(F.col("doc").cast("int").alias("n_nationkey"), "seq", "uni", "code", F.round("m.e", 4).alias("x"))
+
+
 @query("text_decode", "SELECT doc_id, text FROM documents")
 def text_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as titles, in UTF-16 with a byte order mark."""
@@ -640,3 +669,16 @@ def pdf_path_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a page shows, in numbers and text."""
     return pdf_table(_numbered(spark, sf_dir), "summary").select(F.col("doc").cast("long").alias("conv_id"), F.col("page").cast("long").alias("page"), "text", "glyphs")
+
+
+@query("pdf_image_page", """SELECT n_nationkey, CAST(8 + n_nationkey AS INT) AS width, md5(repeat(printf('%02X%02X%02XFF', 90 + n_nationkey, 90 + n_nationkey, 90 + n_nationkey), 8 * (8 + n_nationkey))) AS pixels, CAST(2 AS BIGINT) AS pages FROM nation""")
+def pdf_image_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JPEG file put in as a page of its own by an edit log."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_nationkey").cast("string").alias("path"))
+    files = M.files(nation, lambda r: M.classic(M.paged([M.stream(b"")])), "n_nationkey")
+    pictures = M.files(nation, lambda r: M.jpeg(np.full((8, 8 + r["n_nationkey"], 1), 90 + r["n_nationkey"], np.uint8)), "n_nationkey")
+    log = pictures.select("path", F.lit(0).alias("seq"), F.lit("insert_image").alias("action"), F.to_json(F.struct(F.lit(0).alias("at"), F.hex("content").alias("jpeg"))).alias("arguments"))
+    edited = editing.edit_files(files, log).where("error IS NULL")
+    pages = pdf_table(edited, "pages").groupBy("doc").agg(F.count("*").alias("pages"))
+    found = pdf_table(edited, "images").where("page = 0").join(pages, "doc")
+    return found.select(F.col("doc").cast("int").alias("n_nationkey"), "width", F.md5(F.hex("rgba")).alias("pixels"), "pages")

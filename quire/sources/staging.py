@@ -23,6 +23,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write rows to a table in the folder that all executors share and read them back."""
     path = shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
