@@ -18,7 +18,7 @@ from quire.operators import editing
 from quire.operators import text as T
 from quire.plans import made_files as M
 from quire.plans.catalog import query, table
-from quire.sources.pdf.tables import flat_glyphs, pdf_table
+from quire.sources.pdf.tables import flat_glyphs, pdf_table, pdf_tables
 
 #: A text as its page gives it back: lines without characters leave no trace. The other keeps to one byte a character.
 SQL_LINES = r"trim(regexp_replace(text, '\n+', chr(10), 'g'), chr(10))"
@@ -682,3 +682,13 @@ def pdf_image_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pdf_table(edited, "pages").groupBy("doc").agg(F.count("*").alias("pages"))
     found = pdf_table(edited, "images").where("page = 0").join(pages, "doc")
     return found.select(F.col("doc").cast("int").alias("n_nationkey"), "width", F.md5(F.hex("rgba")).alias("pixels"), "pages")
+
+
+@query("pdf_many_tables", """SELECT conv_id, CAST(n AS INT) AS n_pages, CAST(n AS BIGINT) AS pages, CAST(2 * n + 3 AS BIGINT) AS objects, text FROM (SELECT conv_id, count(*) AS n, string_agg(concat(conv_id, '/', turn), ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)""")
+def pdf_many_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four tables of files that are opened once."""
+    found = pdf_tables(_numbered(spark, sf_dir), ("files", "pages", "objects", "page_text"))
+    texts = found["page_text"].groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), " ").alias("text"))
+    counts = [found[n].groupBy("doc").agg(F.count("*").alias(n)) for n in ("pages", "objects")]
+    rows = found["files"].join(counts[0], "doc").join(counts[1], "doc").join(texts, "doc")
+    return rows.select(F.col("doc").cast("long").alias("conv_id"), "n_pages", "pages", "objects", "text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -17,6 +19,7 @@ from quire.sources.pdf.cos import Name, PdfError, Ref, Stream, instructions, ser
 from quire.sources.pdf.document import Document, edges
 from quire.sources.pdf.interpret import Interpreter, origins, text_of
 from quire.sources.pdf.signatures import signatures
+from quire.sources.staging import shared_folder
 
 MATRIX = "struct<a:double,b:double,c:double,d:double,e:double,f:double>"
 ERROR = "error struct<code:string,detail:string>"
@@ -303,10 +306,9 @@ def _signatures(doc: Document, **_: Any) -> Iterator[dict]:
 READERS: dict[str, Callable[..., Iterator[dict]]] = {"files": _files, "xref": _xref, "trailer": _trailer, "objects": _objects, "edges": _edges, "pages": _pages, "instructions": _instructions, "glyphs": _glyphs, "page_text": _page_text, "runs": _runs, "items": _items, "paths": _paths, "raster": _raster, "images": _images, "summary": _summary, "outline": _outline, "annotations": _annotations, "fields": _fields, "signatures": _signatures}
 
 
-def rows(name: str, doc: str, content: bytes, password: bytes = b"", **options: Any) -> Iterator[dict]:
-    """Rows of one table for one file; whatever goes wrong ends in a row with an error."""
+def _opened(name: str, doc: str, opened: Callable[[], Document], options: dict[str, Any]) -> Iterator[dict]:
     try:
-        for row in READERS[name](Document(content, password), **options):
+        for row in READERS[name](opened(), **options):
             yield {"doc": doc, "error": None} | row
     except PdfError as error:
         yield {"doc": doc, "error": {"code": error.code, "detail": error.detail}}
@@ -314,6 +316,37 @@ def rows(name: str, doc: str, content: bytes, password: bytes = b"", **options:
         yield {"doc": doc, "error": {"code": "Malformed", "detail": f"{type(error).__name__}: {error}"}}
 
 
+def rows(name: str, doc: str, content: bytes, password: bytes = b"", **options: Any) -> Iterator[dict]:
+    """Rows of one table for one file; whatever goes wrong ends in a row with an error."""
+    yield from _opened(name, doc, lambda: Document(content, password), options)
+
+
+def pdf_tables(files: DataFrame, names: tuple[str, ...]) -> dict[str, DataFrame]:
+    """Several tables of files (path, content and, if there is one, password), each file opened once for all of them.
+
+    The rows of all tables are written to the shared folder together, each in the column of its table, and read from
+    there; a reader of one table scans its own column of its own part.
+    """
+    kinds = {n: StructType.fromDDL(SCHEMAS[n]) for n in names}
+    schema = "name string, " + ", ".join(f"`{n}` {kinds[n].simpleString()}" for n in names)
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    password = F.col("password").cast("string") if "password" in files.columns else F.lit(None).cast("string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content, secret in zip(*(batch.column(c) for c in ("path", "content", "password")), strict=True):
+                opened = functools.cache(lambda content=content, secret=secret: Document(content.as_py() or b"", (secret.as_py() or "").encode()))
+                for name in names:
+                    found = _opened(name, path.as_py(), opened, {})
+                    while held := list(itertools.islice(found, 10_000)):
+                        yield pa.RecordBatch.from_pylist([{"name": name, name: row} for row in held], target)
+
+    path = shared_folder(files.sparkSession, "pdf-tables")
+    files.select("path", "content", password.alias("password")).mapInArrow(run, schema).write.partitionBy("name").parquet(path)
+    whole = files.sparkSession.read.schema(schema).parquet(path)
+    return {n: whole.where(F.col("name") == n).select(f"`{n}`.*") for n in names}
+
+
 #: Tables with rows of single pages, which tasks can share out; files of fewer bytes are read by one task.
 PAGED, LARGE_FILE, PAGES_A_TASK = frozenset(("instructions", "glyphs", "page_text", "runs", "items", "paths", "raster", "images", "summary")), 1 << 20, 100
 
@@ -380,4 +413,4 @@ def flat_glyphs(glyphs: DataFrame) -> DataFrame:
     return glyphs.where("error IS NULL").select("doc", "page", "seq", "uni", F.col("m.e").alias("x"), F.col("m.f").alias("y"), F.col("m.d").alias("d"))
 
 
-__all__ = ["Name", "pdf_table", "read_files", "rows"]
+__all__ = ["Name", "pdf_table", "pdf_tables", "read_files", "rows"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -12,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+#: Files that get their names at once when a job commits.
+MOVES_AT_ONCE = 64
+
 
 @dataclass
 class Written(WriterCommitMessage):
@@ -43,8 +47,9 @@ class _Writer(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         system, _ = self._open()
-        for part, name in (move for m in messages if m for move in m.moves):
-            system.move(part, name)
+        moves = [move for m in messages if m for move in m.moves]
+        with ThreadPoolExecutor(MOVES_AT_ONCE) as pool:  # a move is a wait for the file system
+            list(pool.map(lambda move: system.move(*move), moves))
 
     def abort(self, messages: list[Written | None]) -> None:
         system, _ = self._open()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from quire.sources.pdf.tables import SCHEMAS, pdf_table
+from quire.sources.pdf.tables import SCHEMAS, pdf_tables
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -26,8 +26,7 @@ def ingest(files: DataFrame, target: str, checkpoint: str, names: tuple[str, ...
         raise ValueError(f"unknown tables {sorted(unknown)}")
 
     def write(batch: DataFrame, number: int) -> None:
-        found = {name: pdf_table(batch, name) for name in names}
-        for name, table in found.items():
+        for name, table in pdf_tables(batch, names).items():
             table.write.mode("overwrite").parquet(f"{target.rstrip('/')}/{name}/batch={number}")
 
     stream = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
