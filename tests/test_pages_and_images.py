@@ -81,6 +81,74 @@ def test_jpeg(reduced, restart):
             jpeg.decode(bad)
 
 
+def progressive(pixels):
+    """A progressive JPEG file of grey samples: bits of coefficients in six scans, two of them and one more refining others."""
+    height, width = pixels.shape
+    walk = jpeg.ZIGZAG
+    shown = np.pad(pixels.astype(float), ((0, -height % 8), (0, -width % 8)), "edge") - 128
+    tiles = shown.reshape(shown.shape[0] // 8, 8, -1, 8).swapaxes(1, 2)
+    blocks = np.round(jpeg._WAVES @ tiles @ jpeg._WAVES.T).astype(int).reshape(-1, 64)[:, walk].tolist()
+    bits = []
+
+    def number(value, size):
+        if size:
+            bits.append(f"{value if value > 0 else value + (1 << size) - 1:0{size}b}")
+
+    def symbol(value):
+        bits.append(f"{M._AC.index(value):08b}")
+
+    def scan(first, last, high, low):
+        bits.clear()
+        before = 0
+        for block in blocks:
+            if first == 0 and high:
+                bits.append(str(block[0] >> low & 1))
+            elif first == 0:
+                step = (block[0] >> low) - before
+                before = block[0] >> low
+                bits.append(f"{abs(step).bit_length():04b}")
+                number(step, abs(step).bit_length())
+            else:
+                values = [(abs(c) >> low) * (1 if c > 0 else -1) for c in block]
+                fresh = [k for k in range(first, last + 1) if (abs(values[k]) == 1 if high else values[k])]
+                run, held = 0, []
+                for k in range(first, last + 1):
+                    v = values[k]
+                    if v == 0:
+                        run += 1
+                        continue
+                    while run > 15 and k <= max(fresh, default=0):
+                        symbol(0xF0)
+                        bits.extend(held)
+                        held, run = [], run - 16
+                    if high and abs(v) > 1:
+                        held.append(str(abs(v) & 1))
+                        continue
+                    size = abs(v).bit_length()
+                    symbol(run << 4 | size)
+                    number(v, size)
+                    bits.extend(held)
+                    held, run = [], 0
+                if run or held:
+                    symbol(0)
+                    bits.extend(held)
+        text = "".join(bits)
+        text += "1" * (-len(text) % 8)
+        data = int(text, 2).to_bytes(len(text) // 8, "big").replace(b"\xff", b"\xff\x00")
+        return b"\xff\xda\x00\x08\x01\x01\x00" + bytes([first, last, high << 4 | low]) + data
+
+    base = M.jpeg(pixels[..., None])
+    head = base[: base.index(b"\xff\xda")].replace(b"\xff\xc0", b"\xff\xc2")
+    return head + b"".join(scan(*x) for x in ((0, 0, 0, 1), (1, 5, 0, 2), (6, 63, 0, 2), (1, 63, 2, 1), (0, 0, 1, 0), (1, 63, 1, 0))) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("kind", ["noise", "smooth"])
+def test_progressive_jpeg(kind):
+    y, x = np.mgrid[0:29, 0:43]
+    pixels = (np.random.default_rng(2).integers(0, 256, (29, 43)) if kind == "noise" else 128 + 90 * np.sin(x / 7) * np.cos(y / 9)).astype(np.uint8)
+    assert np.abs(jpeg.decode(progressive(pixels))[..., 0].astype(int) - pixels).max() <= 1
+
+
 def test_signature_blocks():
     modulus, private = keys = M.key_pair()
     data = b"signed"
