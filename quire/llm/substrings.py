@@ -11,8 +11,8 @@ becomes runs of strings, one for each anchor, about one in 75 bytes.
 3. Where the runs of an anchor differ, one run of each class goes to the anchor's bucket. There the suffixes are
    sorted by prefix doubling to LENGTH bytes (that re-sorts only unfinished groups), ties by text and place.
    Previous and next smaller places in suffix order, with the common prefixes between, give each suffix its
-   longest previous factor, up to LENGTH; one of LENGTH is a later copy. The same with places reversed tells which
-   strings have a later copy.
+   longest previous factor, up to LENGTH; one of LENGTH is a later copy, and where the factor lies is a place that
+   has a later copy.
 4. Anchors with more than HOT classes are not gathered: their strings are hashed, dealt out and counted.
 """
 
@@ -148,15 +148,16 @@ def common_prefixes(data: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(out, most)
 
 
-def longest_previous(order: np.ndarray, lcp: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Longest previous factors: for each suffix the longest prefix that it shares with one of a smaller place.
+def longest_previous(order: np.ndarray, lcp: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous factors: for each suffix the longest prefix that it shares with one of a smaller place, and which
+    (-1 for none).
 
     order lists suffixes in suffix order, lcp holds the common prefix of each with the one before. The longest
     is shared with the nearest suffix of smaller place on one side or the other; both are found for all at once
     by jumping over suffixes of larger place, the least common prefix on the way being what remains shared.
     """
     p, n = place[order], len(order)
-    best = np.zeros(n, np.int32)
+    best, source = np.zeros(n, np.int32), np.full(n, -1)
     for way in (1, -1):
         here = p[::way]
         to = np.arange(n) - 1
@@ -168,15 +169,17 @@ def longest_previous(order: np.ndarray, lcp: np.ndarray, place: np.ndarray) -> n
             to[going] = to[via]
             going = going[(to[going] >= 0) & (here[to[going]] > here[going])]
         shared[to < 0] = 0
-        best = np.maximum(best, shared[::way])
-    out = np.empty(n, np.int32)
-    out[order] = best
-    return out
+        shared, to = shared[::way], (to if way == 1 else np.where(to < 0, -1, n - 1 - to))[::way]
+        more = shared > best
+        best[more], source[more] = shared[more], order[to[more]]
+    longest, earlier = np.empty(n, np.int32), np.empty(n, np.int64)
+    longest[order], earlier[order] = best, source
+    return longest, earlier
 
 
 def _repeated(chunk: list[tuple], keep_first: bool) -> dict[str, list]:
     """Spans of the strings of a bucket whose longest previous factor is LENGTH; without keep_first also of those
-    with a later place of that length."""
+    that are such a factor of a later one."""
     out: dict[str, list] = {"id": [], "tie": [], "start": [], "end": []}
     if len(chunk) < 2:
         return out
@@ -193,9 +196,10 @@ def _repeated(chunk: list[tuple], keep_first: bool) -> dict[str, list]:
     place = nth[row] + inner
     order = np.lexsort((place, suffix_ranks(data, LENGTH)[at]))
     lcp = common_prefixes(data, at[order], LENGTH)
-    marked = longest_previous(order, lcp, place) >= LENGTH
+    longest, earlier = longest_previous(order, lcp, place)
+    marked = longest >= LENGTH
     if not keep_first:
-        marked |= longest_previous(order, lcp, -place) >= LENGTH
+        marked[earlier[marked]] = True
     hit = np.flatnonzero(marked)
     if len(hit):
         begins = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)))

@@ -460,14 +460,13 @@ def test_longest_previous_factors(seed):
     start = np.arange(len(text) - most + 1)
     rank = substrings.suffix_ranks(data, most)[start]
     order = np.lexsort((start, rank))
-    found = substrings.longest_previous(order, substrings.common_prefixes(data, start[order], most), start)
+    found, earlier = substrings.longest_previous(order, substrings.common_prefixes(data, start[order], most), start)
 
     def common(i, j):
         return next((k for k in range(most) if text[i + k] != text[j + k]), most)
 
     assert found.tolist() == [max((common(i, j) for j in range(i)), default=0) for i in start]
-    last = substrings.longest_previous(order, substrings.common_prefixes(data, start[order], most), -start)
-    assert last.tolist() == [max((common(i, j) for j in range(i + 1, len(start))), default=0) for i in start]
+    assert all((j < 0) == (n == 0) and (n == 0 or j < i and common(i, j) == n) for i, (n, j) in enumerate(zip(found, earlier, strict=True)))
 
 
 def test_suffix_ranks():
