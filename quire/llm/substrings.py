@@ -102,30 +102,34 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     """Rank of every suffix by its first `length` bytes (missing ones count as zeros): equal strings have equal ranks, and
     ranks are in suffix order. Prefix doubling from 8 bytes on; only groups that still tie are sorted again."""
     n = len(data)
-    wide = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
+    wide, key = np.concatenate((data, np.zeros(8, np.uint8))), np.zeros(n, np.uint64)
     for k in range(8):
-        key = (key << np.uint64(8)) | wide[k : k + n]
-    order = np.argsort(key, kind="stable")
-    fresh = np.concatenate(([True], key[order][1:] != key[order][:-1])) if n else np.empty(0, bool)
-    starts = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = starts
+        key <<= np.uint64(8)
+        key |= wide[k : k + n]
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    fresh = np.ones(n, bool)
+    key = key[order]
+    fresh[1:] = key[1:] != key[:-1]
+    del key, wide
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), np.int32(0)))
     done = 8
     while done < length and n:
         step = min(done, length - done)
-        tied = ~(fresh & np.append(fresh[1:], True))
-        at = np.flatnonzero(tied)
+        at = np.flatnonzero(~(fresh & np.append(fresh[1:], True))).astype(np.int32)
         if not len(at):
             break
         who = order[at]
-        ahead = np.where(who + step < n, rank[np.minimum(who + step, n - 1)], -1)
-        again = np.lexsort((ahead, rank[who]))
-        who, ahead, group = who[again], ahead[again], rank[who][again]
+        pair = rank[who].astype(np.int64) << 32  # group, then the rank of what follows
+        pair += np.where(who < n - step, rank[np.minimum(who, n - step - 1) + step] + 1, 0) if step < n else 0
+        again = np.argsort(pair, kind="stable")
+        who, pair = who[again], pair[again]
+        del again
         order[at] = who
-        split = np.concatenate(([True], (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])))
+        split = np.ones(len(at), bool)
+        split[1:] = pair[1:] != pair[:-1]
         fresh[at] = split
-        rank[who] = np.maximum.accumulate(np.where(split, at, 0))
+        rank[who] = np.maximum.accumulate(np.where(split, at, np.int32(0)))
         done += step
     return rank
 
@@ -196,6 +200,7 @@ def _repeated(chunk: list[tuple], keep_first: bool) -> dict[str, list]:
     place = nth[row] + inner
     order = np.lexsort((place, suffix_ranks(data, LENGTH)[at]))
     lcp = common_prefixes(data, at[order], LENGTH)
+    del data, at
     longest, earlier = longest_previous(order, lcp, place)
     marked = longest >= LENGTH
     if not keep_first:
