@@ -20,8 +20,10 @@ def normalise(unit: Column) -> Column:
 def units(rows: DataFrame, unit: str, min_words: int = MIN_WORDS) -> DataFrame:
     """id, tie, place and digest of every unit that is not blank and long enough to count."""
     flat = rows.select("id", "tie", F.posexplode(F.split("text", SEPARATOR[unit])).alias("place", "unit"))
-    flat = flat.select("id", "tie", "place", normalise(F.col("unit")).alias("form"))
-    return flat.where((F.col("form") != "") & (F.size(F.split("form", " ")) >= min_words)).select("id", "tie", "place", F.unhex(F.md5("form")).alias("digest"))
+    flat = flat.select("id", "tie", "place", normalise(F.col("unit")).alias("form")).where(F.col("form") != "")
+    if min_words > 1:
+        flat = flat.where(F.size(F.split("form", " ")) >= min_words)
+    return flat.select("id", "tie", "place", F.unhex(F.md5("form")).alias("digest"))
 
 
 def remove_lines(docs: DataFrame, unit: str = "line", carry: tuple[str, ...] = (), min_words: int = MIN_WORDS) -> DataFrame:
@@ -38,7 +40,7 @@ def remove_lines(docs: DataFrame, unit: str = "line", carry: tuple[str, ...] = (
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id")
     rows = docs.select(key, F.xxhash64("text", "doc_id").alias("tie"), F.coalesce("text", F.lit("")).alias("text"), "doc_id", *carry)
     separator = SEPARATOR[unit]
-    found = units(rows.select("id", "tie", "text"), unit, min_words)
+    found = stage(units(rows.select("id", "tie", "text"), unit, min_words), "line-units")  # texts are normalised once
     spot = F.struct("id", "tie", "place")
     firsts = found.groupBy("digest").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("digest", "first")
     firsts = small(stage(firsts, "line-firsts"))
