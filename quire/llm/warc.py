@@ -162,17 +162,30 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def plan(pages: DataFrame) -> DataFrame:
     """Pages with payload_digest and refers_to: null for responses, else the page that holds the payload.
 
-    Only digests are grouped; of a group of equal payloads of at least 100 bytes that with the smallest
-    page_id is the response. Rows that repeat that page_id are responses too, and so are null page_ids,
-    which nothing can refer to. Digests seen once never reach the join, so the table of groups is small and
-    is broadcast once a count has proved it; beyond the bound the join shuffles and Spark splits a hot digest.
+    Of a group of equal payloads of at least 100 bytes the smallest page_id is the response; if rows repeat that
+    page_id, the one with the smallest url, null last, and of equal rows one. All others revisit it, null page_ids
+    too; a group without any page_id has nothing to refer to, and all of it are responses. Only digests and ids are
+    grouped. Digests seen once never reach the join, so the table of groups is small and is broadcast once a count
+    has proved it; beyond the bound the join shuffles and Spark splits a hot digest.
     """
-    rows = pages.select("page_id", "url", "html", F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256).alias("payload_digest"))
-    long_rows = rows.where(F.octet_length("html") >= MIN_REVISIT_BYTES)
-    first = long_rows.groupBy("payload_digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")).where("n > 1 AND first_page IS NOT NULL")
-    first = small(stage(first.select("payload_digest", "first_page"), "warc-groups"))
-    refers = F.when((F.octet_length("html") >= MIN_REVISIT_BYTES) & (F.col("page_id") > F.col("first_page")), F.col("first_page"))
-    return rows.join(first, "payload_digest", "left").select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
+    digest = F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256)
+    rows = pages.select("page_id", "url", "html", digest.alias("payload_digest"))
+    ids = rows.where(F.octet_length("html") >= MIN_REVISIT_BYTES).groupBy("payload_digest", "page_id").agg(F.count("*").alias("n"))
+    first = ids.groupBy("payload_digest").agg(F.min("page_id").alias("first_page"), F.sum("n").alias("n"), F.min_by("n", F.col("page_id")).alias("n_first"))
+    first = small(stage(first.where("n > 1 AND first_page IS NOT NULL").select("payload_digest", "first_page", "n_first"), "warc-groups"))
+    joined = rows.join(first, "payload_digest", "left")
+    joined = joined.withColumn("first_page", F.when(F.octet_length("html") >= MIN_REVISIT_BYTES, F.col("first_page")))
+    again = (F.col("page_id") == F.col("first_page")) & (F.col("n_first") > 1)
+    columns = ["page_id", "url", "html", "payload_digest", "refers_to"]
+    single = joined.where(~F.coalesce(again, F.lit(False))).withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_page")), F.col("first_page")))
+    if not first.where("n_first > 1").limit(1).count():
+        return single.select(columns)
+    # equal rows are counted, not gathered, and one of each stands for them
+    kinds = joined.where(again).groupBy("page_id", "url", "payload_digest").agg(F.first("html").alias("html"), F.count("*").alias("n"))
+    least = kinds.groupBy("payload_digest").agg(F.min(F.struct(F.col("url").isNull(), "url"))["url"].alias("_url"), F.lit(True).alias("_any"))
+    copies = kinds.join(least, "payload_digest").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    holds = (F.col("_k") == 1) & F.col("url").eqNullSafe(F.col("_url"))
+    return single.select(columns).unionByName(copies.withColumn("refers_to", F.when(~holds, F.col("page_id"))).select(columns))
 
 
 def write(pages: DataFrame) -> DataFrame:
@@ -217,11 +230,11 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
 
 ORACLE = """
-WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
-sized AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM rows),
-placed AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_page FROM sized)
+WITH rows AS (SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages),
+sized AS (SELECT page_id, url, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM rows),
+placed AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_page, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS LAST) AS n FROM sized)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 100 AND page_id > first_page THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND page_id > first_page THEN first_page END AS refers_to
+       CASE WHEN payload_bytes >= 100 AND n > 1 AND first_page IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND n > 1 THEN first_page END AS refers_to
 FROM placed
 """

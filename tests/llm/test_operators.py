@@ -251,9 +251,10 @@ def test_warc(spark, joins):
     assert len(found) == len(rows)
     for r in found:
         if r["record_type"] == "revisit":
-            assert r["page_id"] in (5, 9) and r["refers_to"] == 2 and r["payload_bytes"] == len(body.encode()) and r["payload"] is None
+            assert r["page_id"] in (5, 9, 2, None) and r["refers_to"] == 2 and r["payload_bytes"] == len(body.encode()) and r["payload"] is None
         else:
             assert hashlib.sha256(r["payload"]).hexdigest() == r["payload_digest"] and r["refers_to"] is None
+    assert [(r["page_id"], r["url"]) for r in found if r["record_type"] == "response" and r["payload_bytes"] >= 100] == [(2, "v")]
     assert sorted(r["url"] for r in found if r["page_id"] == 9) == ["u\r\n%"]
     bundle = bundles.first()
     entry = bundle["entries"][-1]
@@ -267,6 +268,14 @@ def test_warc(spark, joins):
     assert warc.parse(frame[where["start"] :][: where["length"]])["url"] == "u\r\n%"
 
 
+def test_warc_agrees_with_sql(spark, tmp_path):
+    long, other = "<p>é</p>" * 20, "<b>x</b>" * 40
+    rows = [(3, "u", long), (3, "u", long), (3, None, long), (4, "u", long), (None, "u", long), (None, "u", other), (None, "v", other), (5, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short")]
+    pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, payload int")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    agree(spark, "op6_warc", tmp_path, "page_id")
+
+
 def test_warc_files(spark, tmp_path):
     pages = spark.createDataFrame([(k, "u", f"<p>{k}</p>") for k in range(20)], "page_id long, url string, html string").repartition(3)
     bundles = warc.write(pages).cache()
