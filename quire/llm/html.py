@@ -40,7 +40,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPES = frozenset("ul ol dl table td th article section div body html main".split())
 #: A class, id or role made of words of the first list, and perhaps of the second, names what is not main text.
 ASIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside rail footer masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending popular pagination pager comment comments commentlist reply replies respond disqus discussion toolbar widget widgets copyright search searchbox contentinfo complementary alert alertdialog dialog skip outbrain taboola paywall disclaimer".split())
-LAYOUT_NAMES = frozenset("area bar block body box btn button buttons col column container content foot form group head header heading inner inline item items left link links list main message outer page panel post posts primary right row secondary section site slot small text thread title top bottom unit wrap wrapper".split())
+LAYOUT_NAMES = frozenset("area article articles author bar block blog body bottom box btn button buttons card cards center col column component container content count desktop element entry feed field fields foot form global google grid group head header heading icon icons info inline inner item items label latest left li link links list main media message meta middle mobile module more narrow new news outer page panel post posts primary reader readers region right row secondary section site slot small stories story strip sub tag tags text third thread tile title top trail ul unit user users view views wide wrap wrapper zone".split())
 
 MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")

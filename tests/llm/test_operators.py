@@ -68,6 +68,10 @@ def test_html_without_telling_markup(monkeypatch):
 
 def test_html_names_and_broken_markup():
     assert html.extract('<article><div class="related-work">Kept, as it is no aside.</div><div class="related-links">Gone, as it is.</div><p class="x>Hello world</p></article>') == "Kept, as it is no aside.\n\nHello world"
+    for name in ("reader-comments", "userComments", "ad-1", "cookie-banner", "related-articles", "site-notice main"):
+        assert html.extract(f'<article><p>Text, here.</p><section id="x" class="{name}"><p>Other text, there.</p></section></article>') == "Text, here.", name
+    for name in ("comments-open", "related-work", "shared-values", "story", "header-image-caption"):
+        assert html.extract(f'<article><p>Text, here.</p><section class="{name}"><p>Other text, there.</p></section></article>').endswith("there."), name
     assert html.extract("<article><header><h1>T</h1><div>By me</div></header><p>Text, here.</p><div hidden>x</div></article><div>Other text, there.</div>") == "T\n\nText, here."
     assert html.extract('<p>a<p title="b>c">d<!-- e --><![CDATA[f<g]]>h<') == "a\n\ndf<gh<"
     pages = ["<div>" * 90_000 + "x", '<a "' * 250_000, "<svg>" * 200_000, "<article>" + "<div><header>" * 70_000, "<dl><dd><div>" + "<center>" * 60_000 + "<dt></dt>" * 60_000 + "x"]
