@@ -692,3 +692,27 @@ def pdf_many_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [found[n].groupBy("doc").agg(F.count("*").alias(n)) for n in ("pages", "objects")]
     rows = found["files"].join(counts[0], "doc").join(counts[1], "doc").join(texts, "doc")
     return rows.select(F.col("doc").cast("long").alias("conv_id"), "n_pages", "pages", "objects", "text")
+
+
+@query("pdf_raster_text", r"""SELECT n_nationkey, CAST(64 * length(regexp_replace(n_name, '[^AEIOU]', '', 'g')) + 128 * length(regexp_replace(n_name, '[^RNT]', '', 'g')) AS BIGINT) AS black FROM nation""")
+def pdf_raster_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in a font of squares: one for A, E, I, O and U, two for R, N and T, nothing for the rest; in simple and composite fonts."""
+    square = M.shape([(0, 0, True), (0, 800, True), (800, 800, True), (800, 0, True)])
+    glyphs = [b"", square, M.assembled((1, 0, 0), (1, 0, 1000))]
+    which = {ord(c): 1 for c in "AEIOU"} | {ord(c): 2 for c in "RNT"}
+    font = zlib.compress(M.truetype(glyphs, which))
+
+    def make(row: dict[str, Any]) -> bytes:
+        name = row["n_name"]
+        if row["n_nationkey"] % 2:
+            codes, objects = M.identity_font("".join(sorted(set(name))))
+            shown = b"".join(b"%04X" % which.get(ord(c), 0) for c in name)
+            objects[4] = b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Made /CIDToGIDMap /Identity /DW 1000 /FontDescriptor 6 0 R >>"
+            base, text = "", b"<" + shown + b">"
+        else:
+            objects, base, text = {}, f"/Type /Font /Subtype /TrueType /BaseFont /Made /Encoding /WinAnsiEncoding /FirstChar 32 /Widths [{'1000 ' * 96}] /FontDescriptor 6 0 R", M.literal(name.encode())
+        pages = M.paged([M.stream(b"BT /F1 10 Tf 5 10 Td " + text + b" Tj ET")], base)
+        return M.classic(pages | objects | {6: b"<< /Type /FontDescriptor /FontName /Made /FontFile2 7 0 R >>", 7: M.stream(font, "/Filter /FlateDecode")})
+
+    found = pdf_table(M.files(table(spark, sf_dir, "nation").select("n_nationkey", F.upper("n_name").alias("n_name")), make, "n_nationkey"), "raster")
+    return found.select(F.col("doc").cast("int").alias("n_nationkey"), F.regexp_count(F.hex("rgba"), F.lit("000000FF")).cast("long").alias("black"))

@@ -261,6 +261,42 @@ def jpeg(pixels: np.ndarray, reduced: int = 1, restart: int = 0) -> bytes:
     return b"\xff\xd8" + segment(0xDB, bytes([0]) + b"\x01" * 64) + segment(0xC0, frame) + (segment(0xDD, restart.to_bytes(2, "big")) if restart else b"") + codes + segment(0xDA, scan) + body + b"\xff\xd9"
 
 
+def truetype(glyphs: list[bytes], codes: dict[int, int]) -> bytes:
+    """A TrueType file of the glyphs (in the form of their table) with a map of characters."""
+    places, body = [0], b""
+    for glyph in glyphs:
+        body += glyph + bytes(-len(glyph) % 4)
+        places.append(len(body))
+    ends = sorted(codes)
+    n = len(ends) + 1
+    segments = [*((c, c, (codes[c] - c) & 0xFFFF) for c in ends), (0xFFFF, 0xFFFF, 1)]
+    flat = struct.pack(f">{n}H", *(s[1] for s in segments)) + bytes(2) + struct.pack(f">{n}H", *(s[0] for s in segments)) + struct.pack(f">{n}H", *(s[2] for s in segments)) + bytes(2 * n)
+    table = struct.pack(">HHHHHHH", 4, 14 + len(flat), 0, 2 * n, 0, 0, 0) + flat
+    head = bytes(18) + struct.pack(">H", 1000) + bytes(30) + struct.pack(">hh", 1, 0)
+    tables = {b"cmap": struct.pack(">HHHHI", 0, 1, 3, 1, 12) + table, b"glyf": body, b"head": head, b"loca": struct.pack(f">{len(places)}I", *places)}
+    out, at = struct.pack(">IHHHH", 0x00010000, len(tables), 0, 0, 0), 12 + 16 * len(tables)
+    for tag, data in tables.items():
+        out += struct.pack(">4sIII", tag, 0, at, len(data))
+        at += len(data)
+    return out + b"".join(tables.values())
+
+
+def shape(*contours: list[tuple[int, int, bool]]) -> bytes:
+    """A glyph of closed contours, of points on the curve or off it."""
+    points = [p for c in contours for p in c]
+    ends, count = [], 0
+    for c in contours:
+        count += len(c)
+        ends.append(count - 1)
+    steps = [[b - a for a, b in zip([0, *axis], axis, strict=False)] for axis in ([p[0] for p in points], [p[1] for p in points])]
+    return struct.pack(">hhhhh", len(contours), 0, 0, 0, 0) + struct.pack(f">{len(ends)}HH", *ends, 0) + bytes(int(p[2]) for p in points) + b"".join(struct.pack(f">{len(s)}h", *s) for s in steps)
+
+
+def assembled(*parts: tuple[int, int, int]) -> bytes:
+    """A glyph of other glyphs, each moved."""
+    return struct.pack(">hhhhh", -1, 0, 0, 0, 0) + b"".join(struct.pack(">HHhh", 3 | (0x20 if k + 1 < len(parts) else 0), *part) for k, part in enumerate(parts))
+
+
 # encryption
 
 def _pad16(data: bytes) -> bytes:

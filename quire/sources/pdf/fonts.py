@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from typing import Any
 
 from quire.sources.pdf.cos import Name, Parser, PdfError, Ref, Stream
 from quire.sources.pdf.document import Document
 from quire.sources.pdf.filters import decode
+from quire.sources.pdf.truetype import TrueType
 
 #: Names of characters in encodings, besides letters, which name themselves.
 GLYPH_NAMES = {"space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "minus": "−", "period": ".", "slash": "/", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@", "bracketleft": "[", "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "grave": "`", "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~", "bullet": "•", "endash": "–", "emdash": "—", "quoteleft": "‘", "quoteright": "’", "quotedblleft": "“", "quotedblright": "”", "ellipsis": "…", "Euro": "€", "fi": "fi", "fl": "fl", "ffi": "ffi", "germandbls": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "oslash": "ø", "Oslash": "Ø", "degree": "°", "copyright": "©", "registered": "®"}
@@ -118,6 +120,8 @@ class Font:
                     break
         else:
             self._simple(doc, font)
+        self._source = (doc, own if self.composite else font)
+        self._face: TrueType | None | bool = False
         stream = doc.get(font.get("ToUnicode"))
         if isinstance(stream, Stream):
             self.chars |= to_unicode(decode(stream, doc.get))
@@ -144,6 +148,28 @@ class Font:
         else:
             self.widths = standard_widths(self.base)
 
+    def face(self) -> TrueType | None:
+        """The embedded TrueType file, read when it is first asked for; none if there is none or it cannot be read."""
+        if self._face is False:
+            doc, font = self._source
+            file = doc.find(font.get("FontDescriptor"), "FontFile2")
+            try:
+                self._face = TrueType(decode(file, doc.get)) if isinstance(file, Stream) else None
+            except (PdfError, struct.error, KeyError, IndexError):
+                self._face = None
+            glyphs = doc.get(font.get("CIDToGIDMap"))
+            self._glyphs = decode(glyphs, doc.get) if isinstance(glyphs, Stream) else None
+        return self._face or None
+
+    def outline(self, code: int, text: str | None) -> list[tuple]:
+        """The shape of a code in units of the font; empty without an embedded TrueType file."""
+        face = self.face()
+        if face is None:
+            return []
+        if not self.composite:
+            return face.outline(face.glyph_of(code, text))
+        return face.outline(code if self._glyphs is None else int.from_bytes(self._glyphs[2 * code : 2 * code + 2], "big"))
+
     def shown(self, raw: bytes) -> tuple[list[int], list[str | None], list[float]]:
         """Codes, texts and widths of a string."""
         if self.composite:

@@ -145,7 +145,7 @@ class Interpreter:
             shape = (state.size * state.scale, 0.0, 0.0, state.size, 0.0, state.rise)
             along = tm[0] * state.ctm[0] + tm[1] * state.ctm[2], tm[0] * state.ctm[1] + tm[1] * state.ctm[3]
             spaced = state.word if font and not font.composite else 0.0
-            self.items.append({"kind": "run", "annot": annot, "font": font.base if font else None, "codes": codes, "texts": texts, "widths": widths, "m": then(then(shape, tm), state.ctm), "along": along, "pace": (state.size, state.char, spaced, state.scale), "estimated": font is None})
+            self.items.append({"kind": "run", "annot": annot, "font": font.base if font else None, "codes": codes, "texts": texts, "widths": widths, "m": then(then(shape, tm), state.ctm), "along": along, "pace": (state.size, state.char, spaced, state.scale), "estimated": font is None, "face": font, "fill": state.fill, "alpha": state.fill_alpha, "clip": state.clip})
             step = (sum(widths) / 1000 * state.size + len(codes) * state.char + (codes.count(32) * spaced if spaced else 0.0)) * state.scale
             tm = then((1.0, 0.0, 0.0, 1.0, step, 0.0), tm)
 

@@ -1,8 +1,8 @@
-"""Pages as pixels: filled and stroked paths, clips and images over white, a task a page.
+"""Pages as pixels: filled and stroked paths, clips, images and the glyphs of embedded TrueType fonts over white.
 
 Shapes become edges; where edges cross the lines of a grid four times as fine as the pixels, winding numbers change, and
 their running sums along a line say what is inside. A pixel's coverage is the share of its sixteen samples inside.
-Text is drawn where a page draws it as paths; outlines of fonts are not read.
+Text in other fonts is left out.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 from quire.sources.pdf import images
 from quire.sources.pdf.cos import PdfError
 from quire.sources.pdf.document import Document, Page
-from quire.sources.pdf.interpret import Interpreter, Matrix, then
+from quire.sources.pdf.interpret import Interpreter, Matrix, origins, then
 
 FINE, CURVE = 4, 16
 MITER, LEAST_WIDTH, LEAST_SCALE = 4.0, 0.1, 0.01
@@ -164,6 +164,18 @@ class Canvas:
         if "s" in item["paint"]:
             self.paint(coverage(stroked(parts, max(item["width"], LEAST_WIDTH) * self.scale), False, width, height), rgb(item["stroke"]), item["alphas"][1], item["clip"])
 
+    def run(self, item: dict[str, Any]) -> None:
+        """The glyphs of a string, where its font brings their outlines."""
+        face = item["face"].face() if item["face"] is not None else None
+        if face is None:
+            return
+        height, width = self.pixels.shape[:2]
+        color = rgb(item["fill"])
+        for code, text, x, y in zip(item["codes"], item["texts"], *(o.tolist() for o in origins(item)), strict=True):
+            if segments := item["face"].outline(code, text):
+                matrix = then(tuple(v / face.units for v in item["m"][:4]) + (x, y), self.matrix)
+                self.paint(coverage([p for p, _ in polygons(segments, matrix)], False, width, height), color, item["alpha"], item["clip"])
+
     def image(self, pixels: np.ndarray, matrix: Matrix, clip: tuple) -> None:
         """An image over the unit square of its matrix, each pixel from the nearest sample, by its own alpha."""
         a, b, c, d, e, f = then(matrix, self.matrix)
@@ -192,6 +204,8 @@ def render(doc: Document, page: Page, scale: float = 1.0, turn: int = 0) -> np.n
     for item in Interpreter(doc).runs(page, True):
         if item["kind"] == "path" and item["paint"]:
             canvas.path(item)
+        elif item["kind"] == "run":
+            canvas.run(item)
         elif item["kind"] == "image":
             try:
                 canvas.image(images.rgba(doc, item["stream"]), item["m"], item["clip"])

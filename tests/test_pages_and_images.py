@@ -9,6 +9,7 @@ from quire.sources.pdf import jpeg, raster, signatures
 from quire.sources.pdf.cos import PdfError
 from quire.sources.pdf.document import Document
 from quire.sources.pdf.fonts import standard_widths
+from quire.sources.pdf.truetype import TrueType
 from quire.sources.pdf.write import Session
 
 
@@ -149,6 +150,21 @@ def test_progressive_jpeg(kind):
     assert np.abs(jpeg.decode(progressive(pixels))[..., 0].astype(int) - pixels).max() <= 1
 
 
+def test_truetype_curves():
+    """The area between a curve and its chord is two thirds of the triangle with the control point."""
+    glyphs = [b"", M.shape([(0, 0, True), (0, 1000, False), (1000, 1000, True)]), M.shape([(0, 0, False), (0, 1000, False), (1000, 1000, False), (1000, 0, False)]), M.shape([(0, 0, True)])[:9]]
+    face = TrueType(M.truetype(glyphs, {65: 1, 0x1234: 2}))
+    assert face.glyph_of(65, "A") == 1 and face.glyph_of(1, "\u1234") == 2 and face.glyph_of(66, "B") == 0
+
+    def area(glyph):
+        _, _, share = raster.coverage([p for p, _ in raster.polygons(face.outline(glyph), (0.2, 0, 0, 0.2, 0, 0))], False, 200, 200)
+        return share.sum() / 200**2
+
+    assert area(1) == pytest.approx(1 / 3, abs=0.01)
+    assert area(2) == pytest.approx(0.5 + 4 / 12, abs=0.01)  # a diamond between middles and four curves over its sides
+    assert face.outline(0) == face.outline(3) == face.outline(99) == []
+
+
 def test_signature_blocks():
     modulus, private = keys = M.key_pair()
     data = b"signed"
