@@ -716,3 +716,16 @@ def pdf_raster_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = pdf_table(M.files(table(spark, sf_dir, "nation").select("n_nationkey", F.upper("n_name").alias("n_name")), make, "n_nationkey"), "raster")
     return found.select(F.col("doc").cast("int").alias("n_nationkey"), F.regexp_count(F.hex("rgba"), F.lit("000000FF")).cast("long").alias("black"))
+
+
+@query("pdf_free_text", """SELECT n_nationkey, n_name AS text, round(12.0::DOUBLE, 4) AS x, round(5 + greatest(n_nationkey + 2 - 12, 1) / 2 + 2.4::DOUBLE, 4) AS y FROM nation""")
+def pdf_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text put into boxes of several heights: where its line stands."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_nationkey").cast("string").alias("path"))
+    files = M.files(nation, lambda r: M.classic(M.paged([M.stream(b"")])), "n_nationkey")
+    box = F.array(F.lit(10.0), F.lit(5.0), F.lit(200.0), 7.0 + F.col("n_nationkey"))
+    log = nation.select("path", F.lit(0).alias("seq"), F.lit("free_text").alias("action"), F.to_json(F.struct(F.lit(0).alias("at"), box.alias("rect"), F.col("n_name").alias("text"))).alias("arguments"))
+    glyphs = pdf_table(editing.edit_files(files, log).where("error IS NULL"), "glyphs", include_annotations=True)
+    shown = glyphs.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("seq", "uni", "m"))).alias("g"))
+    text = F.array_join(F.transform("g", lambda x: x["uni"]), "")
+    return shown.select(F.col("doc").cast("int").alias("n_nationkey"), text.alias("text"), F.round(F.col("g")[0]["m"]["e"], 4).alias("x"), F.round(F.col("g")[0]["m"]["f"], 4).alias("y"))

@@ -131,6 +131,11 @@ def _mark(kind: str, rect: list[float], color: list[float], opacity: float) -> t
     return paint.encode(), {"ExtGState": {"G": {"ca": opacity, "CA": opacity}}}
 
 
+def _baseline(height: float, size: float) -> float:
+    """Where a line of text stands in a box: about its middle, and above the lower side even if it is too low."""
+    return max(height - size, 1.0) / 2 + 0.2 * size
+
+
 class Session:
     """Edits on one document: pending objects over the base, a journal, and saving as an appended revision."""
 
@@ -241,7 +246,7 @@ class Session:
         """A line of text in a rectangle; cover paints it white first, which hides but does not remove what is below."""
         x0, y0, x1, y1 = map(float, rect)
         raw = text.encode("latin-1", "replace")
-        paint = (f"1 1 1 rg {x0} {y0} {x1 - x0} {y1 - y0} re f " if cover else "") + f"BT /Helv {size} Tf 0 g {x0 + 2} {y0 + (y1 - y0 - size) / 2 + size * 0.2} Td "
+        paint = (f"1 1 1 rg {x0} {y0} {x1 - x0} {y1 - y0} re f " if cover else "") + f"BT /Helv {size} Tf 0 g {x0 + 2} {y0 + _baseline(y1 - y0, size)} Td "
         self._annotate(at, {"Subtype": Name("FreeText"), "Rect": [x0, y0, x1, y1], "Contents": text.encode(), "DA": b"/Helv %g Tf 0 g" % size}, paint.encode() + serialise(raw) + b" Tj ET")
 
     def _annotation(self, at: int, index: int) -> tuple[Document, Any, list, dict[str, Any]]:
@@ -314,7 +319,7 @@ class Session:
         width, height = abs(rect[2] - rect[0]), abs(rect[3] - rect[1])
         size = min(max(0.7 * height, 6.0), 18.0)
         shown = value.decode("utf-8", "replace").encode("latin-1", "replace")
-        paint = b"/Tx BMC BT /Helv %g Tf 0 g 2 %g Td " % (size, (height - size) / 2 + 0.2 * size) + serialise(shown) + b" Tj ET EMC"
+        paint = b"/Tx BMC BT /Helv %g Tf 0 g 2 %g Td " % (size, _baseline(height, size)) + serialise(shown) + b" Tj ET EMC"
         return self.new(), Stream({"Type": Name("XObject"), "Subtype": Name("Form"), "BBox": [0.0, 0.0, width, height], "Resources": {"Font": HELVETICA}}, paint)
 
     def find_field(self, name: str) -> tuple[Ref, dict[str, Any]]:
