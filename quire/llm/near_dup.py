@@ -328,7 +328,7 @@ def deal(mixed: DataFrame, weight: Column, most: int) -> DataFrame:
     """
     counted = mixed.withColumn("_w", weight).groupBy("key", "root").agg(F.sum("_w").alias("_w"))
     sizes = counted.groupBy("key").agg(F.max_by("root", F.struct("_w", -F.col("root"))).alias("_top"), F.ceil(F.sum("_w") / most).cast("int").alias("_own"), F.greatest(F.lit(1), F.ceil((F.sum("_w") - F.max("_w")) / most)).cast("int").alias("_visit"))
-    rows = mixed.join(sizes, "key").withColumn("largest", F.col("root") == F.col("_top")).drop("_top")
+    rows = mixed.join(small(stage(sizes, "near-sizes", True)), "key").withColumn("largest", F.col("root") == F.col("_top")).drop("_top")
     place, part = F.pmod(F.xxhash64("node"), F.col("_own")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("_visit")).cast("int")
     owners = rows.select("*", F.lit(False).alias("visits"), place.alias("i"), F.explode(F.sequence(F.lit(0), F.col("_visit") - 1)).alias("j"))
     visitors = rows.where("NOT largest").select("*", F.lit(True).alias("visits"), F.explode(F.sequence(F.lit(0), F.col("_own") - 1)).alias("i"), part.alias("j")).select(owners.columns)
