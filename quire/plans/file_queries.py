@@ -396,7 +396,7 @@ def pdf_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(files, "n_nationkey").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "text")
 
 
-#: Names of characters in encodings and what they stand for.
+#: Names of characters in encodings and what they stand for.
 NAMED = {"eacute": "é", "Agrave": "À", "ccedilla": "ç", "ntilde": "ñ", "space": " ", "quotesingle": "'", "endash": "–", "seven": "7", "uni20AC": "€", "u1F600": "😀", "odieresis": "ö", "scaron": "š", "braceleft": "{", "fi": "fi"}
 SQL_NAMED = ", ".join(f"({k}, '{c.replace(chr(39), 2 * chr(39))}')" for k, c in enumerate(NAMED.values()))
 
