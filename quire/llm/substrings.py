@@ -31,8 +31,8 @@ from quire.llm.common import small, stage, trimmed
 LENGTH, GRAM = 200, 51
 #: Classes of one anchor that one task may hold, about 300 bytes each.
 HOT = 100_000
-#: Bytes that a task sorts at once.
-CHUNK = 1 << 19
+#: Bytes that a task sorts at once, and strings of a text that are cut into runs at once.
+CHUNK, PIECE = 1 << 19, 1 << 19
 
 _random = np.random.default_rng(20240301)
 _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -69,8 +69,19 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, hash of the whole run, first string, number of strings, anchor's offset) of each run."""
+def runs(data: bytes) -> list[np.ndarray]:
+    """(anchor hash, hash of the whole run, first string, number of strings, anchor's offset) of each run.
+
+    Strings are taken PIECE at a time, so memory does not follow the text; a run that a piece cuts is two runs.
+    """
+    found = []
+    for begin in range(0, max(len(data) - LENGTH + 1, 1), PIECE):
+        anchor, whole, first, count, offset = _runs(data[begin : begin + PIECE + LENGTH - 1])
+        found.append((anchor, whole, first + np.int32(begin), count, offset))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+def _runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if n < LENGTH:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.int32),) * 3

@@ -482,6 +482,20 @@ def test_longest_previous_factors(seed):
     assert all((j < 0) == (n == 0) and (n == 0 or j < i and common(i, j) == n) for i, (n, j) in enumerate(zip(found, earlier, strict=True)))
 
 
+@pytest.mark.parametrize("piece", [1, 7, 250, 1000])
+def test_runs_do_not_depend_on_pieces(monkeypatch, piece):
+    data = (prose(5, 200) + "z" * 500 + prose(6, 100)).encode()
+
+    def strings():
+        anchor, _, first, count, offset = substrings.runs(data)
+        return sorted((f + k, a, f + o) for a, f, c, o in zip(anchor.tolist(), first.tolist(), count.tolist(), offset.tolist(), strict=True) for k in range(c))
+
+    whole = strings()
+    assert [x[0] for x in whole] == list(range(len(data) - 199)) and len(substrings.runs(b"x" * 199)[0]) == 0
+    monkeypatch.setattr(substrings, "PIECE", piece)
+    assert strings() == whole
+
+
 def test_suffix_ranks():
     data = np.frombuffer(b"abracadabra" * 30 + b"zabracadabra", np.uint8)
     rank, text = substrings.suffix_ranks(data, 20), data.tobytes()
