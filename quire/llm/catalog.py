@@ -62,4 +62,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html, op2_toxicity, op3_chat, op4_quality, op5_lines, op6_warc, op7_decontaminate, op8_near_dup, op9_substrings, op10_mixing)}
-ORACLES = {"op3_chat": chat.ORACLE, "op5_lines": lines.ORACLE, "op6_warc": warc.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES = {"op3_chat": chat.ORACLE, "op5_lines": lines.ORACLE, "op6_warc": warc.ORACLE, "op8_near_dup": near_dup.ORACLE, "op9_substrings": substrings.ORACLE, "op10_mixing": mixing.ORACLE}

@@ -416,3 +416,19 @@ def _one_of_each(docs: DataFrame) -> DataFrame:
         return rows
     again = small(again)
     return rows.join(again, tie == F.col("_again"), "left_anti").union(rows.join(again, tie == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+#: All pairs that share a shingle, and what can be reached over links: for tables of some thousand documents.
+ORACLE = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM texts),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sets p ON p.doc_id = x JOIN sets q ON q.doc_id = y WHERE 100 * c >= 75 * (len(p.s) + len(q.s) - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT reached.doc_id, edges.y FROM reached JOIN edges ON edges.x = reached.other)
+SELECT sets.doc_id, CAST(any_value(len(s)) AS BIGINT) AS n_shingles, min(other) AS component_id, sets.doc_id = min(other) AS kept
+FROM sets JOIN reached ON reached.doc_id = sets.doc_id GROUP BY sets.doc_id
+"""

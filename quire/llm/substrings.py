@@ -367,3 +367,20 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, carry: tuple[str, .
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry))
     return joined.mapInArrow(_cut_out(as_text), f"{schema}, n_bytes long, spans array<struct<start:int,end:int>>, kept {'string' if as_text else 'binary'}")
+
+
+#: All strings of 200 bytes, as 400 hexadecimal digits: for tables of some thousand documents. Every place goes.
+ORACLE = r"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (SELECT doc_id, unnest(range(0, greatest(CAST(length(h) / 2 AS BIGINT) - 199, 0))) AS p FROM texts),
+strings AS (SELECT doc_id, p, hash(substr(h, CAST(2 * p + 1 AS BIGINT), 400)) AS k FROM places JOIN texts USING (doc_id)),
+repeated AS (SELECT doc_id, p FROM strings WHERE k IN (SELECT k FROM strings GROUP BY k HAVING count(*) > 1)),
+marked AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM repeated),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 200 AS b FROM runs GROUP BY doc_id, run),
+pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM spans),
+cut AS (SELECT doc_id, count(*) AS n, sum(b - a) AS gone, max(b) AS last, string_agg(substr(h, CAST(2 * from_ + 1 AS BIGINT), CAST(2 * (a - from_) AS BIGINT)), '' ORDER BY a) AS kept FROM pieces JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN cut.doc_id IS NULL THEN h ELSE kept || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)
+"""
