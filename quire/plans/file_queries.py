@@ -30,6 +30,11 @@ def _turns(spark: SparkSession, sf_dir: str, text: str = "text") -> DataFrame:
     return M.gathered(rows.select("conv_id", "turn", "text", "role"), "conv_id", ["turn"], "text", "role")
 
 
+def _parts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, dealt out: their rows are so short that a few tasks scan them all, and making and reading files takes a millisecond each."""
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 def _ascii(column: str = "text") -> str:
     return f"regexp_replace(coalesce({column}, ''), '[^\\\\x20-\\\\x7E\\n]', '?')"
 
@@ -196,9 +201,9 @@ def pdf_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = M.files(rows, lambda r: M.classic(M.paged([M.stream(b"")]) | {101 + k: body(k, x) for k, x in enumerate(r["rows"])}), "l_orderkey")
     value = F.col("value")
     flag, number, first = (F.regexp_extract(value, p, 1) for p in (r"/F ?/([A-Za-z#0-9]+)", r"/N (\d+)", r"/L ?\[(\w+)"))
-    objects = pdf_table(files, "objects").where("num > 100").select("doc", "num", F.concat_ws("|", F.replace(flag, F.lit("#20"), F.lit(" ")), number, first).alias("fields"))
-    edges = pdf_table(files, "edges").where("src > 100").select("doc", F.col("src").alias("num"), F.col("dst").alias("points_to"))
-    return objects.join(edges, ["doc", "num"], "left").select(F.col("doc").cast("long").alias("l_orderkey"), "num", "fields", "points_to")
+    fields = F.concat_ws("|", F.replace(flag, F.lit("#20"), F.lit(" ")), number, first)
+    found = pdf_table(files, "objects").where("num > 100")
+    return found.select(F.col("doc").cast("long").alias("l_orderkey"), "num", fields.alias("fields"), F.explode_outer("refs.dst").alias("points_to"))
 
 
 SQL_NAMES = "SELECT s_suppkey, s_name AS text FROM supplier"
@@ -613,7 +618,7 @@ def pdf_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         objects[6] = M.stream(b"\x80\xff", "/Subtype /Image /Width 1 /Height 2 /BitsPerComponent 8 /ColorSpace /DeviceGray")
         return M.classic(objects)
 
-    found = pdf_table(M.files(table(spark, sf_dir, "part").select("p_partkey", "p_size"), make, "p_partkey"), "images")
+    found = pdf_table(M.files(_parts_table(spark, sf_dir), make, "p_partkey"), "images")
     return found.select(F.col("doc").cast("long").alias("p_partkey"), F.md5(F.hex("rgba")).alias("pixels"), "width", "height")
 
 
@@ -629,7 +634,7 @@ def pdf_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         objects[5] = M.stream(base64.a85encode(data) + b"~>", f"/Subtype /Image /Width {wide} /Height 10 /BitsPerComponent 8 /ColorSpace /DeviceGray /Filter [/ASCII85Decode /DCTDecode]")
         return M.classic(objects)
 
-    found = pdf_table(M.files(table(spark, sf_dir, "part").select("p_partkey", "p_size"), make, "p_partkey"), "images")
+    found = pdf_table(M.files(_parts_table(spark, sf_dir), make, "p_partkey"), "images")
     return found.select(F.col("doc").cast("long").alias("p_partkey"), F.md5(F.hex("rgba")).alias("pixels"), "width")
 
 
@@ -645,7 +650,7 @@ def pdf_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
         objects[5] = M.stream(b"\x00\xff\x00", "/Subtype /Image /Width 1 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceRGB")
         return M.classic(objects)
 
-    found = pdf_table(M.files(table(spark, sf_dir, "part").select("p_partkey", "p_size"), make, "p_partkey"), "raster")
+    found = pdf_table(M.files(_parts_table(spark, sf_dir), make, "p_partkey"), "raster")
     counts = {name: F.regexp_count(F.hex("rgba"), F.lit(f"{color}FF")).cast("long").alias(name) for name, color in (("red", "FF0000"), ("line", "33CC66"), ("green", "00FF00"))}
     return found.select(F.col("doc").cast("long").alias("p_partkey"), "width", *counts.values())
 
@@ -660,7 +665,7 @@ def pdf_path_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
         shown = f"2 0 0 2 0 0 cm {'0 0 99 99 re W* n ' * (row['p_partkey'] % 3)}{size} 1 m {size + 10} 1 l {size + 12} 5 {size} 9 v h B*"
         return M.classic(M.paged([M.stream(shown.encode())]))
 
-    found = pdf_table(M.files(table(spark, sf_dir, "part").select("p_partkey", "p_size"), make, "p_partkey"), "paths").where("paint = 'fs' AND rule = 'evenodd'")
+    found = pdf_table(M.files(_parts_table(spark, sf_dir), make, "p_partkey"), "paths").where("paint = 'fs' AND rule = 'evenodd'")
     rows = found.select("doc", "clips", F.posexplode("segments").alias("k", "s"))
     return rows.select(F.col("doc").cast("long").alias("p_partkey"), "k", "s.op", F.size("s.at").alias("n"), F.get("s.at", F.lit(0)).alias("x"), "clips")
 

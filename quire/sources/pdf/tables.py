@@ -27,7 +27,7 @@ SCHEMAS = {
     "files": f"doc string, length bigint, n_objects int, n_pages int, next_free int, revisions int, rebuilt boolean, info map<string,string>, {ERROR}",
     "xref": f"doc string, section_ord int, num int, gen int, kind string, offset bigint, idx int, {ERROR}",
     "trailer": f"doc string, section_ord int, key string, value string, {ERROR}",
-    "objects": f"doc string, num int, gen int, kind string, is_stream boolean, raw_len bigint, value string, {ERROR}",
+    "objects": f"doc string, num int, gen int, kind string, is_stream boolean, raw_len bigint, value string, refs array<struct<key_path:string,dst:int>>, {ERROR}",
     "edges": f"doc string, src int, key_path string, dst int, {ERROR}",
     "pages": f"doc string, page int, obj_num int, media_box array<double>, rotate int, {ERROR}",
     "instructions": f"doc string, page int, seq bigint, op string, operands string, {ERROR}",
@@ -82,7 +82,7 @@ def _objects(doc: Document, **_: Any) -> Iterator[dict]:
     for num in sorted(doc.xref):
         value = doc.resolve(num)
         body = value.dict if isinstance(value, Stream) else value
-        yield {"num": num, "gen": doc.xref[num][2], "kind": str(body.get("Type", "")) if isinstance(body, dict) else type(body).__name__, "is_stream": isinstance(value, Stream), "raw_len": len(value.raw) if isinstance(value, Stream) else None, "value": serialise(body).decode("latin-1")}
+        yield {"num": num, "gen": doc.xref[num][2], "kind": str(body.get("Type", "")) if isinstance(body, dict) else type(body).__name__, "is_stream": isinstance(value, Stream), "raw_len": len(value.raw) if isinstance(value, Stream) else None, "value": serialise(body).decode("latin-1"), "refs": [{"key_path": path, "dst": dst} for path, dst in edges(body)]}
 
 
 def _edges(doc: Document, **_: Any) -> Iterator[dict]:
@@ -351,6 +351,16 @@ def pdf_tables(files: DataFrame, names: tuple[str, ...]) -> dict[str, DataFrame]
 PAGED, LARGE_FILE, PAGES_A_TASK = frozenset(("instructions", "glyphs", "page_text", "runs", "items", "paths", "raster", "images", "summary")), 1 << 20, 100
 
 
+#: Rows are sent on in batches of about so many bytes, each row counted with its long columns and so much for the others.
+BATCH_BYTES, ROW_BYTES = 2 << 20, 200
+LONG: dict[str, Callable[[dict], int]] = {
+    "runs": lambda row: 64 * sum(len(x["xs"]) for x in row.get("runs") or ()),
+    "paths": lambda row: 200 * len(row.get("segments") or ()),
+    "fields": lambda row: 200 * len(row.get("options") or ()),
+    "objects": lambda row: len(row.get("value") or "") + 100 * len(row.get("refs") or ()),
+} | {n: lambda row, c=c: len(row.get(c) or "") for n, c in (("trailer", "value"), ("instructions", "operands"), ("page_text", "text"), ("summary", "text"), ("raster", "rgba"), ("images", "rgba"))}
+
+
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each PAGES_A_TASK pages of a file; what cannot be opened is one range, and an error there."""
     for batch in batches:
@@ -385,9 +395,10 @@ def pdf_table(files: DataFrame, name: str, **options: Any) -> DataFrame:
 def _read(files: DataFrame, name: str, options: dict[str, Any]) -> DataFrame:
     schema = SCHEMAS[name]
     target = to_arrow_schema(StructType.fromDDL(schema))
-    ranged = "first_page" in files.columns
+    ranged, weight = "first_page" in files.columns, LONG.get(name, lambda _: 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0  # rows of small files go together
         for batch in batches:
             for k in range(batch.num_rows):
                 password = batch.column("password")[k].as_py()
@@ -396,14 +407,14 @@ def _read(files: DataFrame, name: str, options: dict[str, Any]) -> DataFrame:
                 if name == "glyphs":
                     yield from _glyph_batches(batch.column("path")[k].as_py(), batch.column("content")[k].as_py() or b"", password, target, **own)
                     continue
-                held = []
                 for row in rows(name, batch.column("path")[k].as_py(), batch.column("content")[k].as_py() or b"", password, **own):
                     held.append(row)
-                    if len(held) == 10_000:
+                    size += ROW_BYTES + weight(row)
+                    if size >= BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(held, target)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, target)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, target)
 
     return files.mapInArrow(run, schema)
 

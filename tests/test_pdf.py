@@ -1,6 +1,9 @@
+import base64
 import hashlib
+import os
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from quire.operators import text as T
@@ -135,3 +138,51 @@ def test_forms_and_outline():
     assert found == {"name": ("text", "new"), "ok": ("checkbox", "true")}
     assert {(r["title"], r["depth"], r["page"]) for r in rows("outline", "d", session.save())} == {("First", 0, 1), ("Last", 0, None), ("Inner", 1, 0)}
     assert Stream() == Stream()
+
+
+def test_tokens_with_and_without_escapes():
+    """The plain form of a token and its rarer forms mean the same."""
+    assert Parser(b"<< /A#42 1 /C [ 1 0 R -0.5 +5 .5 4. ] % note\n /D <</E (x)>> /F<4a4B> >>").object() == {"AB": 1, "C": [Ref(1, 0), -0.5, 5, 0.5, 4.0], "D": {"E": b"x"}, "F": b"JK"}
+    assert instructions(b"1 0 R") == [("R", [1, 0])]
+    with pytest.raises(PdfError):
+        Parser(b"<< /A >>").object()
+    with pytest.raises(PdfError):
+        Parser(b"[" * 300).object()
+
+
+def test_rows_of_small_files_share_batches(spark, monkeypatch):
+    """References stand beside the objects, and a batch holds the rows of many files."""
+    from quire.plans import made_files
+    from quire.sources.pdf import tables
+
+    data = made_files.classic(made_files.paged([made_files.stream(made_files.simple_text("x"))] * 3))
+    refs = [(r["num"], x["key_path"], x["dst"]) for r in rows("objects", "x", data) for x in r["refs"]]
+    assert refs and refs == [(r["src"], r["key_path"], r["dst"]) for r in rows("edges", "x", data)]
+    files = spark.createDataFrame([(str(k), data) for k in range(50)], "path string, content binary").coalesce(1)
+    sizes = tables._read(files.selectExpr("path", "content", "CAST(NULL AS STRING) AS password"), "objects", {}).select("num")
+    assert sizes.count() == 50 * len(list(rows("objects", "x", data)))
+    sent = []
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, run, schema: sent.append(run) or self)
+    tables._read(files.selectExpr("path", "content", "CAST(NULL AS STRING) AS password"), "objects", {})
+    batch = pa.RecordBatch.from_pylist([{"path": str(k), "content": data, "password": None} for k in range(50)])
+    assert [x.num_rows for x in sent[0](iter([batch]))] == [sizes.count()]
+
+
+def test_few_rows_are_dealt_to_all_tasks(spark):
+    """Files of a table of short rows are made and read by as many tasks as there are shuffle partitions, not by the one that scans it."""
+    from quire.plans import file_queries, made_files
+
+    few = made_files.gathered(spark.range(40).selectExpr("id % 20 AS k", "id"), "k", ["id"])
+    assert few.rdd.getNumPartitions() == 4 and few.count() == 20
+    if os.path.isdir("/root/testdata/sf0.001"):
+        assert file_queries._parts_table(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_ascii85_in_one_go():
+    raw = bytes(range(256)) * 3
+    for n in range(20):
+        data = base64.a85encode(raw[:n] + raw[7:700])
+        assert filters.ascii85(data + b"~>") == raw[:n] + raw[7:700]
+    assert filters.ascii85(b"zz5l") == bytes(8) + b"A" and filters.ascii85(b"!") == b""
+    with pytest.raises(PdfError):
+        filters.ascii85(b"abc\x7f")
