@@ -198,3 +198,19 @@ def test_pending_pages_are_not_written_to_be_read():
     session.insert_blank(1)
     assert [p.ref for p in Document(session.save()).pages()] == session.page_refs() and len(session.page_refs()) == 5
     assert [p.ref.num for p in session.doc.pages()] == [10, 12, 14, 16]
+
+
+def test_upright_boxes_cover_as_other_shapes():
+    """A box by itself takes a short way; the same box beside an empty shape takes the general one."""
+    rng = np.random.default_rng(5)
+    for k in range(200):
+        x0, x1, y0, y1 = rng.integers(-12, 60, 4) / 4 if k % 2 else rng.uniform(-3, 15, 4)
+        box = np.roll(np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)]), k, axis=0)
+        short, known = (raster.coverage(p, False, 12, 11) for p in ([box], [box, box[:1]]))
+        assert (short is None) == (known is None)
+        assert short is None or short[:2] == known[:2] and np.array_equal(short[2], known[2])
+
+
+def test_code_tables_are_made_once():
+    counts = bytes([0, 1, 5]) + bytes(13)
+    assert jpeg.huffman(counts, bytes(range(6))) is jpeg.huffman(counts, bytes(range(6)))
