@@ -20,6 +20,14 @@ def fold_text(text: str) -> str:
     return "".join(map(fold_char, text))
 
 
+class Folds(dict):
+    """For str.translate(): the fold of each character that is met."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = found = fold_char(chr(code))
+        return found
+
+
 @functools.cache
 def translation() -> tuple[str, str]:
     """All characters that the fold changes, and what they become."""

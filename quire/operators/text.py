@@ -1,13 +1,16 @@
-"""Text of pages: lines from glyphs, search with match boxes, hit tests, selection. All in built-in functions."""
+"""Text of pages: lines from glyphs, search with match boxes, hit tests, selection. All in built-in functions but boxes_in_glyphs()."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.fold import fold, fold_text
+from quire.functions.fold import Folds, fold, fold_text
 
 #: Vertical steps over this share of the taller glyph start a new line.
 LINE_BREAK = 0.5
@@ -133,6 +136,88 @@ def _match_box(runs: Column, begins: Column, start: Column, length: int) -> Colu
     return _bind(low, lambda at: _bind(F.zip_with(F.slice(runs, at + 1, high - at + 1), F.slice(begins, at + 1, high - at + 1), part), whole))
 
 
+def _places(text: Column, needle: str) -> Column:
+    """Where a folded text has the needle."""
+    every = _running(F.transform(F.split(text, f"(?={_quoted(needle)})"), F.char_length))
+    return F.when(F.startswith(text, F.lit(needle)), every).when(F.contains(text, F.lit(needle)), F.slice(every, 2, F.size(every))).otherwise(F.array().cast("array<int>"))
+
+
+#: Glyphs that one task makes, about.
+GLYPHS_A_TASK = 500_000
+
+
+def dealt(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Pages dealt out by their keys before they become glyph rows: what has to have a page's glyphs in one task shuffles none."""
+    glyphs = pages.agg(F.coalesce(F.sum(F.char_length(text)), F.lit(0))).first()[0]
+    least = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(max(least, -(-glyphs // GLYPHS_A_TASK)), *keys)
+
+
+def boxes_in_glyphs(glyphs: DataFrame, query: str, keys: list[str], together: bool = False) -> DataFrame:
+    """keys, pos and box of every occurrence of a query in glyph rows (as chars() takes them): what match_starts() and
+    match_boxes() say of page_text() and chars(). Rows go from Spark to a kernel once, in any order, and are neither
+    sorted nor gathered there. together: every page's glyphs lie in one partition already (see dealt())."""
+    needle = fold_text(query)
+    columns = [*keys, "seq", "uni", "x", "y", "d"]
+    if not needle:
+        return glyphs.select(*keys, F.lit(0).alias("pos"), *(F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1"))).limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            yield from _boxes_in(pa.Table.from_batches(held), needle, keys)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in glyphs.select(*keys).schema)
+    rows = glyphs.select(*columns).where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, "uni"]))
+    return (rows if together else rows.repartition(*keys)).mapInArrow(run, f"{kinds}, pos int, x0 double, y0 double, x1 double, y1 double")
+
+
+def _page_starts(glyphs: pa.Table, keys: list[str]) -> np.ndarray:
+    first = np.zeros(glyphs.num_rows, bool)
+    first[0] = True
+    for key in keys:
+        column = glyphs[key].combine_chunks()
+        first[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return first
+
+
+def _boxes_in(glyphs: pa.Table, needle: str, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The matches of whole pages: lines break as in page_text(), and characters are numbered through all pages."""
+    first, seq = _page_starts(glyphs, keys), glyphs["seq"].to_numpy()
+    if not ((seq[1:] > seq[:-1]) | first[1:]).all() or glyphs.group_by(keys).aggregate([]).num_rows != first.sum():
+        glyphs = glyphs.sort_by([(c, "ascending") for c in (*keys, "seq")])
+        first = _page_starts(glyphs, keys)
+    x, y, d = (glyphs[c].to_numpy() for c in ("x", "y", "d"))
+    height = np.fmax(np.abs(d), 1.0)
+    far = np.zeros(len(x), bool)
+    far[1:] = ~first[1:] & (np.abs(y[1:] - y[:-1]) > np.fmax(height[1:], height[:-1]) * LINE_BREAK)
+    uni = glyphs["uni"].combine_chunks()
+    pieces = pc.if_else(pa.array(far), pc.binary_join_element_wise("\n", uni, ""), uni)
+    sizes = pc.utf8_length(uni).to_numpy() + far
+    begin = np.cumsum(sizes) - sizes
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), "")[0].as_py().translate(Folds())
+    page = np.flatnonzero(first)
+    limits = [*begin[page].tolist(), len(text)]
+    hits = []
+    for low, high in zip(limits, limits[1:], strict=False):
+        at = text.find(needle, low, high)
+        while at >= 0:
+            hits.append(at)
+            at = text.find(needle, at + 1, high)
+    if not hits:
+        return
+    hits = np.array(hits)
+    own = np.searchsorted(limits[:-1], hits, "right") - 1
+    places = hits[:, None] + np.arange(len(needle))
+    glyph = np.searchsorted(begin, places, "right") - 1
+    broken = far[glyph] & (places == begin[glyph])  # an inserted line break has no box
+    x0, y0, x1, y1 = (np.where(broken, np.nan, v[glyph]) for v in (x, y, x + 0.6 * height, y + 0.8 * height))
+    boxes = [least.reduce(v, axis=1) for least, v in ((np.fmin, x0), (np.fmin, y0), (np.fmax, x1), (np.fmax, y1))]
+    out = glyphs.select(keys).take(pa.array(page[own]))
+    for name, values in zip(("pos", "x0", "y0", "x1", "y1"), ((hits - np.array(limits)[own]).astype(np.int32), *boxes), strict=True):
+        out = out.append_column(name, pa.array(values))
+    yield from out.filter(pa.array(~np.isnan(boxes[0]))).to_batches()
+
+
 def boxes_of_matches(pages: DataFrame, query: str, keys: list[str], runs: str = "runs") -> DataFrame:
     """keys, pos and box of every occurrence of a query in pages that hold runs; overlapping ones count, matches of line
     breaks alone have no box and go. What match_starts() and match_boxes() say of the same glyphs, page by page."""
@@ -141,17 +226,12 @@ def boxes_of_matches(pages: DataFrame, query: str, keys: list[str], runs: str =
     if not needle:
         return pages.select(*keys, F.lit(0).alias("pos"), *(F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1"))).limit(0)
 
-    def places(text: Column) -> Column:
-        pieces = F.split(text, f"(?={_quoted(needle)})")
-        every = _running(F.transform(pieces, F.char_length))
-        return F.when(F.startswith(text, F.lit(needle)), every).when(F.contains(text, F.lit(needle)), F.slice(every, 2, F.size(every))).otherwise(F.array().cast("array<int>"))
-
     def begins(own: Column) -> Column:
         broken = F.transform(own, lambda _, k: _broken(own, k).cast("int"))
         return _bind(broken, lambda b: F.zip_with(_running(F.zip_with(own, b, lambda r, n: F.size(r["xs"]) + n)), b, lambda n, m: n + m))
 
     def found(own: Column) -> Column:
-        return _bind(F.struct(begins(own).alias("begins"), places(fold(_joined(own))).alias("places")), lambda z: F.transform(z["places"], lambda start: _match_box(own, z["begins"], start, length)))
+        return _bind(F.struct(begins(own).alias("begins"), _places(fold(_joined(own)), needle).alias("places")), lambda z: F.transform(z["places"], lambda start: _match_box(own, z["begins"], start, length)))
 
     return pages.select(*keys, F.inline(_bind(F.col(runs), found))).where("x0 IS NOT NULL")
 
@@ -225,6 +305,6 @@ def next_match(pages_with_matches: DataFrame, key: str, order: str) -> DataFrame
 
 def synthetic_glyphs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """A glyph row for each character but line breaks: x = 72 + 7.2 column, y = 720 - 14 line, 12 high."""
-    lines = docs.select(key, F.posexplode(F.split("text", "\n")).alias("line", "piece"))
-    glyphs = lines.select(key, "line", F.posexplode(F.filter(F.split("piece", ""), lambda c: c != "")).alias("col", "uni"))
+    lines = docs.select(key, F.posexplode(F.split("text", "\n")).alias("line", "piece")).where("piece <> ''")  # which splits into one empty character
+    glyphs = lines.select(key, "line", F.posexplode(F.split("piece", "")).alias("col", "uni"))
     return glyphs.select(key, (F.col("line").cast("long") * (1 << 24) + F.col("col")).alias("seq"), "uni", (72 + 7.2 * F.col("col")).alias("x"), (F.lit(720.0) - 14.0 * F.col("line")).alias("y"), F.lit(12.0).alias("d"))

@@ -82,10 +82,9 @@ def match_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("glyph_row_boxes", SQL_MATCH_BOXES)
 def glyph_row_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same boxes from a row a glyph."""
-    glyphs = T.synthetic_glyphs(_documents(spark, sf_dir))
-    pages = T.page_text(glyphs, ["doc_id"])
-    found = T.match_boxes(T.chars(glyphs, ["doc_id"]), T.match_starts(pages, "tion", ["doc_id"]), 4, ["doc_id"])
+    """The same boxes from a row a glyph; pages are dealt out before they become glyphs."""
+    glyphs = T.synthetic_glyphs(T.dealt(_documents(spark, sf_dir), ["doc_id"]))
+    found = T.boxes_in_glyphs(glyphs, "tion", ["doc_id"], together=True)
     return found.select("doc_id", F.col("pos").cast("long").alias("pos"), *(F.round(c, 3).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 

@@ -42,3 +42,16 @@ def test_undo_redo(spark):
 def test_runs(spark):
     rows = spark.createDataFrame([(n,) for n in [*range(3, 40), 41, *range(64, 96), 100]], "n long")
     assert sorted(map(tuple, R.runs_of_numbers(rows, "n", 8).collect())) == [(3, 37), (41, 1), (64, 32), (100, 1)]
+
+
+def test_boxes_in_glyphs(spark):
+    """In any order of rows, as page_text(), chars() and their matches have it; pages dealt out beforehand shuffle no glyph."""
+    rows = [(p, k, c, float(k), 100.0 - 30 * (k // 5), 10.0) for p in (1, 2) for k, c in enumerate(["t", "i", "ON", None, "T", "", "ti", "o", "n", "tió"])]
+    glyphs = spark.createDataFrame(rows[::-1], "id int, seq long, uni string, x double, y double, d double").repartition(3)
+    for query in ("tion", "ti", "o", "\n"):
+        known = T.match_boxes(T.chars(glyphs, ["id"]), T.match_starts(T.page_text(glyphs, ["id"]), query, ["id"]), len(query), ["id"])
+        assert sorted(map(tuple, T.boxes_in_glyphs(glyphs, query, ["id"]).collect())) == sorted(map(tuple, known.collect()))
+    pages = T.dealt(spark.createDataFrame([(1, "nation\nTion"), (2, "")], "doc_id int, text string"), ["doc_id"])
+    found = T.boxes_in_glyphs(T.synthetic_glyphs(pages), "tion", ["doc_id"], together=True)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(r["pos"] for r in found.collect()) == [2, 7]
