@@ -194,8 +194,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     chosen = named.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TRAIN_BYTES).join(F.broadcast(chosen), "_id")
     rows = rows.groupBy("_id", "_toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # one row a label, however often its id is repeated
-    found = sorted(rows.toLocalIterator(), key=lambda r: r["_id"])
-    return train([r["text"] for r in found], [int(r["_toxic"] > 0) for r in found])
+
+    @trimmed
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["_id"])
+        model = train([r["text"] for r in found], [int(r["_toxic"] > 0) for r in found])
+        yield pa.RecordBatch.from_pydict({"weight": [model["weight"].tobytes()], "bias": [model["bias"]]})
+
+    # one task of at most max_train texts; the driver sees the model alone
+    made = rows.select("_id", "_toxic", "text").coalesce(1).mapInArrow(learn, "weight binary, bias double").first()
+    return {"weight": np.frombuffer(made["weight"], np.float32), "bias": made["bias"]} if made else train([], [])
 
 
 def apply(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

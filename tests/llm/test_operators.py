@@ -544,3 +544,18 @@ def test_mixing_targets(spark):
         assert sum(found.values()) == pytest.approx(1.5 * sum(sizes.values()))
     rows = [(k, "w " * 100, s) for k, s in enumerate("abcd")]
     assert {r["source"]: r["taken"] for r in mixing.mix(table(spark, rows)).collect()} == {"a": 200, "b": 133, "c": 66, "d": 200}
+
+
+def test_toxicity_learns_on_an_executor(spark, monkeypatch):
+    """The driver gets the model, not the texts, and the model is that of the sorted rows."""
+    docs = spark.createDataFrame([(k, f"word{k % 7} other text {'awful' if k % 3 == 0 else 'kind'}") for k in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 3 = 0 AS INT) AS toxic")
+    free = [r for r in docs.withColumn("h", toxicity.held_out("doc_id")).orderBy("doc_id").collect() if not r["h"]]
+    known = toxicity.train([r["text"] for r in free], [int(r["doc_id"] % 3 == 0) for r in free])
+
+    def never(*_):
+        raise AssertionError("texts on the driver")
+
+    monkeypatch.setattr(type(docs), "toLocalIterator", never)
+    found = toxicity.fit(docs.repartition(5), labels)
+    assert np.array_equal(found["weight"], known["weight"]) and found["bias"] == known["bias"]
